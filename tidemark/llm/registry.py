@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .langid import fit, identify
 from .preference import format_preferences, span_text
+from .secrets import find_secrets, span_list
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op7_decontaminate, op8_exact_dedup)}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_list("base").cast("binary"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit(docs))
+    return out.select("doc_id", held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id)}
 
 ORACLE = {
     "op1_preference_format": r"""
