@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .langid import fit, identify
 from .preference import format_preferences, span_text
 from .secrets import find_secrets, span_list
+from .sentencepiece_codec import encode
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: A public vocabulary; every use takes the path as a parameter.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -42,7 +51,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id)}
 
 ORACLE = {
     "op1_preference_format": r"""
