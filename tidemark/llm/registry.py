@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .langid import fit, identify
 from .preference import format_preferences, span_text
 from .secrets import find_secrets, span_list
@@ -51,7 +52,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join)}
 
 ORACLE = {
     "op1_preference_format": r"""
