@@ -13,6 +13,7 @@ from .langid import fit, identify
 from .preference import format_preferences, span_text
 from .secrets import find_secrets, span_list
 from .sentencepiece_codec import encode
+from .substring_dedup import dedup_substrings
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -56,7 +61,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op5_suffix_array_dedup, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join)}
 
 ORACLE = {
     "op1_preference_format": r"""
