@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
 from .common import held_out, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .jaccard_join import jaccard_components
-from .langid import fit, identify
 from .preference import format_preferences, span_text
 from .secrets import find_secrets, span_list
 from .sentencepiece_codec import encode
@@ -41,6 +42,16 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("held_out"), "score", "predicted")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -53,7 +64,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs, fit(docs))
+    out = langid.identify(docs, langid.fit(docs))
     return out.select("doc_id", held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("held_out"), "lang_pred", "score")
 
 
@@ -61,7 +72,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op5_suffix_array_dedup, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op3_html_text, op4_toxicity, op5_suffix_array_dedup, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join)}
 
 ORACLE = {
     "op1_preference_format": r"""

@@ -22,8 +22,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and index of its text. Words are runs of bytes that are no ASCII white space; A-Z fold to a-z."""
+def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and index of its text. Words are runs of bytes that are no ASCII white space; A-Z fold to a-z.
+
+    After the words come their beginnings of so many bytes, where they are shorter than the word.
+    """
     raw = np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
     space = SPACE[raw]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
@@ -36,7 +39,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     back[:1] = 1
     np.multiply.accumulate(back, out=back)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), np.searchsorted(ends, start, "right")
+    owner = np.searchsorted(ends, start, "right")
+    found, owners = [mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))], [owner]
+    for k in prefixes:
+        a = start[end - start > k]
+        found.append(mix((total[a + k] - total[a]) * back[a] + U(k + 10**6)))
+        owners.append(owner[end - start > k])
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
