@@ -21,7 +21,7 @@ from .decontaminate import FOLD
 from .shingles import in_slices, word_hashes
 
 ABSTAIN, TOXIC, CLEAN = 0, 1, 2
-LEXICON, FEATURES, SLICE, PREFIXES = 60, 1000, 2_000_000, (4, 5, 6)
+LEXICON, FEATURES, SLICE, PREFIXES, KEPT = 100, 200, 2_000_000, (4, 5, 6), 0.3
 
 
 def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -34,8 +34,8 @@ def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], words[new]
 
 
-def association(owner: np.ndarray, words: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their signed log-likelihood ratio statistic with the label, and in how many toxic rows they stand."""
+def association(owner: np.ndarray, words: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their signed log-likelihood ratio statistic with the label, in how many toxic rows they stand, and the share of those."""
     vocabulary, index = np.unique(words, return_inverse=True)
     w = weight * len(weight) / weight.sum()
     t = np.bincount(index, (w * toxic)[owner], len(vocabulary))
@@ -44,7 +44,7 @@ def association(owner: np.ndarray, words: np.ndarray, toxic: np.ndarray, weight:
     both, share = t + c, n_t / (n_t + n_c)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(t > 0, t * np.log(t / (both * share)), 0) + np.where(c > 0, c * np.log(c / (both * (1 - share))), 0))
-    return vocabulary, np.where(t / max(n_t, 1e-9) > c / max(n_c, 1e-9), g, -g), np.bincount(index, toxic[owner], len(vocabulary))
+    return vocabulary, np.where(t / max(n_t, 1e-9) > c / max(n_c, 1e-9), g, -g), np.bincount(index, toxic[owner], len(vocabulary)), t / both
 
 
 def pattern_votes(texts: list[bytes], hits: np.ndarray) -> np.ndarray:
@@ -80,11 +80,18 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     return q, table, corr
 
 
-def linear(owner: np.ndarray, column: np.ndarray, n: int, k: int, q: np.ndarray, weight: np.ndarray, rounds: int = 300, penalty: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on word presence against soft labels."""
+def linear(owner: np.ndarray, column: np.ndarray, n: int, k: int, q: np.ndarray, weight: np.ndarray, rounds: int = 800, penalty: float = 2e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on word presence against soft labels.
+
+    Each round sees a random part of the words of each row, so that one telling word is enough and none leans on the others.
+    """
+    rng = np.random.default_rng(11)
+    owners, columns = owner, column
     w, b, m, v = np.zeros(k), float(np.log((q @ weight + 1) / ((1 - q) @ weight + 1))), np.zeros(k + 1), np.zeros(k + 1)
     share = weight / weight.sum()
     for i in range(1, rounds + 1):
+        seen = rng.random(len(owners)) < KEPT
+        owner, column = owners[seen], columns[seen]
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[column], n) + b, -50, 50)))
         d = (p - q) * share
         g = np.append(np.bincount(column, d[owner], k) + penalty * w / k, d.sum())
@@ -94,15 +101,27 @@ def linear(owner: np.ndarray, column: np.ndarray, n: int, k: int, q: np.ndarray,
     return w, b
 
 
+def _apart(features: np.ndarray, index: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Features in their order, without those that stand in the same rows as an earlier one (a word and its beginning)."""
+    seen, out = set(), []
+    order = np.argsort(index, kind="stable")
+    cuts = np.searchsorted(index[order], np.stack((features, features + 1)))
+    for f, a, b in zip(features, *cuts, strict=True):
+        if (rows := owner[order[a:b]].tobytes()) not in seen:
+            seen.add(rows), out.append(f)
+    return np.array(out, int)
+
+
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray):
     """(sorted word hashes, their weights, bias); None without both labels."""
     if len(set(toxic.tolist())) < 2:
         return None
     raw = [(t or "").encode() for t in texts]
     owner, words = distinct_words(raw)
-    vocabulary, g, support = association(owner, words, toxic, weight)
+    vocabulary, g, support, precision = association(owner, words, toxic, weight)
     best = np.argsort(-g)
-    lexicon = best[(g[best] > 15) & (support[best] >= 2)][:LEXICON]
+    lexicon = best[(g[best] > 15) & (support[best] >= 2) & (precision[best] >= 0.9)][:20 * LEXICON]
+    lexicon = _apart(lexicon, np.searchsorted(vocabulary, words), owner)[:LEXICON]
     if not len(lexicon):
         lexicon = best[:3]
     index = np.searchsorted(vocabulary, words)
