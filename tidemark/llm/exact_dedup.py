@@ -39,17 +39,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = {r.digest: -(-r.n // rows_per_salt) for r in per_digest.filter(F.col("n") > least).collect()}
 
     groups = _groups(rows.filter(~_is_in(heavy)), F.lit(0))
-    member = groups.select("digest", "ids", F.array_max("ids").alias("keep_id"), F.size("ids").cast("long").alias("group_size"))
+    member = groups.select("digest", "ids", F.array_max("ids")["id"].alias("keep_id"), F.size("ids").cast("long").alias("group_size"))
     if heavy:
         spark = docs.sparkSession
         salts = F.broadcast(spark.createDataFrame(list(heavy.items()), "digest string, n_salts int"))
         hot = rows.join(salts, "digest")
         hot = _groups(hot, F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int"))
-        hot = hot.withColumns({"best": F.array_max("ids"), "n": F.size("ids").cast("long")})
+        hot = hot.withColumns({"best": F.array_max("ids")["id"], "n": F.size("ids").cast("long")})
         winners = hot.groupBy("digest", "text").agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size"))
         back = hot.join(winners.withColumnsRenamed({"digest": "d", "text": "t"}), (F.col("digest") == F.col("d")) & (F.col("text") == F.col("t")))
         member = member.unionByName(back.select("digest", "ids", "keep_id", "group_size"))
-    return member.select("digest", "keep_id", "group_size", F.explode("ids").alias(id_col)).select(
+    return member.select("digest", "keep_id", "group_size", F.explode("ids").alias("member")).select(F.col("member.id").alias(id_col), "keep_id", "group_size", "digest").select(
         F.col(id_col), "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
@@ -59,4 +59,4 @@ def _is_in(heavy: dict[str, int]) -> Column:
 
 def _groups(rows: DataFrame, salt: Column) -> DataFrame:
     """Rows of one digest, salt and text with their ids; heavy digests have salts enough to bound the lists."""
-    return rows.withColumn("salt", salt).groupBy("digest", "salt", "text").agg(F.collect_list("id").alias("ids"))
+    return rows.withColumn("salt", salt).groupBy("digest", "salt", "text").agg(F.collect_list(F.struct("id")).alias("ids"))  # structs, as lists leave out nulls

@@ -3,7 +3,7 @@
 Every window of `LENGTH` bytes has an anchor: of its grams of `GRAM` bytes the one with the smallest hash, the leftmost of equals. Equal
 windows have equal anchors at equal offsets, so windows whose anchors have one hash form a shard of their own and shards are
 independent. Anchors are sparse (about one in 41 bytes) and go first, without text. Neighbouring windows of one anchor are a
-fragment; equal fragments are combined, of which the earliest stands for all. Only fragments that share an anchor with a different
+fragment; equal fragments are combined, first inside each batch of a task and then after the shuffle, and the earliest stands for all. Only fragments that share an anchor with a different
 fragment bring their bytes: a shard's fragments are laid end to end, its suffix array is induced, and the permuted common prefixes tell which
 windows are equal.
 """
@@ -93,20 +93,30 @@ def unpack(x):
     return place, lo, lo + (x >> 19 & 127)
 
 
-DIGEST = (1 << 18) - 1
+DIGEST, COPY = (1 << 18) - 1, 1 << 18
+
+
+def combined(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Mark all but the earliest of equal fragments as copies. Copies need no shard, so they are dealt out evenly instead of by their hash."""
+    order = np.lexsort((f["packed"], f["id"], f["whole"], f["hash"]))
+    h, w = f["hash"][order], f["whole"][order]
+    again = order[1:][(h[1:] == h[:-1]) & (w[1:] == w[:-1])]
+    f["packed"][again] |= COPY
+    f["hash"][again] = mix(f["id"][again].astype(np.uint64) * STEP + f["packed"][again].astype(np.uint64)).astype(np.int64)
+    return f
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        texts = [(t or "").encode() for t in x["text"].to_pylist()]
+        texts, found = [(t or "").encode() for t in x["text"].to_pylist()], []
         ids = x["id"].to_numpy()
         for i, j in in_slices([len(t) for t in texts], SLICE):
-            if not any(len(t) >= LENGTH for t in texts[i:j]):
-                continue
-            f = fragments(texts[i:j])
-            digest = (f["texts"] >> U(46)).astype(np.int64)[f["owner"]]
-            yield pa.RecordBatch.from_pydict({"hash": f["hash"].astype(np.int64), "whole": f["whole"].astype(np.int64), "id": ids[i:j][f["owner"]],
-                                              "packed": pack(f["place"], f["lo"], f["hi"], digest)})
+            if any(len(t) >= LENGTH for t in texts[i:j]):
+                f = fragments(texts[i:j])
+                digest = (f["texts"] >> U(46)).astype(np.int64)[f["owner"]]
+                found.append((f["hash"].astype(np.int64), f["whole"].astype(np.int64), ids[i:j][f["owner"]], pack(f["place"], f["lo"], f["hi"], digest)))
+        if found:
+            yield pa.RecordBatch.from_pydict(combined(dict(zip(("hash", "whole", "id", "packed"), map(np.concatenate, zip(*found, strict=True)), strict=True))))
 
 
 def digest_of(text: bytes) -> int:
@@ -215,9 +225,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).isNull().alias("null_id"), F.col(text_col).alias("text"))
     anchors = rows.select("id", "text").mapInArrow(_anchors, "hash long, whole long, id long, packed long")
     shard = W.partitionBy("hash")
-    met = anchors.select("*", F.count("*").over(shard).alias("n"), F.min("whole").over(shard).alias("low"), F.max("whole").over(shard).alias("high")).filter("n > 1")
-    earliest = F.min(F.struct("id", "packed")).over(W.partitionBy("hash", "whole"))
-    met = cut(met.withColumn("stands", earliest).select("hash", "id", "packed", ((F.col("id") == F.col("stands.id")) & (F.shiftright("packed", 33) == F.shiftright("stands.packed", 33))).alias("first"), (F.col("low") != F.col("high")).alias("mixed")))
+    copy = F.col("packed").bitwiseAND(F.lit(COPY)) != 0
+    met = anchors.select("*", F.count("*").over(shard).alias("n"), F.min("whole").over(shard).alias("low"), F.max("whole").over(shard).alias("high")).filter((F.col("n") > 1) | copy)
+    stands = F.min(F.struct("id", "packed")).over(W.partitionBy("hash", "whole"))
+    first = ~copy & (F.col("id") == F.col("stands.id")) & (F.shiftright("packed", 33) == F.shiftright("stands.packed", 33))
+    met = cut(met.withColumn("stands", stands).select("hash", "id", "packed", first.alias("first"), (F.col("low") != F.col("high")).alias("mixed")))
 
     lo = F.shiftright("packed", 33) - F.shiftright("packed", 26).bitwiseAND(F.lit(127))
     copies = met.filter("NOT first").select("id", F.col("packed").bitwiseAND(F.lit(DIGEST)).alias("digest"), lo.alias("start"), (lo + F.shiftright("packed", 19).bitwiseAND(F.lit(127)) + LENGTH).alias("end"))
