@@ -41,16 +41,15 @@ def _one(df: DataFrame, c: Mapping, prefix: str, missing: str) -> Column | None:
         values = list(value or ())
         if not values:
             return F.lit(False) if strict and op == "in" else None  # otherwise the criterion is skipped
-        inside = F.coalesce(at.isin(values), F.lit(False))
-        out = inside if op == "in" else ~inside
+        out = at.isin(values) if op == "in" else at.isNull() | ~at.isin(values)
     elif op in ORDERED:
-        out = F.coalesce(ORDERED[op](at, F.lit(value)), F.lit(False))
+        out = ORDERED[op](at, F.lit(value))
     elif op == "regex":
         try:
             re.compile(value)
         except re.error:
             return F.lit(False)
-        out = F.coalesce(at.cast("string").rlike(value), F.lit(False))
+        out = at.cast("string").rlike(value)
     elif op == "ne":
         out = ~at.eqNullSafe(F.lit(value))
     else:
@@ -59,7 +58,9 @@ def _one(df: DataFrame, c: Mapping, prefix: str, missing: str) -> Column | None:
 
 
 def row_filter(df: DataFrame, criteria: Iterable[Mapping] | None, prefix: str = "", missing: str = "pass") -> Column:
-    """All criteria hold. `missing="pass"`: ne and nin hold for a missing value, as in a document store; "reject": none does."""
+    """All criteria hold. `missing="pass"`: ne and nin hold for a missing value, as in a document store; "reject": none does.
+
+    The predicate is null where a missing value decides; a filter takes that as false, and without coalesce() it reaches the scan."""
     parts = [p for c in criteria or () if (p := _one(df, c, prefix, missing)) is not None]
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
@@ -85,7 +86,7 @@ def image_filter(changes: DataFrame, include: Sequence[str] = (), exclude: Seque
 
 def change_filter(changes: DataFrame, criteria: Iterable[Mapping] | None, doc: str = "doc", on_exit: str = "keep") -> DataFrame:
     """The row filter on post-images. Deletes and control rows always pass; with on_exit="delete", a change that leaves the filter becomes a delete."""
-    ok = row_filter(changes, criteria, prefix=f"{doc}.") | ~F.col("op").isin("insert", "update", "replace")
+    ok = F.coalesce(row_filter(changes, criteria, prefix=f"{doc}."), F.lit(False)) | ~F.col("op").isin("insert", "update", "replace")
     if on_exit == "keep":
         return changes.filter(ok)
     gone = ~ok & F.col("op").isin("update", "replace")

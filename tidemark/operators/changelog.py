@@ -47,9 +47,9 @@ def first_within(changes: DataFrame, keys: list[str], ttl_seconds: int, ts: str
     ttl = ttl_seconds * 1_000_000
     rest = [c for c in changes.columns if c not in keys]
     seen = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.struct(*rest).alias("r"))))
-    none = F.filter(F.col("seen"), lambda x: F.lit(False))
-    kept = F.aggregate("seen", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] > ttl), F.concat(acc, F.array(x))).otherwise(acc))
-    return changes.groupBy(*keys).agg(seen.alias("seen")).select(*keys, F.explode(kept).alias("k")).select(*keys, "k.r.*")
+    none = F.filter(F.col("__seen"), lambda x: F.lit(False))
+    kept = F.aggregate("__seen", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] > ttl), F.concat(acc, F.array(x))).otherwise(acc))
+    return changes.groupBy(*keys).agg(seen.alias("__seen")).select(*keys, F.explode(kept).alias("__kept")).select(*keys, "__kept.r.*")
 
 
 def after(changes: DataFrame, time, seq: int) -> DataFrame:

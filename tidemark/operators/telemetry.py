@@ -28,12 +28,12 @@ def environment(rows: DataFrame, node: str = "node") -> DataFrame:
     kind = F.when(F.col("n") < 5, "unknown").when(F.col("cv") < 0.2, "steady").when(F.col("cv") > 0.8, "bursty").otherwise("cyclical")
     limit = F.when(F.col("mean_cpu") > 80, "cpu").when(F.col("mean_mem") > 80, "memory").when(F.col("mean_latency") > 5000, "network").otherwise("balanced")
     load = F.when(F.col("mean_latency") < 100, "oltp").when(F.col("mean_latency") > 1000, "olap").otherwise("mixed")
-    return p.select(node, "n", *[F.round(c, 4).alias(c) for c in p.columns if c.startswith(("mean", "peak"))], kind.alias("traffic"), limit.alias("constraint"), load.alias("workload"))
+    return p.select(node, "n", *[F.round(c, 9).alias(c) for c in p.columns if c.startswith(("mean", "peak"))], kind.alias("traffic"), limit.alias("constraint"), load.alias("workload"))
 
 
 def confidence(rows: DataFrame, node: str, success: Column) -> DataFrame:
     n = F.count("*")
-    return rows.groupBy(node).agg(n.alias("n"), F.when(n < 10, F.lit(0.0)).otherwise(F.round(F.avg(success.cast("int")) * F.least(F.lit(1.0), n / 100), 4)).alias("confidence"))
+    return rows.groupBy(node).agg(n.alias("n"), F.when(n < 10, F.lit(0.0)).otherwise(F.round(F.avg(success.cast("int")) * F.least(F.lit(1.0), n / 100), 9)).alias("confidence"))
 
 
 def band(u: Column, low: float, high: float) -> Column:
@@ -50,7 +50,7 @@ def load_flags(rows: DataFrame) -> DataFrame:
     over = (F.col("cpu") > 75) | (F.col("mem") > 80) | (F.col("latency") > 500) | (F.col("queue") > 500)
     excess = F.greatest((F.col("cpu") - 75) / 25, (F.col("mem") - 80) / 20, (F.col("latency") - 500) / 500, (F.col("queue") - 500) / 500)
     spare = F.least(1 - F.col("cpu") / 100, 1 - F.col("mem") / 100)
-    return rows.withColumns({"overloaded": over, "throttle_ms": F.round(50 + 1950 * clamp(excess, 0.0, 1.0), 4), "scale": F.round(clamp(1.05 + 0.2 * spare, 1.05, 1.25), 6)})
+    return rows.withColumns({"overloaded": over, "throttle_ms": F.round(50 + 1950 * clamp(excess, 0.0, 1.0), 9), "scale": F.round(clamp(1.05 + 0.2 * spare, 1.05, 1.25), 9)})
 
 
 def effectiveness(rows: DataFrame, keys: list[str], score: str, top: int = 20, history: int = 1000) -> DataFrame:
@@ -58,8 +58,8 @@ def effectiveness(rows: DataFrame, keys: list[str], score: str, top: int = 20, h
     recent = last_n(rows, keys, [F.desc("ts"), F.desc("seq")], history)
     seen = F.array_sort(F.collect_list(F.struct("ts", "seq", F.col(score).alias("s"))))
     fold = F.aggregate(F.slice("seen", 2, history), F.element_at("seen", 1)["s"], lambda a, x: 0.7 * a + 0.3 * x["s"])
-    out = recent.groupBy(*keys).agg(seen.alias("seen")).select(*keys, F.round(fold, 4).alias("effectiveness"), F.size("seen").cast("long").alias("uses"),
-                                                              F.round(F.least(F.lit(1.0), 0.1 * F.size("seen")), 4).alias("confidence"))
+    out = recent.groupBy(*keys).agg(seen.alias("seen")).select(*keys, F.round(fold, 9).alias("effectiveness"), F.size("seen").cast("long").alias("uses"),
+                                                              F.round(F.least(F.lit(1.0), 0.1 * F.size("seen")), 9).alias("confidence"))
     return out.orderBy(F.desc("effectiveness"), *keys).limit(top)
 
 
@@ -67,8 +67,8 @@ def neighbours(queries: DataFrame, examples: DataFrame, k: int = 5) -> DataFrame
     """Settings averaged over the k nearest examples by performance; fewer than 10 examples give none. `examples` is a capped history."""
     e = F.broadcast(examples.select(*[F.col(c).alias(f"e_{c}") for c in examples.columns]))
     d = F.sqrt(sum((w * F.pow(F.col(c) - F.col(f"e_{c}"), 2) for c, w in NEAR.items()), F.lit(0.0)))
-    near = last_n(queries.join(e, F.col("qid") != F.col("e_qid")).withColumn("distance", F.round(d, 6)), ["qid"], [F.asc("distance"), F.asc("e_qid")], k)
-    return near.groupBy("qid").agg(F.round(F.sum(F.col("e_setting") * F.col("e_score")) / F.sum("e_score"), 4).alias("setting"), F.round(F.avg("distance"), 4).alias("mean_distance"))
+    near = last_n(queries.join(e, F.col("qid") != F.col("e_qid")).withColumn("distance", F.round(d, 9)), ["qid"], [F.asc("distance"), F.asc("e_qid")], k)
+    return near.groupBy("qid").agg(F.round(F.sum(F.col("e_setting") * F.col("e_score")) / F.sum("e_score"), 9).alias("setting"), F.round(F.avg("distance"), 9).alias("mean_distance"))
 
 
 def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -111,7 +111,7 @@ def half_mean(rows: DataFrame, keys: list[str], value: str, history: int = 1000)
     """avg <- (avg + x) / 2 in order, over the last `history` values: older ones weigh less than 2 ** -history."""
     seen = F.array_sort(F.collect_list(F.struct("ts", "seq", F.col(value).alias("v"))))
     out = last_n(rows, keys, [F.desc("ts"), F.desc("seq")], history).groupBy(*keys).agg(seen.alias("s"))
-    return out.select(*keys, F.round(F.aggregate(F.slice("s", 2, history), F.element_at("s", 1)["v"], lambda a, x: (a + x["v"]) / 2), 6).alias("half_mean"))
+    return out.select(*keys, F.round(F.aggregate(F.slice("s", 2, history), F.element_at("s", 1)["v"], lambda a, x: (a + x["v"]) / 2), 9).alias("half_mean"))
 
 
 def stability(rows: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
@@ -126,7 +126,7 @@ def trend_score(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def seasons(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, F.date_format("ts", "HH:00").alias("slot")).agg(F.bool_or(F.col("cpu") > 70).alias("peak"), F.bool_or(F.col("cpu") < 30).alias("low"),
-                                                                             F.round(F.least(F.lit(1.0), F.count("*") / 100), 4).alias("confidence"))
+                                                                             F.round(F.least(F.lit(1.0), F.count("*") / 100), 9).alias("confidence"))
 
 
 def node_load(cpu: Column, mem: Column, active: Column, most: Column, errors: Column) -> Column:
