@@ -21,7 +21,7 @@ from .decontaminate import FOLD
 from .shingles import in_slices, word_hashes
 
 ABSTAIN, TOXIC, CLEAN = 0, 1, 2
-LEXICON, FEATURES, SLICE, PREFIXES, KEPT = 100, 200, 2_000_000, (4, 5, 6), 0.3
+LEXICON, FEATURES, SLICE, PREFIXES, KEPT = 100, 200, 1_000_000, (4, 5, 6), 0.3
 
 
 def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray):
     if len(set(toxic.tolist())) < 2:
         return None
     raw = [(t or "").encode() for t in texts]
-    owner, words = distinct_words(raw)
+    parts = [(i, distinct_words(raw[i:j])) for i, j in in_slices([len(t) for t in raw], SLICE)]
+    owner, words = (np.concatenate([f(i, p) for i, p in parts]) for f in (lambda i, p: p[0] + i, lambda i, p: p[1]))
     vocabulary, g, support, precision = association(owner, words, toxic, weight)
     best = np.argsort(-g)
     lexicon = best[(g[best] > 15) & (support[best] >= 2) & (precision[best] >= 0.9)][:20 * LEXICON]
@@ -138,7 +139,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray):
     return vocabulary[chosen], w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 4000):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500):
     """Model from labelled rows that are not held out, at most about `per_label` of either label; rows weigh as much as they stand for."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
