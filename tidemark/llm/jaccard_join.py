@@ -6,7 +6,7 @@
    tree alone can't route: the distance allowed is above the spread of every single coordinate, so each point would go to each node.)
 3. In each meeting place every set is paired with the first one. The shared size is bounded by the sum of coordinate minima
    of the two points; pairs that pass are verified on their shingles.
-4. Places that still hold more than one component get an R-tree over the points. Two nodes are joined only if the summed minima of
+4. Places that still hold more than one component get an R-tree over the points, large ones by pairs of blocks. Two nodes are joined only if the summed minima of
    their upper corners reach what their smallest sizes ask for and they aren't one component already; then leaves are joined point by
    point. What passes is verified on the shingles.
 5. Components of the links.
@@ -29,7 +29,7 @@ from .common import cut
 from .components import components
 from .shingles import U, in_slices, mix, shingle_sets
 
-GROUPS, SLICE, LEAF, FAN, BLOCK, BROADCAST_ROWS = 256, 2_000_000, 64, 12, 8192, 500_000
+GROUPS, SLICE, LEAF, FAN, BLOCK, BROADCAST_ROWS = 256, 2_000_000, 64, 12, 1024, 500_000
 HUGE = 8_000_000  # sets this large have no point: no count could overflow, and the bound lets them pass
 
 
@@ -161,7 +161,11 @@ def _join_place(num: int, den: int):
         points = np.frombuffer(b"".join(rows["point"]), np.uint16).reshape(-1, GROUPS)
         ids = rows["id"].to_numpy()
         found = list(tree_pairs(points, rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy(), num, den))
-        a, b = (np.concatenate([ids[f[k]] for f in found] or [ids[:0]]) for k in (0, 1))
+        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in (0, 1))
+        # a pair that meets in several places belongs to the first of them
+        here, places = rows["part"].iloc[0], [frozenset(p) for p in rows["places"]]
+        own = np.array([min(places[x] & places[y]) == here for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        a, b = ids[i[own]], ids[j[own]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -227,11 +231,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = met.filter("size > 2").join(known, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     keep = open_.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.count("*").alias("k"))
     keep = keep.filter("lo <> hi").groupBy("who", "k").agg(F.min("part").alias("part"))
-    member = open_.join(keep.select("part", "k"), "part").join(points, "id")
+    member = cut(open_.select("id", "part", "comp").join(keep.select("part", "k"), "part"))
+    places = member.groupBy("id").agg(F.collect_list("part").alias("places"))  # no more than the parts of one set
+    member = member.join(points, "id").join(places, "id")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("id", "n", "point", "comp", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    member = member.select("id", "n", "point", "comp", "places", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     more = member.groupBy("part", "p", "q").applyInPandas(_join_place(num, den), f"a {kind}, b {kind}")
     more = verify(cut(more.distinct()), rows, size, num, den)
     return some.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "n", "rep").unionByName(
