@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +31,8 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|b
 #: An element of one of these names is closed by the opening of another.
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose class or id says nothing against them: the content itself and its headings.
+NAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
 
 
@@ -40,6 +43,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.stack: list[tuple[str, bool, int]] = []  # name, dropped, region
+        self.open: Counter[str] = Counter()  # names on the stack, so that a stray end tag costs nothing
         self.regions = 0
         self.marked: set[int] = set()  # regions that the page itself names its content; all within them belongs to them
         self.text: list[str] = []
@@ -53,9 +57,12 @@ class Lines(HTMLParser):
         self.text.clear()
 
     def _pop(self, names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in names:
                 self._break()
+                self.open.subtract(s[0] for s in self.stack[i:])
                 del self.stack[i:]
                 return
             if self.stack[i][0] in stop:
@@ -82,8 +89,9 @@ class Lines(HTMLParser):
             if tag in ("article", "main"):
                 self.marked.add(region)
         own = tag in DROPPED or tag not in ("html", "body", "main") and any(
-            v and (k in ("class", "id") and (tag not in ("article", "main")) and MARKS.search(v) or k == "role" and v.lower() in ROLES) or k == "hidden" for k, v in attrs)
-        self.stack.append((tag, dropped or bool(own) and not (tag == "header" and any(s[0] == "article" for s in self.stack)), region))
+            v and (k in ("class", "id") and tag not in NAMED and MARKS.search(v) or k == "role" and v.lower() in ROLES) or k == "hidden" for k, v in attrs)
+        self.open[tag] += 1
+        self.stack.append((tag, dropped or bool(own) and not (tag == "header" and self.open["article"]), region))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
