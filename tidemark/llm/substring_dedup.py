@@ -97,10 +97,14 @@ DIGEST, COPY = (1 << 18) - 1, 1 << 18
 
 
 def combined(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Mark all but the earliest of equal fragments as copies. Copies need no shard, so they are dealt out evenly instead of by their hash."""
+    """Mark fragments that start later than the earliest of their equals as copies; those that are as early (repeated rows) stay. Copies need no
+    shard, so they are dealt out evenly instead of by their hash."""
     order = np.lexsort((f["packed"], f["id"], f["whole"], f["hash"]))
-    h, w = f["hash"][order], f["whole"][order]
-    again = order[1:][(h[1:] == h[:-1]) & (w[1:] == w[:-1])]
+    h, w, i, place = f["hash"][order], f["whole"][order], f["id"][order], f["packed"][order] >> 33
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = order[(i != i[first]) | (place != place[first])]
     f["packed"][again] |= COPY
     f["hash"][again] = mix(f["id"][again].astype(np.uint64) * STEP + f["packed"][again].astype(np.uint64)).astype(np.int64)
     return f
@@ -235,7 +239,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = met.filter("NOT first").select("id", F.col("packed").bitwiseAND(F.lit(DIGEST)).alias("digest"), lo.alias("start"), (lo + F.shiftright("packed", 19).bitwiseAND(F.lit(127)) + LENGTH).alias("end"))
 
     stand = met.filter("first AND mixed")
-    lists = stand.groupBy("id").agg(F.collect_list("hash").alias("hashes"), F.collect_list("packed").alias("packeds"))
+    lists = stand.groupBy("id").agg(F.collect_set(F.struct("hash", "packed")).alias("own")).select("id", F.col("own.hash").alias("hashes"), F.col("own.packed").alias("packeds"))
     parts = cut(rows.select("id", "text").join(lists, "id").mapInArrow(_bring_bytes, "hash long, id long, packed long, bytes binary"))
     hot = cut(parts.groupBy("hash").count().filter(F.col("count") > HOT).select("hash"))
     total = parts.agg(F.sum(F.length("bytes"))).first()[0] or 0
