@@ -152,6 +152,23 @@ def test_splitting_and_repeating_a_log_changes_nothing(spark):
     assert results[0] == results[1] == sorted(want.items())
 
 
+def test_changes_in_files_out_of_order(spark):
+    """Key 3 changes only in the later file, with lower sequences; key 2 is deleted in the first one, key 4 is older in the second."""
+    rows = [("insert", 2, 1.0), ("insert", 3, 3.0), ("insert", 4, 4.0), ("insert", 1, 1.0), ("delete", 2, None), ("update", 4, 5.0), ("update", 3, 6.0), ("delete", 5, None), ("insert", 1, 9.0)]
+    whole = log(spark, rows)
+    t = VersionedTarget(spark, scratch(spark), "doc_key long, cluster_time timestamp_ntz, seq long, value double", "doc_key", 3)
+    late = F.col("seq").isin(0, 1, 2, 6)
+    t.apply(whole.filter(~late), 0, ["value"])
+    t.apply(whole.filter(late), 1, ["value"])
+    want = [(1, 9.0), (3, 6.0), (4, 5.0)]
+    assert sorted(tuple(r) for r in t.read().select("doc_key", "value").collect()) == want
+    t.apply(whole, 2, ["value"])
+    assert sorted(tuple(r) for r in t.read().select("doc_key", "value").collect()) == want
+    t.commit(t.read(), None, 8, 3, replace=True)
+    t.apply(whole, 4, ["value"])
+    assert sorted(tuple(r) for r in t.read().select("doc_key", "value").collect()) == want  # the snapshot holds all up to 8
+
+
 def test_alert_cooldown():
     active, raised, said = False, float("-inf"), []
     for now, breach in ((0, True), (5, True), (10, False), (20, True), (70, True), (80, False)):

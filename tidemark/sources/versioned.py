@@ -3,6 +3,10 @@
 Layout below the root: data/v=<n>/bucket=<b>/ and manifest/v=<n>/. The manifest has a row per bucket with the version that holds it, and the
 last sequence and batch applied, so data and state commit together. It is written last; readers take the newest manifest, so a batch that fails
 leaves no trace. A batch id at or below the last one applied is skipped: repeating a batch does nothing.
+
+Batches of a changelog need not be in order: a change counts if its (time, sequence) is above that of the row stored for its key. A delete leaves a
+tombstone with its position, which readers don't see, so that an older change can't bring the key back. `floor` is the sequence up to which rows
+committed from elsewhere (a snapshot) hold all changes; those are skipped.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.changelog import latest
 
-MANIFEST = "version long, bucket int, holder long, rows long, last_seq long, batch long"
+MANIFEST = "version long, bucket int, holder long, rows long, last_seq long, batch long, floor long"
+GONE = "_gone"
 
 
 class VersionedTarget:
@@ -34,24 +39,32 @@ class VersionedTarget:
         rows = self._manifest()
         return (max(r.last_seq for r in rows), max(r.batch for r in rows)) if rows else (-1, -1)
 
+    def _floor(self, rows: list) -> int:
+        return max((r.last_seq if r.floor is None else r.floor for r in rows), default=-1)
+
     def _read(self, rows: list) -> DataFrame:
-        paths = [f"{self.root}/data/v={r.holder}/bucket={r.bucket}" for r in rows if r.rows]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        """Rows and tombstones."""
+        paths, schema = [f"{self.root}/data/v={r.holder}/bucket={r.bucket}" for r in rows if r.rows], f"{self.schema}, {GONE} boolean"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        return self._read(self._manifest())
+        return self._read(self._manifest()).filter(~F.coalesce(GONE, F.lit(False))).drop(GONE)
 
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def commit(self, upserts: DataFrame | None, deletes: DataFrame | None, last_seq: int, batch: int, replace: bool = False) -> bool:
+    def commit(self, upserts: DataFrame | None, deletes: DataFrame | None, last_seq: int, batch: int, replace: bool = False, tombstones: DataFrame | None = None, floor: int | None = None) -> bool:
         """Apply rows and keys that don't overlap; with `replace` the table is emptied first. False if the batch was applied before."""
         old = self._manifest()
         if old and batch <= max(r.batch for r in old):
             return False
         version = 1 + max((r.version for r in old), default=0)
-        empty = self.spark.createDataFrame([], self.schema)
-        rows = (empty if upserts is None else upserts.select(empty.columns)).filter(F.col(self.key).isNotNull()).withColumn("bucket", self._bucket())
+        empty = self._read([])
+        columns = empty.drop(GONE).columns
+        rows = (empty.drop(GONE) if upserts is None else upserts.select(columns)).withColumn(GONE, F.lit(False))
+        if tombstones is not None:
+            rows = rows.unionByName(tombstones.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
+        rows = rows.filter(F.col(self.key).isNotNull()).withColumn("bucket", self._bucket())
         gone = rows.select(self.key, "bucket")
         if deletes is not None:
             gone = gone.unionByName(deletes.select(self.key).withColumn("bucket", self._bucket()))
@@ -64,21 +77,31 @@ class VersionedTarget:
         except AnalysisException:
             sizes = {}
         holders = {r.bucket: (r.holder, r.rows) for r in old} | {b: (version, sizes.get(b, 0)) for b in touched}
-        state = (max([last_seq, *(r.last_seq for r in old)]), batch)
+        state = (max([last_seq, *(r.last_seq for r in old)]), batch, max(self._floor(old), last_seq if floor is None else floor))
         lines = [(version, b, *holders.get(b, (version, 0)), *state) for b in range(self.buckets)]
         self.spark.createDataFrame(lines, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/v={version}", mode="overwrite")
         return True
 
     def apply(self, changes: DataFrame, batch: int, doc_fields: list[str]) -> bool:
-        """Apply a changelog: rows at or below the last sequence are skipped, the rest collapses by key."""
-        last_seq, _ = self.state()
-        fresh = latest(changes.filter((F.col("seq") > last_seq) & F.col("op").isin("insert", "update", "replace", "delete")), [self.key]).persist()
+        """Apply a changelog: it collapses by key, and what is not above the stored position of its key is skipped."""
+        old = self._manifest()
+        if old and batch <= max(r.batch for r in old):
+            return False
+        floor = self._floor(old)
+        fresh = latest(changes.filter((F.col("seq") > floor) & F.col("op").isin("insert", "update", "replace", "delete")), [self.key]).persist()
         try:
-            top = fresh.agg(F.max("seq")).first()[0]
-            if top is None:
-                return False
-            rows = fresh.filter("op <> 'delete'").select(self.key, "cluster_time", "seq", *[F.col(f"doc.{c}").alias(c) for c in doc_fields])
-            return self.commit(rows, fresh.filter("op = 'delete'").select(self.key), top, batch)
+            touched = {r.bucket for r in fresh.select(self._bucket().alias("bucket")).distinct().collect()}
+            stored = self._read([r for r in old if r.bucket in touched]).select(self.key, F.struct("cluster_time", "seq").alias("_stored"))
+            later = F.col("_stored").isNull() | (F.struct("cluster_time", "seq") > F.col("_stored"))
+            fresh_rows = fresh.join(stored, self.key, "left").filter(later).drop("_stored").persist()
+            try:
+                top = fresh_rows.agg(F.max("seq")).first()[0]
+                if top is None:
+                    return False
+                rows = fresh_rows.filter("op <> 'delete'").select(self.key, "cluster_time", "seq", *[F.col(f"doc.{c}").alias(c) for c in doc_fields])
+                return self.commit(rows, None, top, batch, tombstones=fresh_rows.filter("op = 'delete'").select(self.key, "cluster_time", "seq"), floor=floor)
+            finally:
+                fresh_rows.unpersist()
         finally:
             fresh.unpersist()
 
