@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import cut, shared_dir
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_components
@@ -22,27 +22,43 @@ from tidemark.llm.sentencepiece_codec import encode
 MIN_LANGUAGE_SCORE = 0.35
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs with these ids, in the columns that docs has."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+def _beside(docs: DataFrame) -> DataFrame:
+    """The text, and beside it the whole row: operators that tell each row by itself hand it through in place of an id, so no join is needed."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of the row, written once so that it stays, and a digest that orders rows of equal id the same way in each run."""
+    return cut(docs.withColumns({"_tie": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()}))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs))
-    return _keep(docs, found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)))
+    """Each row is told by its own text, whatever its id is."""
+    found = langid.identify(_beside(docs), langid.fit(docs), "row")
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup(docs).filter("kept"))
+    """Of equal texts one row stays, that with the largest id; a null id is the smallest, and of rows that repeat the id one stays."""
+    keyed = _keyed(docs)
+    kept = exact_dedup(keyed.select(F.struct("doc_id", "_tie", "_row").alias("id"), "text"), "id").filter("kept")
+    return keyed.join(kept.select("id._row"), "_row", "left_semi").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays."""
-    return _keep(docs, jaccard_components(docs).filter("doc_id = component_id"))
+    """Of each component the row with the smallest id stays; a null id is the largest. Every row is a document of its own: rows that repeat an
+    id stay unless their texts are near copies."""
+    keyed = _keyed(docs)
+    told = jaccard_components(keyed.select("_row", "text"), "_row").select("_row", "component_id")
+    told = told.join(keyed.select("_row", "_tie", "doc_id"), "_row")
+    least = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie", "_row")).alias("least"))
+    return keyed.join(least.select("least._row"), "_row", "left_semi").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("NOT contaminated"))
+    """Each row is told by its own text, whatever its id is."""
+    found = decontaminate(_beside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
+    return found.filter("NOT contaminated").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,3 +279,34 @@ def test_pipeline(spark, texts):
     clean = {i for i, t in near.items() if not any(f" {w} " in f" {' '.join(norm(t))} " for w in windows)}
     got = P.run(spark, DATA).collect()
     assert {r.doc_id for r in got} == clean and all(r.round_trip for r in got)
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, texts):
+    import corpus_pipeline as P
+
+    def stage(name, rows):
+        df = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], base.schema).repartition(3)
+        out = dict(P.STAGES)[name](spark, df, DATA)
+        assert out.columns == df.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    have = [(r.doc_id, r.text, r.lang) for r in base.collect()]
+    i, text, lang = next(r for r in have if r[2] == "en" and len(r[1]) > 500)
+    got = stage("language", [*have, (None, text, lang), (None, "12 34", lang), (i, "56 78", lang)])
+    assert (None, text) in got and got.count((i, text)) == 1 and (None, "12 34") not in got and (i, "56 78") not in got
+
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "a"), (2, "c"), (2, "c"), (3, "d"), (None, "d")]
+    assert stage("exact", [(i, t, "en") for i, t in rows]) == sorted([(None, "b"), (2, "a"), (2, "c"), (3, "d")], key=str)
+
+    words = [[f"{k}w{j}" for j in range(100)] for k in "abcde"]
+    a, b, c, d, e = map(" ".join, words)
+    tail = " more"
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c + tail), (None, d), (7, d + tail), (6, d), (9, e), (9, e + tail), (8, ""), (None, "")]
+    got = stage("near", [(i, t, "en") for i, t in rows])
+    assert len(got) == 7 and {x for x in got if x[1][:1] in "abd"} == {(1, a), (1, b), (6, d), (8, ""), (None, "")} and sum(x[1][:1] == "c" for x in got) == sum(x[1][:1] == "e" for x in got) == 1
+    assert got.count((8, "")) == got.count((None, "")) == 1 and got.count((1, a)) == 1
+
+    item = next(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len((r.text or "").split()) > 10)
+    rows = [(1, a), (1, item), (None, b), (None, item), (2, a), (2, a)]
+    assert stage("decontaminate", [(i, t, "en") for i, t in rows]) == sorted([(1, a), (None, b), (2, a), (2, a)], key=str)
