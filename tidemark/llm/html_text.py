@@ -1,10 +1,14 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing and threshold clustering.
 
-The standard library's parser streams events. Block elements break the page into lines; each line has its characters of text, its tags, and
-the region (nearest article, main, section, div or the like) it stands in. Lines in elements that by name, role, class or id are menus,
-headers, footers, side bars, notices, adverts, forms, comments, scripts or styles are no candidates. The ratio of text to tags,
-smoothed over neighbouring lines, is clustered by a threshold; regions with a line above it are content regions, and of these all lines
-stay, short ones too. Where one of them is an article or main element, those are the content.
+The standard library's parser streams events. Block elements break the page into lines; each line has its characters of text outside links,
+its tags, and the region it stands in. Elements that are no content by their kind or role, or whose class or id says nothing but that
+(menus, headers, footers, side bars, notices, adverts, forms, reader comments, scripts, styles), make no lines. The ratio of text to tags,
+smoothed over neighbouring lines, is clustered by a threshold, and the clusters decide:
+
+- an article, main, section or division is content if one of its lines is above the threshold, smoothed and by itself; then its short lines stay too;
+- within an article, divisions, and anywhere lists and tables, go with what they stand in, unless they are below the threshold and nearly all link;
+- an element whose name only resembles those above ("related-work", "notice-period") is content if it is above the threshold by itself;
+- where article or main elements hold a good part of the text above the threshold, they are the content, else all content regions are.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,36 +29,66 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 REGION = frozenset("article main section div td body blockquote center".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea menu dialog head title".split())
+LISTS = frozenset("ul ol dl table".split())
 #: Roles and words of class or id that mark what is no content.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|aside|widget\w*|related|share|sharing|social|"
-                   r"comments?|commentlist|respond|replies|disqus|cookie\w*|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|form|pagination|pager|copyright|legal)(?:$|[\s_-])", re.I)
+MARKS = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|related|shar(?:e|ing)|social|"
+                   r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|form|pagination|pager|copyright|legal)", re.I)
+#: Words beside those that say nothing about the content.
+NEUTRAL = re.compile(r"(?:bar|block|body|bottom|box|btns?|buttons?|column|container|content|footer|global|group|icons?|inner|item|left|links?|list|main|outer|page|panel|post|posts|right|row|section|site|side|slot|text|top|unit|wrap|wrapper|\d+)", re.I)
 #: An element of one of these names is closed by the opening of another.
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements whose class or id says nothing against them: the content itself and its headings.
 NAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
+#: A list or division with this share of its text in links goes, unless it is above the threshold; articles count from this share of the text on.
+LINKED, ARTICLE_SHARE = 0.8, 1 / 3
+
+
+def named(value: str) -> int:
+    """What a class or id says: 2, one of its words is no content; 1, it resembles such a word; 0, nothing."""
+    said = 0
+    for word in value.split():
+        parts = [x for x in re.split(r"[-_]+", word) if x]
+        marks = [bool(MARKS.fullmatch(x)) for x in parts]
+        if any(marks) or MARKS.fullmatch("".join(parts)):
+            said = max(said, 2 if all(m or NEUTRAL.fullmatch(x) for m, x in zip(marks, parts, strict=True)) or not any(marks) else 1)
+    return said
+
+
+@dataclass
+class Region:
+    root: int  # the region whose cluster decides
+    parent: int
+    article: bool  # within an article or main element
+    lines: list[int] = field(default_factory=list)
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text, tags, region]; region None: no candidate."""
+    """Lines of a page, [text, tags, characters in links, region], and the regions; line breaks inside dropped elements make none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
+        self.regions = [Region(0, 0, False)]
         self.stack: list[tuple[str, bool, int]] = []  # name, dropped, region
         self.open: Counter[str] = Counter()  # names on the stack, so that a stray end tag costs nothing
-        self.regions = 0
-        self.marked: set[int] = set()  # regions that the page itself names its content; all within them belongs to them
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.in_link = False
+
+    def _top(self) -> tuple[str, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, 0)
 
     def _break(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            _, dropped, region = self.stack[-1] if self.stack else ("", False, 0)
-            self.lines.append([text, self.tags, None if dropped else region])
+            _, dropped, region = self._top()
+            if not dropped:
+                self.regions[region].lines.append(len(self.lines))
+                self.lines.append([text, self.tags, min(self.linked, len(text)), region])
             self.tags = 0
+        self.linked = 0
         self.text.clear()
 
     def _pop(self, names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
@@ -71,6 +106,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in INLINE:
+            self.in_link = self.in_link or tag == "a"
             return
         if tag == "br":
             self.text.append(" ")
@@ -82,24 +118,29 @@ class Lines(HTMLParser):
             self._pop(SAME[tag], frozenset(("ul", "ol", "dl", "table", "select")) | REGION - {"td"})
         if tag in VOID:
             return
-        _, dropped, region = self.stack[-1] if self.stack else ("", False, 0)
-        if tag == "article" or tag in REGION and region not in self.marked:
-            self.regions += 1
-            region = self.regions
-            if tag in ("article", "main"):
-                self.marked.add(region)
-        own = tag in DROPPED or tag not in ("html", "body", "main") and any(
-            v and (k in ("class", "id") and tag not in NAMED and MARKS.search(v) or k == "role" and v.lower() in ROLES) or k == "hidden" for k, v in attrs)
+        _, dropped, region = self._top()
+        says = 0 if tag in NAMED or tag in ("html", "body") else max((named(v) for k, v in attrs if v and k in ("class", "id")), default=0)
+        gone = tag in DROPPED or says == 2 or tag not in ("html", "body", "main") and any(k == "hidden" or k == "role" and (v or "").lower() in ROLES for k, v in attrs)
+        if not (dropped or gone) and (says or tag in REGION or tag in LISTS):
+            inside = self.regions[region].article
+            own = says or tag == "article" or tag in REGION and not inside and tag != "td"
+            k = len(self.regions)
+            self.regions.append(Region(k if own else self.regions[region].root, region, inside or tag in ("article", "main")))
+            region = k
         self.open[tag] += 1
-        self.stack.append((tag, dropped or bool(own) and not (tag == "header" and self.open["article"]), region))
+        self.stack.append((tag, dropped or gone and not (tag == "header" and self.open["article"]), region))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.in_link = False
         if tag not in INLINE and tag not in VOID:
             self._pop(frozenset((tag,)), frozenset())
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.in_link:
+            self.linked += len(data.strip())
 
     def unknown_decl(self, data: str) -> None:
         pass
@@ -116,17 +157,35 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, w)[r:r + len(x)] / np.convolve(np.ones(len(x)), w)[r:r + len(x)]
 
 
+def content_lines(lines: list[list], regions: list[Region]) -> list[int]:
+    """The lines of content regions, as the clusters of the smoothed ratio say."""
+    own = np.array([(len(t) - linked) / max(1, n) for t, n, linked, _ in lines])
+    ratio = smooth(own)
+    level = min(float(ratio.std()), float(ratio.max()), float(own.max()))
+    high = (ratio >= level) & (own >= level)  # smoothing alone must not lift a region beside a long line
+    size = np.array([len(t) for t, *_ in lines])
+    roots = [False] * len(regions)
+    for g, (*_, r) in zip(high.tolist(), lines, strict=True):
+        roots[regions[r].root] |= g
+    content = [False] * len(regions)
+    for k, r in enumerate(regions):
+        if r.root == k:
+            content[k] = roots[k]
+        else:
+            total = int(size[r.lines].sum())
+            menu = total and sum(lines[i][2] for i in r.lines) >= LINKED * total and not high[r.lines].any()
+            content[k] = content[r.parent] and not menu
+    mass = sum(int(size[i]) for i in range(len(lines)) if high[i] and content[lines[i][3]])
+    within = sum(int(size[i]) for i in range(len(lines)) if high[i] and content[lines[i][3]] and regions[lines[i][3]].article)
+    only = within >= ARTICLE_SHARE * mass
+    return [i for i, (*_, r) in enumerate(lines) if content[r] and (regions[r].article or not only)]
+
+
 def main_text(html: str | None) -> str:
     p = Lines()
     p.feed(html or "")
     p.close()
-    lines = [x for x in p.lines if x[2] is not None]
-    if not lines:
-        return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    content = {r for (_, _, r), v in zip(lines, ratio, strict=True) if v >= min(float(ratio.std()), float(ratio.max()))}
-    content = content & p.marked or content
-    return "\n\n".join(t for t, _, r in lines if r in content)
+    return "\n\n".join(p.lines[i][0] for i in content_lines(p.lines, p.regions)) if p.lines else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
