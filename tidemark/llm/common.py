@@ -14,19 +14,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode (tests) a temporary one where that is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them can read")
         known = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later work starts from the files, not from the lineage."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back: later work starts from the files, not from the lineage. Also its path, for forget()."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    return written(df)[0]
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more: all that came from them is written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Ids are broadcast only where they are no more than this, as counted; a row of ids and a few numbers takes some 100 bytes.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if its rows are few, as counted just now. `df` should be a written table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def held_out(doc_id: Column) -> Column:

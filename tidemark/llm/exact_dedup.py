@@ -1,13 +1,13 @@
 """Exact deduplication with salted groups; DataFrame functions only.
 
 Local: Spark's partial aggregation joins equal texts inside each map task, before the shuffle.
-Salted: rows meet by (digest, salt, text). A digest that holds more than one row in `HEAVY_SHARE` has as many salts as
-keep a salted group near `rows_per_salt` rows, every other digest has one.
+Salted: rows meet by (digest, salt, text). A digest with more than `rows_per_salt` rows has as many salts as keep a salted group
+near that size, every other digest has one; the limit does not depend on the size of the table.
 Global: salt winners of the heavy digests meet by (digest, text).
 The text is part of every grouping key, so equal digests of different texts never merge.
 
-At most HEAVY_SHARE digests can each hold over 1/HEAVY_SHARE of the rows, whatever the input: that bounds what is
-collected and broadcast.
+The list of heavy digests is broadcast only while it is small, as counted. Beyond that the rows meet it by (digest, lane), where the list
+stands once in each of LANES lanes, so that no task gets all rows of a digest.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 1000
+from .common import BROADCAST_ROWS, cut
+
+LANES = 64
 
 
 def sha256(text: Column) -> Column:
@@ -25,7 +27,7 @@ def sha256(text: Column) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 2000,
-                digest: Callable[[Column], Column] = sha256, heavy_share: int = HEAVY_SHARE) -> DataFrame:
+                digest: Callable[[Column], Column] = sha256, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the largest id stays. A null text counts as empty; a null id is the smallest. Repeated rows with one id
@@ -34,16 +36,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    per_digest = rows.groupBy("digest").agg(F.count("*").alias("n"))
-    least = max(rows.count() // heavy_share, rows_per_salt // heavy_share, 1)
-    heavy = {r.digest: -(-r.n // rows_per_salt) for r in per_digest.filter(F.col("n") > least).collect()}
+    per_digest = rows.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_salt)
+    heavy = cut(per_digest.select("digest", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("n_salts")))
+    n_heavy = heavy.count()
 
-    groups = _groups(rows.filter(~_is_in(heavy)), F.lit(0))
+    light = _beside(rows, heavy, "left_anti", n_heavy <= broadcast_rows) if n_heavy else rows
+    groups = _groups(light, F.lit(0))
     member = groups.select("digest", "ids", F.array_max("ids")["id"].alias("keep_id"), F.size("ids").cast("long").alias("group_size"))
-    if heavy:
-        spark = docs.sparkSession
-        salts = F.broadcast(spark.createDataFrame(list(heavy.items()), "digest string, n_salts int"))
-        hot = rows.join(salts, "digest")
+    if n_heavy:
+        hot = _beside(rows, heavy, "inner", n_heavy <= broadcast_rows)
         hot = _groups(hot, F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int"))
         hot = hot.withColumns({"best": F.array_max("ids")["id"], "n": F.size("ids").cast("long")})
         winners = hot.groupBy("digest", "text").agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -53,8 +54,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col), "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def _is_in(heavy: dict[str, int]) -> Column:
-    return F.col("digest").isin(list(heavy)) if heavy else F.lit(False)
+def _beside(rows: DataFrame, heavy: DataFrame, how: str, few: bool) -> DataFrame:
+    """Rows with, or without, a heavy digest."""
+    if few:
+        return rows.join(F.broadcast(heavy), "digest", how)
+    lanes = heavy.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    return rows.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(LANES)).cast("int")).join(lanes, ["digest", "lane"], how).drop("lane")
 
 
 def _groups(rows: DataFrame, salt: Column) -> DataFrame:
