@@ -2,8 +2,8 @@
 
 Texts are cut into segments of `STEPS` bytes, each a sequence of its own, so that all segments of a batch advance together. Every
 byte gets a probability of each language; a document's probabilities are the means over all its bytes. Training is plain
-backpropagation through time in numpy on a bounded sample: at most about `per_lang` windows of `WINDOW` characters for each of the
-`max_langs` most frequent languages.
+backpropagation through time in numpy on a bounded sample: about `per_lang` windows of `WINDOW` characters for each language, and no more
+than `most_rows` windows together (fewer for each, the more languages there are).
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
+from .shingles import in_slices
 
-STEPS, HIDDEN, WINDOW, UNKNOWN = 64, 8, 2000, "und"
+STEPS, HIDDEN, WINDOW, UNKNOWN, SLICE = 64, 8, 2000, "und", 1_000_000
 
 
 def init(k: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -40,6 +41,12 @@ def squash(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slope(x: np.ndarray) -> np.ndarray:
+    """The derivative of squash() at x: 0 where it is clipped."""
+    y = np.minimum(x * x, 9)
+    return ((y - 9) / (3 * (y + 3))) ** 2
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * squash(0.5 * x) + 0.5
 
@@ -47,14 +54,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def forward(e: np.ndarray, u: np.ndarray, x: np.ndarray, keep: bool = False):
     """States (steps, batch, hidden) of one direction; x is (steps, batch) bytes in the order of that direction."""
     h_size, (steps, batch) = u.shape[0], x.shape
-    h, states, saved = np.zeros((batch, h_size), np.float32), np.empty((steps, batch, h_size), np.float32), []
+    h, states, saved = np.zeros((batch, h_size), e.dtype), np.empty((steps, batch, h_size), e.dtype), []
     for t in range(steps):
         a, g = e[x[t]], h @ u
-        zr = sigmoid(a[:, :2 * h_size] + g[:, :2 * h_size])
+        in_zr = a[:, :2 * h_size] + g[:, :2 * h_size]
+        zr = sigmoid(in_zr)
         z, r = zr[:, :h_size], zr[:, h_size:]
-        n = squash(a[:, 2 * h_size:] + r * g[:, 2 * h_size:])
+        in_n = a[:, 2 * h_size:] + r * g[:, 2 * h_size:]
+        n = squash(in_n.copy())
         if keep:
-            saved.append((h, z, r, n, g[:, 2 * h_size:].copy()))
+            saved.append((h, z, r, n, g[:, 2 * h_size:].copy(), 0.25 * slope(0.5 * in_zr), slope(in_n)))
         h = n + z * (h - n)
         states[t] = h
     return states, saved
@@ -64,10 +73,11 @@ def backward(e: np.ndarray, u: np.ndarray, x: np.ndarray, saved: list, d_states:
     """Gradients of e and u by backpropagation through time."""
     de, du, dh = np.zeros_like(e), np.zeros_like(u), np.zeros_like(d_states[0])
     for t in range(len(x) - 1, -1, -1):
-        h, z, r, n, gn = saved[t]
+        h, z, r, n, gn, at_zr, at_n = saved[t]
+        k = h.shape[1]
         dh = dh + d_states[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        da = np.concatenate((dh * (h - n) * z * (1 - z), dn * gn * r * (1 - r), dn), 1)
+        dn = dh * (1 - z) * at_n
+        da = np.concatenate((dh * (h - n) * at_zr[:, :k], dn * gn * at_zr[:, k:], dn), 1)
         dg = np.concatenate((da[:, :2 * h.shape[1]], dn * r), 1)
         np.add.at(de, x[t], da)
         du += h.T @ dg
@@ -80,6 +90,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy over all positions of segments x (steps, batch) of languages y, and 8 times its gradients."""
+    hf, sf = forward(p["ef"], p["uf"], x, True)
+    hb, sb = forward(p["eb"], p["ub"], x[::-1], True)
+    prob = softmax(hf @ p["of"] + hb[::-1] @ p["ob"] + p["c"])
+    own = (slice(None), np.arange(len(y)), y)
+    loss = float(-np.log(np.maximum(prob[own], 1e-30)).mean())
+    prob[own] -= 1
+    d = prob / prob[..., 0].size * 8
+    g = {"of": np.einsum("tbh,tbk->hk", hf, d), "ob": np.einsum("tbh,tbk->hk", hb[::-1], d), "c": d.sum((0, 1))}
+    g["ef"], g["uf"] = backward(p["ef"], p["uf"], x, sf, d @ p["of"].T)
+    g["eb"], g["ub"] = backward(p["eb"], p["ub"], x[::-1], sb, (d @ p["ob"].T)[::-1])
+    return loss, g
+
+
 def train(windows: list[tuple[bytes, int]], k: int, hidden: int = HIDDEN, steps: int = 350, batch: int = 128, seed: int = 7) -> dict[str, np.ndarray]:
     """Every byte of a segment is a training position with the language of its document; languages are drawn evenly."""
     rng = np.random.default_rng(seed)
@@ -89,14 +114,7 @@ def train(windows: list[tuple[bytes, int]], k: int, hidden: int = HIDDEN, steps:
     for step in range(1, steps + 1):
         y = rng.integers(0, k, batch)
         x = np.stack([by_lang[i][rng.integers(len(by_lang[i]))] for i in y], 1)
-        hf, sf = forward(p["ef"], p["uf"], x, True)
-        hb, sb = forward(p["eb"], p["ub"], x[::-1], True)
-        prob = softmax(hf @ p["of"] + hb[::-1] @ p["ob"] + p["c"])
-        prob[:, np.arange(batch), y] -= 1
-        d = prob / prob[..., 0].size * 8
-        g = {"of": np.einsum("tbh,tbk->hk", hf, d), "ob": np.einsum("tbh,tbk->hk", hb[::-1], d), "c": d.sum((0, 1))}
-        g["ef"], g["uf"] = backward(p["ef"], p["uf"], x, sf, d @ p["of"].T)
-        g["eb"], g["ub"] = backward(p["eb"], p["ub"], x[::-1], sb, (d @ p["ob"].T)[::-1])
+        _, g = loss_and_gradients(p, x, y)
         rate = 0.02 * (1 - step / (steps + 1))
         for n in p:
             m[n], v[n] = 0.9 * m[n] + 0.1 * g[n], 0.99 * v[n] + 0.01 * g[n] ** 2
@@ -153,23 +171,27 @@ def label(texts: list[bytes], p: dict[str, np.ndarray], positions: bool = False,
     return sums / np.maximum(1, [[len(t)] for t in texts]), labels
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 64):
-    """(languages, weights) from documents that are not held out and have a language; None without any."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, most_rows: int = 25_000):
+    """(languages, weights) from documents that are not held out and have a language; None without any. Every language that occurs is learned.
+
+    Rows are drawn by a hash of id and text, so the sample is the same in each run; where `most_rows` binds, the rows of least hash stay.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) & (F.length(text_col) > 0))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row per language
     if not counts:
         return None
-    langs = sorted(r["lang"] for r in counts)
-    n = {r["lang"]: r["count"] for r in counts}
-    share = F.create_map(*[F.lit(x) for g in langs for x in (g, min(1.0, per_lang / n[g]) * 2**31)])
+    langs, n = sorted(r["lang"] for r in counts), {r["lang"]: r["count"] for r in counts}
+    each = max(1, min(per_lang, most_rows // len(langs)))
+    share = F.create_map(*[F.lit(x) for g in langs for x in (g, min(1.0, each / n[g]) * 2**31)])
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(2)), F.lit(2**31))
     start = 1 + F.pmod(F.xxhash64(id_col, F.lit(1)), F.greatest(F.length(text_col) - WINDOW, F.lit(1)))
-    sample = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(2**31)) < share[F.col(lang_col)])
-    sample = sample.select(F.substring(F.col(text_col), start.cast("int"), F.lit(WINDOW)).alias("t"), F.col(lang_col).alias("lang"))
-    rows = sample.limit(2 * per_lang * len(langs)).collect()
-    windows = sorted((r["t"].encode(), langs.index(r["lang"])) for r in rows if r["lang"] in n)
-    have = {y for _, y in windows}
-    windows = [(w, sorted(have).index(y)) for w, y in windows]
-    return [langs[y] for y in sorted(have)], train(windows, len(have))
+    sample = known.withColumn("_draw", draw).filter(F.col("_draw") < share[F.col(lang_col)])
+    sample = sample.select(F.substring(F.col(text_col), start.cast("int"), F.lit(WINDOW)).alias("t"), F.col(lang_col).alias("lang"), "_draw")
+    rows = sample.orderBy("_draw", "lang", "t").limit(max(most_rows, len(langs))).collect()
+    windows = sorted((r["t"].encode(), langs.index(r["lang"])) for r in rows)
+    have = sorted({y for _, y in windows})
+    windows = [(w, have.index(y)) for w, y in windows]
+    return [langs[y] for y in have], train(windows, len(have))
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", positions: bool = False) -> DataFrame:
@@ -183,9 +205,9 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), 500):
-                x = whole.slice(i, 500)
-                texts = [(t or "").encode() for t in x["text"].to_pylist()] if weights else [b""] * len(x)
+            every = [(t or "").encode() for t in whole["text"].to_pylist()] if weights else [b""] * len(whole)
+            for i, j in in_slices([len(t) for t in every], SLICE):
+                x, texts = whole.slice(i, j - i), every[i:j]
                 prob, labels = label(texts, weights, positions) if weights else (np.zeros((len(x), 1)), [np.zeros(0, np.uint8)] * len(x))
                 best = prob.argmax(1)
                 out = {"id": x["id"], "lang_pred": pa.array([langs[b] if t else UNKNOWN for t, b in zip(texts, best, strict=True)], pa.string()),
