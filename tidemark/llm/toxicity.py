@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -63,7 +64,7 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     one_hot = np.eye(3)[votes]
     strength, corr = np.ones(k), np.eye(k)
     fired = (votes == TOXIC).sum(1)
-    q = np.clip(0.05 + 0.45 * (votes[:, -1] == TOXIC) + 0.15 * np.minimum(fired, 3), 0.05, 0.95)
+    q = np.clip(0.05 + 0.3 * np.minimum(fired, 3), 0.05, 0.95)
     for _ in range(2):
         for _ in range(rounds):
             mass = np.stack((weight * (1 - q), weight * q))
@@ -129,8 +130,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray):
     votes = np.zeros((len(raw), len(lexicon)), int)
     for j, word in enumerate(lexicon):
         votes[owner[index == word], j] = TOXIC
-    given = np.where(toxic == 1, TOXIC, CLEAN)[:, None]  # the annotator is one more voter, whose accuracy is estimated like any
-    votes = np.hstack([votes, pattern_votes(raw, (votes == TOXIC).sum(1)), given])
+    votes = np.hstack([votes, pattern_votes(raw, (votes == TOXIC).sum(1))])
     q, _, _ = label_model(votes, weight, float(toxic @ weight / weight.sum()))
     common = np.argsort(-np.bincount(index, minlength=len(vocabulary)), kind="stable")[:FEATURES - len(lexicon)]
     chosen = np.unique(np.concatenate((lexicon, common)))
@@ -139,16 +139,24 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray):
     return vocabulary[chosen], w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500):
-    """Model from labelled rows that are not held out, at most about `per_label` of either label; rows weigh as much as they stand for."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500, most_chars: int = 60_000_000):
+    """Model from labelled rows that are not held out; rows weigh as much as they stand for.
+
+    The sample has about `per_label` rows of either label, at most three times that together where rows repeat an id, and at most `most_chars`
+    characters of text (but one row at least); rows of the least hash of id and text stay. Labels steer which words become voters, never a vote.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
     share = {y: min(1.0, per_label / n) for y, n in counts.items()}
-    some = known.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2**31)) < F.when(F.col("y") == 1, F.lit(share[1] * 2**31)).otherwise(F.lit(share[0] * 2**31))).limit(3 * per_label)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id").collect()
+    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2**31))
+    some = known.withColumn("draw", draw).filter(F.col("draw") < F.when(F.col("y") == 1, F.lit(share[1] * 2**31)).otherwise(F.lit(share[0] * 2**31))).orderBy("draw", "id").limit(3 * per_label)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    rows = rows.withColumn("draw", F.xxhash64("id", "text")).orderBy("draw", "id", "text").limit(3 * per_label)
+    so_far = F.sum(F.length("text")).over(W.orderBy("draw", "id", "text"))  # over the limited sample
+    rows = rows.withColumns({"so_far": so_far, "first": F.row_number().over(W.orderBy("draw", "id", "text"))}).filter((F.col("so_far") <= most_chars) | (F.col("first") == 1)).collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     y = np.array([r["y"] for r in rows])
     return train([r["text"] for r in rows], y, np.array([1 / share[v] for v in y.tolist()])) if rows else None
