@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding (BPE models with byte fallback) by suffix-array matching.
 
-A batch's distinct words are laid end to end and indexed by a suffix array (ranks of 5, 10 and 20 characters by doubling). Every
+A batch's distinct words are laid end to end and indexed by a suffix array (ranks of prefixes by doubling, to the longest piece). Every
 piece is binary-searched in it; its range of suffixes gives all places where it occurs, each an edge from its first to its last
 character. Edges are sorted by where they end and relaxed in that order.
 
@@ -9,7 +9,8 @@ whose piece may follow the piece that ends before it. Two pieces may follow each
 finds no merge across their border that would have come first; the merges of a vocabulary are few enough for a lookup table.
 The ids equal those of the public library (see the tests).
 
-No piece has a space behind another character, so words (spaces, then all up to the next space) can be encoded one by one.
+No piece has a space behind another character, so words (spaces, then all up to the next space) can be encoded one by one. A model of
+which that does not hold, or that is no BPE with byte fallback, or that changes the text before it encodes, is refused.
 """
 
 from __future__ import annotations
@@ -22,17 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE, CHUNK, KEEP, LONG = "▁", 400_000, 400_000, 400
+from .shingles import in_slices
+
+SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 400_000, 400_000, 400, 2_000_000
 WORD = re.compile(r" *[^ ]+| +")
 NEVER = np.int64(1) << 60
 
 
+def check_model(path: str) -> None:
+    """Raise ValueError for a model whose encoding this module would not reproduce."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        m.ParseFromString(f.read())
+    t, n = m.trainer_spec, m.normalizer_spec
+    faults = {"it is no BPE model": t.model_type != 2, "it has no byte fallback": not t.byte_fallback, "it normalises text": n.name not in ("", "identity") or bool(n.precompiled_charsmap),
+              "it removes white space": n.remove_extra_whitespaces, "it puts no space before a text": not n.add_dummy_prefix, "it keeps spaces as they are": not n.escape_whitespaces,
+              "it has spaces behind words": t.treat_whitespace_as_suffix, "it has user-defined pieces": any(x.type == 4 for x in m.pieces),
+              "a piece has a space behind another character": any(SPACE in x.piece.lstrip(SPACE) for x in m.pieces if x.type == 1)}
+    if said := [k for k, v in faults.items() if v]:
+        raise ValueError(f"{path} can't be used: {', '.join(said)}")
+
+
 class Pieces:
-    """A vocabulary as arrays; `rank` orders merges, 0 for single characters."""
+    """A vocabulary as arrays; `rank` orders merges, 0 for single characters. Pieces may have any length, characters any number."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        check_model(path)
         sp = SentencePieceProcessor(model_file=path)
         ids = range(sp.vocab_size())
         self.unk = len(ids)
@@ -59,14 +79,18 @@ class Pieces:
         self._table([p for p in pairs])
         chars = sorted({c for t in text.values() for c in t})
         self.n_codes = len(chars) + 1
-        self.code = np.zeros(0x110000, np.uint16)
+        self.bits_of_code = max(12, int(self.n_codes).bit_length())
+        first = 60 // self.bits_of_code  # characters in one number
+        longest = max((len(text[i]) for i in made), default=1)
+        self.widths = [first << k for k in range(max(1, int(np.ceil(np.log2(max(1, -(-longest // first)))) + 1)))]
+        self.code = np.zeros(0x110000, np.uint16 if self.n_codes < 65536 else np.uint32)
         self.code[[ord(c) for c in chars]] = np.arange(1, self.n_codes)
         self.single = np.full(self.n_codes, self.unk, np.int32)
         for c, k in zip(chars, range(1, self.n_codes), strict=True):
             self.single[k] = by_text.get(c, self.unk)
         self.found = np.array(made, np.int32)
         self.length = np.array([len(text.get(i, " ")) for i in ids] + [1], np.int32)
-        self.codes = np.zeros((len(made), 20), np.uint64)
+        self.codes = np.zeros((len(made), self.widths[-1]), np.uint64)
         for row, i in enumerate(made):
             self.codes[row, :len(text[i])] = self.code[[ord(c) for c in text[i]]]
 
@@ -127,32 +151,33 @@ class Pieces:
         return ok
 
 
-def key_of(codes: np.ndarray, at: int, fill: int) -> np.ndarray:
-    """Five characters as one number; behind the end of a piece stands `fill`."""
+def key_of(codes: np.ndarray, at: int, fill: int, bits: int, width: int) -> np.ndarray:
+    """`width` characters as one number; behind the end of a piece stands `fill`."""
     k = np.zeros(len(codes), np.uint64)
-    for j in range(5):
+    for j in range(width):
         c = codes[:, at + j]
-        k = k << np.uint64(12) | np.where(c > 0, c, np.uint64(fill))
+        k = k << np.uint64(bits) | np.where(c > 0, c, np.uint64(fill))
     return k
 
 
 class SuffixArray:
-    """Suffixes of the codes in order of their first 20 characters, with the ranks that doubling goes through."""
+    """Suffixes of the codes in order of their first widths[-1] characters, with the ranks that doubling goes through."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, bits: int, widths: list[int]):
+        self.bits, self.widths = bits, widths
         n = len(codes)
-        c = np.concatenate((codes.astype(np.uint64), np.zeros(20, np.uint64)))
+        c = np.concatenate((codes.astype(np.uint64), np.zeros(widths[-1], np.uint64)))
         k = np.zeros(n, np.uint64)
-        for j in range(5):
-            k = k << np.uint64(12) | c[j:n + j]
+        for j in range(widths[0]):
+            k = k << np.uint64(bits) | c[j:n + j]
         self.levels = []
-        for width in (5, 10, None):
+        for level, width in enumerate(widths):
             order = np.argsort(k, kind="stable")
             s = k[order]
             new = np.concatenate(([True], s[1:] != s[:-1])) if n else np.zeros(0, bool)
             self.levels.append(s[new])
             self.starts, self.order = np.append(np.flatnonzero(new), n), order
-            if width:
+            if level + 1 < len(widths):
                 rank = np.empty(n, np.uint64)
                 rank[order] = np.cumsum(new) - 1
                 k = rank << np.uint64(32) | np.concatenate((rank[width:], np.zeros(min(width, n), np.uint64)))[:n]
@@ -161,19 +186,20 @@ class SuffixArray:
         """First and behind-last place in the order, by binary search, for every piece."""
         def within(level: int, at: int, left: np.ndarray):
             if level == 0:
-                lo = np.searchsorted(self.levels[0], key_of(codes, at, 0), "left")
-                return lo, np.maximum(lo, np.searchsorted(self.levels[0], key_of(codes, at, 4095), "right"))
-            half = (5, 10)[level - 1]
+                low, high = (key_of(codes, at, fill, self.bits, self.widths[0]) for fill in (0, (1 << self.bits) - 1))
+                lo = np.searchsorted(self.levels[0], low, "left")
+                return lo, np.maximum(lo, np.searchsorted(self.levels[0], high, "right"))
+            half = self.widths[level - 1]
             lo, hi = within(level - 1, at, left)
-            lo2, hi2 = within(level - 1, at + half, left - half) if at + half < 20 else (np.zeros_like(lo), np.zeros_like(hi))
+            lo2, hi2 = within(level - 1, at + half, left - half) if at + half < self.widths[-1] else (np.zeros_like(lo), np.zeros_like(hi))
             far = left > half  # then the first half has one rank, or none
-            a = np.where(far, lo, lo).astype(np.uint64) << np.uint64(32)
+            a = lo.astype(np.uint64) << np.uint64(32)
             first = np.searchsorted(self.levels[level], a | np.where(far, lo2, 0).astype(np.uint64), "left")
             b = np.where(far, a | hi2.astype(np.uint64), hi.astype(np.uint64) << np.uint64(32))
             last = np.searchsorted(self.levels[level], b, "left")
             return first, np.where(hi > lo, np.maximum(first, last), first)
 
-        lo, hi = within(2, 0, length)
+        lo, hi = within(len(self.widths) - 1, 0, length)
         return self.starts[lo], self.starts[hi]
 
 
@@ -191,7 +217,7 @@ def encode_words(words: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     codes = p.code[points]
     place = np.arange(len(points)) - np.repeat(begin, n_chars + 1)[:len(points)]
     codes[begin[1:] - 1] = 0
-    sa = SuffixArray(codes)
+    sa = SuffixArray(codes, p.bits_of_code, p.widths)
     lo, hi = sa.ranges(p.codes, p.length[p.found])
     piece = np.repeat(p.found, hi - lo)
     start = sa.order[ragged(lo, hi - lo)]
@@ -308,9 +334,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(pieces)
         for whole in batches:
-            for i in range(0, len(whole), 1000):
-                x = whole.slice(i, 1000)
-                texts = x["text"].to_pylist()
+            every = whole["text"].to_pylist()
+            for i, j in in_slices([len(t or "") for t in every], SLICE):
+                x, texts = whole.slice(i, j - i), every[i:j]
                 ids, n = codec.encode(texts)
                 same = [a == (t or "") for a, t in zip(codec.decode(ids, n), texts, strict=True)]
                 yield pa.RecordBatch.from_pydict({"id": x["id"], "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32())),
