@@ -1,14 +1,17 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of the benchmark items, one scan of each text.
 
-A text becomes words split by single spaces; windows carry a space on both ends, so the automaton only finds whole words. Hit
-words map back to code points of the original text. Documents are never shuffled.
+Every word that stands in an item is a number of three digits (code points; each digit has an alphabet of its own), all other words are one
+number more. So a text becomes a string, the automaton has three nodes a word instead of one a character, matches are whole words, and
+a match's place is a word's number times three. Hit words map back to code points of the original text. Documents are never shuffled.
 
-The automaton goes to every executor, so its size is checked: items are dealt to blocks of at most `block_chars` characters of
-text, and each block has its own automaton and its own pass over the documents. One block is the usual case.
+The automaton goes to every executor, so its nodes are counted beforehand: windows are dealt to blocks of at most about `block_nodes`
+nodes (40 bytes each, some 90 while it is built), and each block has its own automaton and its own pass over the documents, whose result is written before the next
+block is read. One block is the usual case. An item of any length is cut into chunks of consecutive windows, so it may lie in several blocks.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, BLOCK_CHARS = 10, 16_000_000
+from .common import cut, forget, written
+
+WINDOW, BLOCK_NODES, CHUNK, DIGITS = 10, 6_000_000, 5_000, 3
 #: Bytes of UTF-8: A-Z become a-z, ASCII that is no letter or digit becomes a space, all else stays.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 HITS = "spans array<struct<start:int,end:int>>, first array<int>, last array<int>, items array<string>"
@@ -29,42 +34,49 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode().translate(FOLD).split()]
 
 
-def windows_of(text: str | None, size: int = WINDOW) -> set[str]:
-    w = words_of(text)
-    return {f" {' '.join(w[i:i + size])} " for i in range(max(1, len(w) - size + 1))} if w else set()
+def spelled(k: int, base: int) -> str:
+    """A number below base ** 3 as three digits, each from an alphabet of its own, so that matches begin and end with a word."""
+    return chr(2 + k // base**2) + chr(2 + base + k // base % base) + chr(2 + 2 * base + k % base)
+
 
+class Matcher:
+    """An automaton over (item, words) chunks: all windows of `size` consecutive words, or all the words where they are fewer."""
 
-def automaton_of(key, items: list[tuple[str, str]], size: int):
-    """Values are (length of the window, item ids). Kept in the worker by key, so later tasks don't build it again."""
+    def __init__(self, chunks: list[tuple[str, list[str]]], size: int):
+        known = sorted({w for _, ws in chunks for w in ws})
+        base = math.ceil((len(known) + 1) ** (1 / 3) + 1e-9)
+        self.symbols, self.other = {w.encode(): spelled(k, base) for k, w in enumerate(known)}, spelled(len(known), base)
+        self.names = sorted({item for item, _ in chunks})
+        number = {name: k for k, name in enumerate(self.names)}
+        owners: dict[str, list[int]] = {}
+        for item, ws in chunks:
+            line = "".join([self.symbols[w.encode()] for w in ws])
+            for i in range(max(1, len(ws) - size + 1)) if ws else ():
+                owners.setdefault(line[DIGITS * i:DIGITS * (i + size)], []).append(number[item])
+        self.automaton = ahocorasick.Automaton()
+        for w, ids in owners.items():
+            self.automaton.add_word(w, (len(w) // DIGITS, tuple(ids)))
+        if owners:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words of the text; runs of hit words (first, last), merged where they overlap or touch; items found."""
+        found = (text or "").encode().translate(FOLD).split()
+        if not found or not len(self.automaton):
+            return len(found), [], set()
+        get, other = self.symbols.get, self.other
+        ends = list(self.automaton.iter("".join([get(w, other) for w in found])))
+        return len(found), merged([(end // DIGITS - n + 1, end // DIGITS) for end, (n, _) in ends]), {self.names[i] for i in {i for _, (_, ids) in ends for i in ids}}
+
+
+def matcher_of(key, chunks: list[tuple[str, list[str]]], size: int) -> Matcher:
+    """Kept in the worker by key, so later tasks don't build it again."""
     if key not in _built:
         _built.clear()
-        owners: dict[str, list[str]] = {}
-        for item, text in items:
-            for w in windows_of(text, size):
-                owners.setdefault(w, []).append(item)
-        a = ahocorasick.Automaton()
-        for w, ids in owners.items():
-            a.add_word(w, (len(w), tuple(ids)))
-        if len(a):
-            a.make_automaton()
-        _built[key] = a
+        _built[key] = Matcher(chunks, size)
     return _built[key]
 
 
-def scan(text: str | None, a) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of the text; runs of hit words (first, last), merged where they overlap or touch; items found."""
-    found = (text or "").encode().translate(FOLD).split()
-    if not found or not len(a):
-        return len(found), [], set()
-    line = f" {b' '.join(found).decode()} "
-    ends = list(a.iter(line))
-    if not ends:
-        return len(found), [], set()
-    starts = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
-    spans = sorted({(int(np.searchsorted(starts, end - n + 1)), int(np.searchsorted(starts, end)) - 1) for end, (n, _) in ends})
-    return len(found), merged(spans), {i for _, (_, ids) in ends for i in ids}
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -84,39 +96,58 @@ def originals(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(point[edge[2 * a]]), "end": int(point[edge[2 * b + 1]])} for a, b in runs]
 
 
+def _chunks(size: int):
+    """Items as chunks of CHUNK windows: item, words, nodes (an upper bound)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for item, text in zip(x["item"].to_pylist(), x["text"].to_pylist(), strict=True):
+                w = words_of(text)
+                parts = [w[i:i + CHUNK + size - 1] for i in range(0, max(1, len(w) - size + 1), CHUNK)] if w else []
+                if parts:
+                    nodes = [DIGITS * max(1, len(p) - size + 1) * min(size, len(p)) for p in parts]
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(parts), pa.string()), "words": pa.array(parts, pa.list_(pa.string())), "nodes": pa.array(nodes, pa.int64())})
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                  item_text: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """One row per document: id, n_words, n_hit, contaminated, items (sorted ids as strings), spans in the original text.
 
     A null or empty text has no words. Items with a null id have the id `null`; repeated items count once. Without items
     nothing is hit. Repeated document rows each have their row. Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    total, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > block_chars:
-        raise ValueError(f"a benchmark item of {longest} characters is longer than block_chars={block_chars}")
-    n_blocks = 1 if total <= block_chars else -(-2 * total // block_chars)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
+    chunks = cut(items.mapInArrow(_chunks(window), "item string, words array<string>, nodes long"))
+    total = chunks.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
+    n_blocks = 1 if total <= block_nodes else -(-2 * total // block_nodes)  # blocks half full on average, as chunks are dealt by hash
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), *(F.lit(None).cast(k).alias(c) for c, k in
                       (("spans", "array<struct<start:int,end:int>>"), ("first", "array<int>"), ("last", "array<int>"), ("items", "array<string>"))))
     id_type = out.schema["id"].dataType.simpleString()
+    before: list[str] = []
     for b in range(n_blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b) if n_blocks > 1 else items
-        out = _pass(out, spark.sparkContext.broadcast([(r.item, r.text) for r in mine.distinct().collect()]), window, id_type, b == n_blocks - 1)
+        mine = chunks.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b) if n_blocks > 1 else chunks
+        block = spark.sparkContext.broadcast([(r.item, list(r.words)) for r in mine.select("item", "words").collect()])
+        out = _pass(out, block, window, id_type, b == n_blocks - 1)
+        if b < n_blocks - 1:  # one automaton at a time in a worker
+            out, path = written(out)
+            forget(spark, *before)
+            before = [path]
     n_hit = F.aggregate(F.zip_with("first", "last", lambda a, b: b - a + 1), F.lit(0).cast("long"), lambda s, x: s + x)
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), (n_hit > 0).alias("contaminated"), "items", "spans")
 
 
-def _pass(rows: DataFrame, items, window: int, id_type: str, final: bool) -> DataFrame:
+def _pass(rows: DataFrame, block, window: int, id_type: str, final: bool) -> DataFrame:
     """Add what one automaton finds; the last pass lets go of the text."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton_of(key, items.value, window)
+        m = matcher_of(key, block.value, window)
         for x in batches:
             first, last, found, spans, n = [], [], [], [], []
             for text, f, g, had in zip(x["text"].to_pylist(), *(x[c].to_pylist() for c in ("first", "last", "items")), strict=True):
-                k, runs, ids = scan(text, a)
+                k, runs, ids = m.scan(text)
                 runs, ids = (merged([*zip(f or (), g or (), strict=True), *runs]), ids | set(had or ())) if f else (runs, ids)
                 n.append(k), first.append([r[0] for r in runs]), last.append([r[1] for r in runs]), found.append(sorted(ids))
                 spans.append(originals(text, runs) if final and runs else [])
