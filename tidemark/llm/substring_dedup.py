@@ -6,6 +6,10 @@ independent. Anchors are sparse (about one in 41 bytes) and go first, without te
 fragment; equal fragments are combined, first inside each batch of a task and then after the shuffle, and the earliest stands for all. Only fragments that share an anchor with a different
 fragment bring their bytes: a shard's fragments are laid end to end, its suffix array is induced, and the permuted common prefixes tell which
 windows are equal.
+
+A passage that stands in very many documents doesn't gather its rows in one task: copies of a fragment within a batch leave it at once, and an anchor
+that has WIDE different fragments in one batch is known to need a shard, so those fragments meet by anchor and content, and one row a batch
+tells the others so. Equal fragments that then stand twice in a shard are no harm: the suffix array finds them.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .suffix_array import common_prefixes, induced_suffix_array
 
 LENGTH, GRAM = 100, 20
 SPREAD = LENGTH - GRAM + 1
-SLICE, SHARD, HOT = 1_500_000, 1_500_000, 20_000
+SLICE, SHARD, HOT, WIDE = 1_500_000, 1_500_000, 20_000, 8
 NO_ID = -(2**63)
 
 
@@ -84,7 +88,7 @@ def fragments(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def pack(place, lo, hi, digest):
-    """Anchor, reach to the left, number of windows and 18 bits of the text in one number, ordered by the anchor."""
+    """Anchor, reach to the left, number of windows and 17 bits of the text in one number, ordered by the anchor; two bits are free for marks."""
     return place << 33 | (place - lo) << 26 | (hi - lo) << 19 | digest
 
 
@@ -93,39 +97,54 @@ def unpack(x):
     return place, lo, lo + (x >> 19 & 127)
 
 
-DIGEST, COPY = (1 << 18) - 1, 1 << 18
+DIGEST, WIDELY, COPY, SIGN = (1 << 17) - 1, 1 << 17, 1 << 18, -1
 
 
-def combined(f: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def combined(f: dict[str, np.ndarray], wide_from: int = WIDE) -> dict[str, np.ndarray]:
     """Mark fragments that start later than the earliest of their equals as copies; those that are as early (repeated rows) stay. Copies need no
-    shard, so they are dealt out evenly instead of by their hash."""
+    shard, so they are dealt out evenly instead of by their hash.
+
+    The other fragments of an anchor with `wide_from` different ones are marked and dealt by anchor and content (hash ^ whole, so the anchor can be had
+    back); a row with packed = SIGN stands in for them where the anchor's other rows meet."""
     order = np.lexsort((f["packed"], f["id"], f["whole"], f["hash"]))
     h, w, i, place = f["hash"][order], f["whole"][order], f["id"][order], f["packed"][order] >> 33
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    anchor = np.ones(len(order), bool)
+    anchor[1:] = h[1:] != h[:-1]
+    new = anchor.copy()
+    new[1:] |= w[1:] != w[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = order[(i != i[first]) | (place != place[first])]
+    later = (i != i[first]) | (place != place[first])
+    group = np.cumsum(anchor) - 1
+    kinds = np.bincount(group[new])
+    again, wide = order[later], order[~later & (kinds[group] >= wide_from)]
+    signs = h[anchor][kinds >= wide_from]
     f["packed"][again] |= COPY
     f["hash"][again] = mix(f["id"][again].astype(np.uint64) * STEP + f["packed"][again].astype(np.uint64)).astype(np.int64)
-    return f
-
+    f["packed"][wide] |= WIDELY
+    f["hash"][wide] ^= f["whole"][wide]
+    rest = {"hash": signs, "whole": np.full(len(signs), NO_ID), "id": np.full(len(signs), NO_ID), "packed": np.full(len(signs), SIGN)}
+    return {k: np.concatenate((v, rest[k])) for k, v in f.items()} if len(signs) else f
+
+
+def _anchors(wide_from: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            texts, found = [(t or "").encode() for t in x["text"].to_pylist()], []
+            ids = x["id"].to_numpy()
+            for i, j in in_slices([len(t) for t in texts], SLICE):
+                if any(len(t) >= LENGTH for t in texts[i:j]):
+                    f = fragments(texts[i:j])
+                    digest = (f["texts"] >> U(47)).astype(np.int64)[f["owner"]]
+                    found.append((f["hash"].astype(np.int64), f["whole"].astype(np.int64), ids[i:j][f["owner"]], pack(f["place"], f["lo"], f["hi"], digest)))
+            if found:
+                yield pa.RecordBatch.from_pydict(combined(dict(zip(("hash", "whole", "id", "packed"), map(np.concatenate, zip(*found, strict=True)), strict=True)), wide_from))
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        texts, found = [(t or "").encode() for t in x["text"].to_pylist()], []
-        ids = x["id"].to_numpy()
-        for i, j in in_slices([len(t) for t in texts], SLICE):
-            if any(len(t) >= LENGTH for t in texts[i:j]):
-                f = fragments(texts[i:j])
-                digest = (f["texts"] >> U(46)).astype(np.int64)[f["owner"]]
-                found.append((f["hash"].astype(np.int64), f["whole"].astype(np.int64), ids[i:j][f["owner"]], pack(f["place"], f["lo"], f["hi"], digest)))
-        if found:
-            yield pa.RecordBatch.from_pydict(combined(dict(zip(("hash", "whole", "id", "packed"), map(np.concatenate, zip(*found, strict=True)), strict=True))))
+    return run
 
 
 def digest_of(text: bytes) -> int:
     raw = np.frombuffer(text, np.uint8)
-    return int(Prefixes(raw).of(np.array([0]), np.array([len(raw)]))[0] >> U(46))
+    return int(Prefixes(raw).of(np.array([0]), np.array([len(raw)]))[0] >> U(47))
 
 
 def _bring_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +246,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty; texts below LENGTH bytes stay whole; other columns are ignored; an empty table gives an empty table.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(id_col).isNull().alias("null_id"), F.col(text_col).alias("text"))
-    anchors = rows.select("id", "text").mapInArrow(_anchors, "hash long, whole long, id long, packed long")
+    anchors = rows.select("id", "text").mapInArrow(_anchors(WIDE), "hash long, whole long, id long, packed long")
     shard = W.partitionBy("hash")
-    copy = F.col("packed").bitwiseAND(F.lit(COPY)) != 0
-    met = anchors.select("*", F.count("*").over(shard).alias("n"), F.min("whole").over(shard).alias("low"), F.max("whole").over(shard).alias("high")).filter((F.col("n") > 1) | copy)
+    real, copy, widely = F.col("packed") != SIGN, F.col("packed").bitwiseAND(F.lit(COPY)) != 0, F.col("packed").bitwiseAND(F.lit(WIDELY)) != 0
+    met = anchors.select("*", F.count("*").over(shard).alias("n"), F.min("whole").over(shard).alias("low"), F.max("whole").over(shard).alias("high"))
+    met = met.filter(real & ((F.col("n") > 1) | copy | widely))
     stands = F.min(F.struct("id", "packed")).over(W.partitionBy("hash", "whole"))
     first = ~copy & (F.col("id") == F.col("stands.id")) & (F.shiftright("packed", 33) == F.shiftright("stands.packed", 33))
-    met = cut(met.withColumn("stands", stands).select("hash", "id", "packed", first.alias("first"), (F.col("low") != F.col("high")).alias("mixed")))
+    anchor = F.when(widely, F.col("hash").bitwiseXOR(F.col("whole"))).otherwise(F.col("hash"))
+    met = cut(met.withColumn("stands", stands).select(anchor.alias("hash"), "id", "packed", first.alias("first"), (widely | (F.col("low") != F.col("high"))).alias("mixed")))
 
     lo = F.shiftright("packed", 33) - F.shiftright("packed", 26).bitwiseAND(F.lit(127))
     copies = met.filter("NOT first").select("id", F.col("packed").bitwiseAND(F.lit(DIGEST)).alias("digest"), lo.alias("start"), (lo + F.shiftright("packed", 19).bitwiseAND(F.lit(127)) + LENGTH).alias("end"))

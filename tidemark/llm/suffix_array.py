@@ -1,16 +1,17 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-Suffixes are S (smaller than the next) or L. The leftmost S of each run starts a substring; these are sorted by induction,
-named, and the string of names is sorted in turn, after which one more induction from left to right and one from right to left
-give the array. Induction goes bucket by bucket (first character) and moves whole buckets at a time.
+Suffixes are S (smaller than the next) or L. The leftmost S of each run starts a substring; these are sorted and named a few characters at
+a time, and the string of names is sorted in turn by the same function, until no name repeats; then one induction from left to right and one from
+right to left give the array. Induction moves whole buckets (first character) where the alphabet is small, as with bytes; with as many
+names as the levels below have, it goes suffix by suffix. Both put the same suffixes into the same places.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Above so many names a level has too many small buckets to move them as blocks; its suffixes are ranked by doubling.
-FEW_NAMES = 600
+#: A step over a bucket costs about as much as steps over this many suffixes.
+BUCKET_COST = 60
 
 
 def induced_suffix_array(t: np.ndarray, deep: int | None = None) -> np.ndarray:
@@ -24,57 +25,51 @@ def induced_suffix_array(t: np.ndarray, deep: int | None = None) -> np.ndarray:
     is_s = step[np.minimum.accumulate(at[::-1])[::-1]] < 0
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     ends = np.cumsum(np.bincount(t, minlength=k))
-    first = _induce(t, is_s, ends, lms)
-    mark = np.zeros(n, bool)
-    mark[lms] = True
-    sub = first[mark[first]]
-    names = np.empty(len(sub), np.int64)
-    names[np.searchsorted(lms, sub)] = np.cumsum(~_same_as_before(t, mark, sub)) - 1
+    names = _names(t, is_s, lms)
     if names.max() + 1 == len(names):
         order = np.argsort(names)
-    elif names.max() < FEW_NAMES and len(names) > 4 * FEW_NAMES:
-        order = induced_suffix_array(names, deep)
+    elif deep is not None and deep <= 0:
+        order = np.argsort(names, kind="stable")  # the order is asked for to a depth that the names already reach
     else:
-        order = _by_doubling(names, deep)
+        least = int(np.diff(lms).min()) if len(lms) > 1 else 1  # each name stands for this many characters or more
+        order = induced_suffix_array(np.append(names + 1, 0), None if deep is None else -(-deep // max(1, least)) - 1)[1:]
     return _induce(t, is_s, ends, lms[order])
 
 
-def _same_as_before(t: np.ndarray, mark: np.ndarray, sub: np.ndarray) -> np.ndarray:
-    """Whether each LMS substring, in sorted order, equals the one before it."""
-    n = len(t)
-    same = np.zeros(len(sub), bool)
-    live, j = np.arange(1, len(sub)), 0
-    while len(live):
-        a, b = sub[live] + j, sub[live - 1] + j
-        fits = (a < n) & (b < n)
-        live, a, b = live[fits], a[fits], b[fits]
-        equal = (t[a] == t[b]) & (mark[a] == mark[b])
-        live, a = live[equal], a[equal]
-        over = mark[a] & (j > 0)
-        same[live[over]] = True
-        live, j = live[~over], j + 1
-    return same
-
+def _names(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Rank of each substring from one leftmost S to the next; equal substrings have equal ranks.
 
-def _by_doubling(names: np.ndarray, deep: int | None) -> np.ndarray:
-    rank, width, n = names.copy(), 1, len(names)
-    while True:
-        key = rank << 32
-        key[:n - width] |= rank[width:] + 1
+    Characters compare together with their type. Substrings that agree so far then also end together, so none is a beginning of another.
+    """
+    sym = (2 * t.astype(np.int64) + is_s) + 1
+    length = np.diff(np.append(lms, len(t) - 1)) + 1
+    bits = int(sym.max()).bit_length()
+    per = max(1, (62 - len(lms).bit_length()) // bits)  # characters in one key
+    rank, live, done = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0  # a rank is the place of a group's first
+    while len(live):
+        key = rank[live]
+        for j in range(done, done + per):
+            key = key << bits | np.where(j < length[live], sym[np.minimum(lms[live] + j, len(t) - 1)], 0)
         order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] + 1 == n or width >= n or deep and width > deep:
-            return order
+        live, key = live[order], key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        at = np.flatnonzero(new)
+        group = key[at] >> bits * per
+        head = at[np.concatenate(([True], group[1:] != group[:-1]))]
+        first = head[np.searchsorted(head, at, "right") - 1]
+        size = np.diff(np.append(at, len(live)))
+        rank[live] = np.repeat(group + at - first, size)
+        done += per
+        live = live[np.repeat(size > 1, size) & (done < length[live])]
+    return np.unique(rank, return_inverse=True)[1]
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Suffix array from suffixes `lms` in order; with them unsorted, it sorts the substrings between them."""
-    sa = np.full(len(t), -1, np.int64)
+    """Suffix array from suffixes `lms` in order."""
     starts = np.concatenate(([0], ends[:-1]))
+    if len(ends) * BUCKET_COST > len(t):
+        return _induce_singly(t, is_s, starts, ends, lms)
+    sa = np.full(len(t), -1, np.int64)
     used = np.flatnonzero(ends > starts)
     by_char = np.argsort(t[lms], kind="stable")
     seeds = lms[by_char]
@@ -119,6 +114,37 @@ def _induce(t: np.ndarray, is_s: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     return sa
 
 
+def _induce_singly(t: np.ndarray, is_s: np.ndarray, starts: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same, one suffix after another."""
+    n, head, tail = len(t), starts.tolist(), ends.tolist()
+    l_to = np.full(n + 1, -1, np.int64)  # the bucket of the suffix before, if it is L; none before the first
+    l_to[1:n] = np.where(is_s[:-1], -1, t[:-1])
+    s_to = np.full(n + 1, -1, np.int64)
+    s_to[1:n] = np.where(is_s[:-1], t[:-1], -1)
+    sa = np.full(n, n, np.int64)  # n marks an empty place
+    by_char = np.argsort(t[lms], kind="stable")
+    seeds = lms[by_char]
+    c = t[seeds]
+    size = np.bincount(c, minlength=len(ends))
+    sa[ends[c] - size[c] + np.arange(len(c)) - (np.cumsum(size) - size)[c]] = seeds
+    order, to = sa.tolist(), l_to.tolist()
+    for p in order:  # which grows ahead of the loop
+        c = to[p]
+        if c >= 0:
+            h = head[c]
+            order[h] = p - 1
+            head[c] = h + 1
+    to = s_to.tolist()
+    for p in reversed(order):
+        c = to[p]
+        if c >= 0:
+            h = tail[c] - 1
+            order[h] = p - 1
+            tail[c] = h
+    order[0] = n - 1
+    return np.array(order, np.int64)
+
+
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """By position: how many characters a suffix shares with the one before it in the array, up to `most`."""
     n = len(t)
