@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,18 +14,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round joins every node to the smallest of its neighbours. Minima are combined before the shuffle, so a node with very
     many edges costs one row per task.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    spark = edges.sparkSession
+    sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    now, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    before = sign(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = cut(large.distinct())
+        large, large_path = written(large.distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct()
-        after = cut(small)
-        if not after.join(now, ["u", "v"], "left_anti").limit(1).count() and not now.join(after, ["u", "v"], "left_anti").limit(1).count():
+        now, new_path = written(small)
+        forget(spark, path, large_path)
+        path, after = new_path, sign(now)
+        if after == before:  # the same edges
             break
-        now = after
+        before = after
     tree = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return tree.unionByName(tree.select(F.col("component").alias("id"), "component").distinct())

@@ -1,15 +1,19 @@
 """Similarity join of documents by the Jaccard index of their word shingles, with a count-vector R-tree.
 
 1. Each set of shingles is hashed into GROUPS groups; the counts are a point. Equal sets become one class.
-2. Routing. Sets that may link differ in at most d shingles, d being fixed by their sizes. Of d + 1 + t disjoint parts of a set, at least
-   t + 1 are then equal in both, so two such sets share one of their d + 1 largest parts. Sets meet where a part is equal. (A
-   tree alone can't route: the distance allowed is above the spread of every single coordinate, so each point would go to each node.)
+2. Routing. Sets that may link differ in at most d shingles, d being fixed by their sizes. Of m = d + 1 + t disjoint parts of a set, at least
+   t + 1 are then equal in both. In whatever order parts are ranked, two such sets share one of their first d + 1. Sets meet where one of
+   those is equal; the largest parts come first. (A tree alone can't route: the distance allowed is above the spread of every single
+   coordinate, so each point would go to each node.)
 3. In each meeting place every set is paired with the first one. The shared size is bounded by the sum of coordinate minima
-   of the two points; pairs that pass are verified on their shingles.
-4. Places that still hold more than one component get an R-tree over the points, large ones by pairs of blocks. Two nodes are joined only if the summed minima of
-   their upper corners reach what their smallest sizes ask for and they aren't one component already; then leaves are joined point by
-   point. What passes is verified on the shingles.
-5. Components of the links.
+   of the two points; pairs that pass are verified on their shingles. A part that very many sets of a batch share pairs them within the batch,
+   and the batch's first goes on to the common place, so no task gets all of them.
+4. Places that still hold more than one component get an R-tree over the points. Two nodes are joined only if the summed minima of
+   their upper corners reach what their smallest sizes ask for and they aren't one component already; then leaves are joined point
+   by point. What passes is verified on the shingles.
+5. A place of over BLOCK sets that is still open holds what many documents share, such as boilerplate. Its part goes to the end of the ranking,
+   and its sets meet by the parts that move up instead. Only sets of which more than t parts are such stay in it; they are compared by pairs of blocks.
+6. Components of the links.
 
 Shingles are compared as 64-bit hashes. No bucket, candidate list or number of partners has a cap.
 """
@@ -25,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut, forget, small, written
 from .components import components
 from .shingles import U, in_slices, mix, shingle_sets
 
-GROUPS, SLICE, LEAF, FAN, BLOCK, BROADCAST_ROWS = 256, 2_000_000, 64, 12, 1024, 500_000
+GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD = 256, 2_000_000, 64, 12, 1024, 64
 HUGE = 8_000_000  # sets this large have no point: no count could overflow, and the bound lets them pass
 
 
@@ -46,11 +50,13 @@ def differing(below: int, num: int, den: int) -> int:
     return 2 * (below - 1) * (den - num) // (den + num)
 
 
-def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, part) rows: the hashes of the largest parts of each set, in its own size class and in the next if it can link there."""
+def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int, den: int, every: bool = False) -> tuple[np.ndarray, ...]:
+    """(set, part) rows: the hashes of the largest parts of each set, in its own size class and in the next if it can link there.
+
+    With `every`, all parts: also the size class, the rank in it (from 0), and how many ranks count."""
     ends = bounds(int(sizes.max(initial=0)))
     cls = np.searchsorted(ends, sizes, "right") - 1
-    out_owner, out_part = [], []
+    out_owner, out_part, out_rank = [], [], []
     at = np.cumsum(sizes) - sizes
     for c in range(len(ends) - 1):
         mine = np.flatnonzero((sizes > 0) & ((cls == c) | (cls == c - 1) & (den * sizes >= num * ends[c])))
@@ -69,14 +75,18 @@ def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int,
             low, high = (np.bincount(cell, x.astype(np.float64), len(some) * m).astype(np.uint64) for x in (code & U(0xFFFFFFFF), code >> U(32)))
             part = mix((low + (high << U(32))) ^ (np.tile(np.arange(m, dtype=np.uint64), len(some)) * U(0xA0761D6478BD642F)) ^ (count.astype(np.uint64) << U(48)) ^ U(c))
             rank = ((np.minimum(count, 2**20).astype(np.uint64) << U(43)) | (part >> U(21))).reshape(len(some), m)
-            best = np.argpartition(rank, m - d - 1, axis=1)[:, m - d - 1:] if m > d + 1 else np.tile(np.arange(m), (len(some), 1))
+            if every:
+                best = np.argsort(~rank, axis=1, kind="stable")
+                out_rank.append(np.stack((np.full(best.size, c), np.tile(np.arange(m), len(some)), np.full(best.size, d + 1))))
+            else:
+                best = np.argpartition(rank, m - d - 1, axis=1)[:, m - d - 1:] if m > d + 1 else np.tile(np.arange(m), (len(some), 1))
             out_part.append(np.take_along_axis(part.reshape(len(some), m), best, 1).ravel())
-            out_owner.append(np.repeat(some, d + 1))
-    if not out_part:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    owner, part = np.concatenate(out_owner), np.concatenate(out_part)
+            out_owner.append(np.repeat(some, best.shape[1]))
+    none = np.zeros(0, np.int64)
+    owner, part = (np.concatenate(x) for x in (out_owner, out_part)) if out_part else (none, none.astype(np.uint64))
     order = np.argsort(owner, kind="stable")
-    return owner[order], part[order]
+    ranks = (np.concatenate(out_rank, 1) if out_rank else np.zeros((3, 0), np.int64))[:, order] if every else ()
+    return owner[order], part[order], *ranks
 
 
 def _describe(size: int, num: int, den: int):
@@ -172,8 +182,42 @@ def _join_place(num: int, den: int):
 
 
 def semi(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows with these ids; the ids are broadcast only where they are few, as counted."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, col, "left_semi")
+    """Rows with these ids (a written table); the ids are broadcast only where they are few, as counted."""
+    return rows.join(small(ids), col, "left_semi")
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, part, sub) rows of lists of parts. Sets of a batch of which CROWD or more share a part meet in a place of their own (sub > 0), and
+    the first of them is sent to the common one (sub = -1)."""
+    for x in batches:
+        parts, n = x["parts"].flatten().to_numpy(zero_copy_only=False), x["parts"].value_lengths().to_numpy(zero_copy_only=False)
+        ids = x["id"].to_numpy(zero_copy_only=False)
+        if not len(parts):
+            continue
+        owner = np.repeat(np.arange(len(ids)), n)
+        _, index, count = np.unique(parts, return_inverse=True, return_counts=True)
+        sub = np.where(count[index] >= CROWD, 1 + abs(hash((ids[0], ids[-1], len(ids), len(parts)))) % (2**31 - 2), 0)
+        crowd = np.flatnonzero(sub)
+        crowd = crowd[np.lexsort((ids[owner[crowd]], index[crowd]))]
+        first = crowd[np.concatenate(([True], index[crowd][1:] != index[crowd][:-1]))] if len(crowd) else crowd
+        rows = np.concatenate((np.arange(len(parts)), first))
+        yield pa.RecordBatch.from_pydict({"id": x["id"].take(pa.array(owner[rows])), "part": pa.array(parts[rows]), "sub": pa.array(np.append(sub, np.full(len(first), -1)), pa.int32())})
+
+
+def _spare(size: int, num: int, den: int):
+    """All parts of each text's set with their ranks; `own` tells sets of one id apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            texts = [(t or "").encode() for t in x["text"].to_pylist()]
+            for i, j in in_slices([len(t) for t in texts], SLICE // 4):
+                h, owner = shingle_sets(texts[i:j], size)
+                n = np.bincount(owner, minlength=j - i)
+                o, part, cls, rank, keep = parts_of(h, owner, n, num, den, True)
+                own = np.bincount(owner, (h >> U(20)).astype(np.float64), j - i)[o]
+                yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i).take(pa.array(o)), "part": pa.array(part.astype(np.int64)), "own": pa.array(own), "cls": pa.array(cls, pa.int32()),
+                                                  "rank": pa.array(rank, pa.int32()), "keep": pa.array(keep, pa.int32())})
+
+    return run
 
 
 def _sets(size: int):
@@ -201,13 +245,78 @@ def _linked(num: int, den: int):
     return run
 
 
-def verify(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of ids whose sets of shingles reach the threshold."""
-    kind = rows.schema["id"].dataType.simpleString()
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = cut(semi(rows, ids, "id").mapInArrow(_sets(size), f"id {kind}, shingles binary"))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return cut(both.mapInArrow(_linked(num, den), f"a {kind}, b {kind}").distinct())
+class Join:
+    """The steps on one table of texts, rows (id, text); `points` has id, n and point of one row of each class of equal sets."""
+
+    def __init__(self, rows: DataFrame, points: DataFrame, size: int, num: int, den: int):
+        self.rows, self.points, self.size, self.num, self.den = rows, points, size, num, den
+        self.spark, self.kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+        self.pair = f"a {self.kind}, b {self.kind}"
+
+    def _ids(self, pairs: DataFrame) -> tuple[DataFrame, str]:
+        return written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose points may link and whose sets of shingles do."""
+        pairs, p1 = written(pairs.distinct())
+        ids, p2 = self._ids(pairs)
+        near, p3 = written(semi(self.points, ids, "id"))
+        both = pairs.join(near.toDF("a", "na", "pa"), "a").join(near.toDF("b", "nb", "pb"), "b")
+        pairs, p4 = written(both.mapInArrow(_may_link(self.num, self.den), self.pair).distinct())
+        ids, p5 = self._ids(pairs)
+        sets, p6 = written(semi(self.rows, ids, "id").mapInArrow(_sets(self.size), f"id {self.kind}, shingles binary"))
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        links = cut(both.mapInArrow(_linked(self.num, self.den), self.pair).distinct())
+        forget(self.spark, p1, p2, p3, p4, p5, p6)
+        return links
+
+    def places(self, lists: DataFrame) -> DataFrame:
+        """(id, part, sub, first) of lists (id, parts): all that meet another."""
+        met = lists.select("id", "parts").mapInArrow(_crowded, f"id {self.kind}, part long, sub int")
+        place = W.partitionBy("part", F.greatest("sub", F.lit(0)))
+        met = met.select("id", "part", "sub", F.count("*").over(place).alias("size"), F.min("id").over(place).alias("first"))
+        return cut(met.filter("size > 1 OR sub > 0").drop("size"))
+
+    def stars(self, met: DataFrame) -> DataFrame:
+        return self.verified(met.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+
+    def open(self, met: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members with their components, places of more than two sets that hold several components)."""
+        member = met.filter("sub >= 0").select("id", "part").join(known, "id", "left").select("id", "part", F.coalesce("component", "id").alias("comp"))
+        per = member.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.count("*").alias("k"))
+        return member, cut(per.filter("lo <> hi AND k > 2").select("part", "who", "k"))
+
+    def trees(self, member: DataFrame, wide: DataFrame) -> DataFrame:
+        """Links within open places; of places with the same members one is enough."""
+        keep, p1 = written(wide.groupBy("who", "k").agg(F.min("part").alias("part")).select("part", "k"))
+        member, p2 = written(member.join(small(keep), "part"))
+        places = member.groupBy("id").agg(F.collect_list("part").alias("places"))  # no more than the parts of one set
+        ids, p3 = written(places)
+        near, p4 = written(self.points.join(small(ids.select("id")), "id", "left_semi"))
+        member = member.join(near, "id").join(ids, "id")
+        blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+        member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        member = member.select("id", "n", "point", "comp", "places", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        links = self.verified(member.groupBy("part", "p", "q").applyInPandas(_join_place(self.num, self.den), self.pair))
+        forget(self.spark, p1, p2, p3, p4)
+        return links
+
+    def around(self, member: DataFrame, hot: DataFrame, lists: DataFrame, links: DataFrame) -> DataFrame:
+        """Links of sets in hot places, which meet by other parts where they have them."""
+        ids = cut(semi(member, hot.select("part"), "part").select("id").distinct())
+        spare = semi(self.rows, ids, "id").mapInArrow(_spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
+        spare = spare.join(small(hot.select("part", F.lit(True).alias("hot"))), "part", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        order = W.partitionBy("id", "own", "cls").orderBy("hot", "rank")  # the parts of one set
+        chosen = spare.withColumn("place", F.row_number().over(order)).filter("place <= keep")
+        chosen = cut(chosen.filter("hot OR rank >= keep").select("id", "part", "hot"))
+        moved = chosen.filter("NOT hot").select("id", "part")
+        own = lists.select("id", F.explode("parts").alias("part"))
+        both = moved.unionByName(semi(own, cut(moved.select("part").distinct()), "part")).distinct()
+        met = self.places(both.groupBy("id").agg(F.collect_list("part").alias("parts")))
+        links = links.unionByName(self.stars(met))
+        rest = chosen.filter("hot").select("id", "part", F.lit(0).alias("sub"))
+        return links.unionByName(self.trees(*self.open(met.select("id", "part", "sub").unionByName(rest), components(links))))
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -215,33 +324,22 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     told = cut(rows.mapInArrow(_describe(size, num, den), f"id {kind}, n long, h1 long, h2 long, point binary, parts array<long>"))
-    some = told.filter("n > 0 AND id IS NOT NULL")
-    classes = cut(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("point").alias("point"), F.first("parts").alias("parts")))
-    points = classes.select(F.col("rep").alias("id"), "n", "point")
-
-    place = W.partitionBy("part")
-    met = classes.select(F.col("rep").alias("id"), F.explode("parts").alias("part"))
-    met = met.select("id", "part", F.count("*").over(place).alias("size"), F.min("id").over(place).alias("first")).filter("size > 1")
-    met = cut(met)
-    pairs = met.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
-    links = verify(cut(pairs.mapInArrow(_may_link(num, den), f"a {kind}, b {kind}").distinct()), rows, size, num, den)
-
-    known = components(links)
-    open_ = met.filter("size > 2").join(known, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    keep = open_.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.count("*").alias("k"))
-    keep = keep.filter("lo <> hi").groupBy("who", "k").agg(F.min("part").alias("part"))
-    member = cut(open_.select("id", "part", "comp").join(keep.select("part", "k"), "part"))
-    places = member.groupBy("id").agg(F.collect_list("part").alias("places"))  # no more than the parts of one set
-    member = member.join(points, "id").join(places, "id")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("id", "n", "point", "comp", "places", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    more = member.groupBy("part", "p", "q").applyInPandas(_join_place(num, den), f"a {kind}, b {kind}")
-    more = verify(cut(more.distinct()), rows, size, num, den)
-    return some.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "n", "rep").unionByName(
-        told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links.unionByName(more)
+    some, equal = told.filter("n > 0 AND id IS NOT NULL"), ["n", "h1", "h2"]
+    reps = cut(some.groupBy(*equal).agg(F.min("id").alias("rep")))
+    copies = cut(some.select("id", *equal).join(reps, equal).filter("id <> rep").select("id", *equal).distinct())
+    few = copies.count() <= BROADCAST_ROWS
+    classes = some.join(F.broadcast(copies) if few else copies, ["id", *equal], "left_anti")
+    classes = classes if few else cut(classes)  # then it was a shuffle: once is enough
+
+    join = Join(rows, classes.select("id", "n", "point"), size, num, den)
+    met = join.places(classes)
+    links = join.stars(met)
+    member, wide = join.open(met, components(links))
+    links = cut(links.unionByName(join.trees(member, wide.filter(F.col("k") <= BLOCK))))
+    hot = cut(wide.filter(F.col("k") > BLOCK))
+    if hot.limit(1).count():
+        links = join.around(member, hot, classes, links)
+    return some.join(reps, equal).select("id", "n", "rep").unionByName(told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
