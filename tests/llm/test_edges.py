@@ -59,7 +59,7 @@ def test_decontaminate(spark, docs, empty):
     assert (got[1].n_words, got[1].n_hit, got[1].items, [(s.start, s.end) for s in got[1].spans]) == (4, 2, ["1"], [(4, 13)])
     assert (got[8].n_hit, got[8].items) == (1, ["null"]) and got[2].n_words == 0 and got[5].n_hit == 40 * 12 and got[5].items == ["4"]
     assert not any(r.contaminated for r in decontaminate(docs, bench.filter("item_id > 99")).collect())
-    small = {r.doc_id: (r.n_hit, r.items, r.spans) for r in decontaminate(docs, bench, block_chars=300).collect()}
+    small = {r.doc_id: (r.n_hit, r.items, r.spans) for r in decontaminate(docs, bench, block_nodes=300).collect()}
     assert small == {k: (r.n_hit, r.items, r.spans) for k, r in got.items()}  # several automata say the same
 
 

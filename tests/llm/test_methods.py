@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,9 +13,11 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import tidemark.llm.decontaminate as D
 import tidemark.llm.jaccard_join as J
 import tidemark.llm.substring_dedup as S
-from tidemark.llm import secrets
+import tidemark.llm.suffix_array as A
+from tidemark.llm import html_text, langid, secrets, toxicity
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
@@ -46,11 +49,11 @@ def noisy_copies(n, seed, words=60):
     return out
 
 
-def brute_components(docs):
+def brute_components(docs, size=3, least=90):
     sets = {}
     for i, t in docs.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))
-        sets[i] = {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} - {()}
+        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
     parent = {i: i for i in docs}
 
     def find(x):
@@ -61,7 +64,7 @@ def brute_components(docs):
     owners = defaultdict(list)
     for i in sorted(docs):
         for j, k in Counter(j for s in sets[i] for j in owners[s]).items():
-            if 100 * k >= 90 * (len(sets[i]) + len(sets[j]) - k):
+            if 100 * k >= least * (len(sets[i]) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
         for s in sets[i]:
@@ -69,12 +72,30 @@ def brute_components(docs):
     return {i: (len(sets[i]), find(i)) for i in docs}
 
 
-@pytest.mark.parametrize("block", [8192, 7])
-def test_jaccard_equals_brute_force(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize("block, crowd, size, least", [(8192, 64, 3, 90), (7, 2, 3, 90), (3, 64, 5, 80)])
+def test_jaccard_equals_brute_force(spark, texts, monkeypatch, block, crowd, size, least):
+    """Blocks of 7 and 3 sets: nearly all places are hot, and their sets meet by other parts."""
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "CROWD", crowd)
     docs = dict(enumerate(noisy_copies(300, 4))) | {1000 + i: t for i, t in texts.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, size=size, num=least).collect()} == brute_components(docs, size, least)
+
+
+def test_sets_that_share_boilerplate_meet_elsewhere(spark, monkeypatch):
+    """Two hundred texts that are half one passage, each with a near copy: the shared places are left, the copies found, and few pairs tried."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rng, passage = random.Random(6), " ".join(f"p{j}" for j in range(120))
+    docs = {}
+    for i in range(200):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        docs[2 * i], docs[2 * i + 1] = f"{passage} {' '.join(own)}", f"{passage} {' '.join(own[:-2])} x y"
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()} == brute_components(docs)
+    tried, whole = [], J.Join.verified
+    monkeypatch.setattr(J.Join, "verified", lambda self, pairs: tried.append(pairs.count()) or whole(self, pairs))
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(df).collect()} == {i: i - i % 2 for i in docs}
+    stars, trees, moved_stars, moved_trees = tried  # one pair a set and place, then only what the bounds let pass
+    assert stars < 40 * len(docs) and moved_stars < 40 * len(docs) and trees + moved_trees < len(docs)
 
 
 def test_tree_finds_all_pairs_of_the_bound():
@@ -136,9 +157,10 @@ def brute_removal(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_substrings_equal_brute_force(spark, texts, monkeypatch, hot):
+@pytest.mark.parametrize("hot, wide", [(20_000, 8), (1, 8), (20_000, 1), (20_000, 2), (1, 1)])
+def test_substrings_equal_brute_force(spark, texts, monkeypatch, hot, wide):
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "WIDE", wide)
     rng = random.Random(9)
     docs = {i: t for i, t in texts.items() if i < 80} | {500 + i: "".join(rng.choice("ab") for _ in range(rng.randint(0, 400))) + "é" * rng.randint(0, 90) for i in range(20)}
     docs |= {600: "ab" * 300, 601: "x" + "ab" * 200, 602: docs[3] + docs[5], 603: docs[5][7:] + docs[3]}
@@ -146,12 +168,15 @@ def test_substrings_equal_brute_force(spark, texts, monkeypatch, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.dedup_substrings(df).collect()} == brute_removal(docs)
 
 
-def test_suffix_array_and_prefixes():
+def test_suffix_array_and_prefixes(monkeypatch):
     rng = random.Random(3)
     for size in [*range(40), 3000, 9000]:
-        a = rng.choice([1, 2, 3, 200]) if size < 3000 else 2
+        a = rng.choice([1, 2, 3, 200, 5000]) if size < 3000 else 2
         t = np.array([rng.randint(1, a) for _ in range(size)] + [0], np.int16)
+        monkeypatch.setattr(A, "BUCKET_COST", 10**9)  # suffix by suffix
         sa, raw = induced_suffix_array(t), t.tolist()
+        monkeypatch.setattr(A, "BUCKET_COST", 0)  # by buckets
+        assert induced_suffix_array(t).tolist() == sa.tolist()
         want = sorted(range(len(raw)), key=lambda i: raw[i:])
         assert sa.tolist() == want
         shared = common_prefixes(t.astype(np.uint8), sa, 100)
@@ -171,8 +196,9 @@ def test_exact_dedup_with_heavy_digests_and_colliding_ones(spark):
         group[t].append(i)
     want = {i: (max(group[t]), len(group[t])) for i, t in rows}
     for digest in (lambda t: F.sha2(t.cast("binary"), 256), lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)):
-        got = exact_dedup(df, rows_per_salt=10, digest=digest, heavy_share=50).collect()
-        assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want and all(r.kept == (r.doc_id == r.keep_id) for r in got)
+        for broadcast_rows in (1000, 0):  # 0: the heavy digests are joined by lanes
+            got = exact_dedup(df, rows_per_salt=10, digest=digest, broadcast_rows=broadcast_rows).collect()
+            assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == want and all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -211,6 +237,93 @@ def test_sentencepiece_equals_the_library(texts):
     assert np.array_equal(codec.encode(rows)[0], ids) and np.array_equal(codec.encode(rows)[0], ids)
 
 
+def hand_made_model(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    change(m)
+    path = tmp_path / "own.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_sentencepiece_with_long_pieces_and_many_characters(tmp_path):
+    def change(m):
+        low, have = min(x.score for x in m.pieces), {x.piece for x in m.pieces}
+        word = "▁abcdefghijklmnopqrstuvwxyzabcdefghij"
+        for k, piece in enumerate([*map(chr, range(0x4E00, 0x4E00 + 3000)), *(word[:k] for k in range(2, len(word) + 1))]):
+            if piece not in have:
+                m.pieces.add(piece=piece, score=low - 1 - k, type=1)
+
+    path = hand_made_model(tmp_path, change)
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_file=path), Pieces(path)
+    rows = ["abcdefghijklmnopqrstuvwxyzabcdefghij abcdefghijklmnopqrstuvwxyzabcde x", "丁" * 5 + "七万丈 三上下 abcdefghijklmnopqrstu", "plain words, too"]
+    ids, n = Codec(pieces).encode(rows)
+    cuts = np.concatenate(([0], np.cumsum(n)))
+    assert pieces.n_codes > 4096 and pieces.widths[-1] >= 37 and n[0] == 3
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == sp.encode(rows)
+
+
+@pytest.mark.parametrize("change", [lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.trainer_spec, "byte_fallback", False), lambda m: setattr(m.normalizer_spec, "name", "nmt_nfkc"),
+                                    lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.pieces[400], "piece", "a▁b"), lambda m: setattr(m.pieces[400], "type", 4)])
+def test_sentencepiece_refuses_models_it_would_get_wrong(tmp_path, change):
+    with pytest.raises(ValueError, match="can't be used"):
+        Pieces(hand_made_model(tmp_path, change))
+
+
+def test_items_longer_than_a_block_lie_in_several(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 3)
+    rng = random.Random(8)
+    items = {1: " ".join(f"a{rng.randrange(40)}" for _ in range(400)), 2: "Short one", 3: "", 4: " ".join(f"b{i}" for i in range(12))}
+    docs = {i: " ".join(items[1].split()[i * 7:i * 7 + 9 + i % 5]) + (" x SHORT, one y" if i % 3 == 0 else " z") for i in range(30)} | {99: items[4] + " " + items[1], 100: None}
+    df, bench = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
+    want = {}
+    for i, t in docs.items():
+        w, hit, found = words(t), set(), set()
+        for k, item in items.items():
+            v = words(item)
+            for win in {tuple(v[j:j + 10]) for j in range(max(1, len(v) - 9))} if v else ():
+                for j in range(len(w) - len(win) + 1):
+                    if tuple(w[j:j + len(win)]) == win:
+                        hit |= set(range(j, j + len(win)))
+                        found.add(str(k))
+        want[i] = (len(w), len(hit), sorted(found))
+    assert {len(x[2]) for x in want.values()} >= {0, 1, 2}
+    for nodes in (2_000, 6_000_000):
+        assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(df, bench, block_nodes=nodes).collect()} == want
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(3)
+    p = {n: a.astype(np.float64) * 2 for n, a in langid.init(3, 4, rng).items()}
+    x, y = rng.integers(0, 5, (7, 6)), np.array([0, 1, 2, 0, 1, 2])
+    _, g = langid.loss_and_gradients(p, x, y)
+    for name, a in p.items():
+        for at in [tuple(rng.integers(0, k) if n else k - 1 for n, k in enumerate(a.shape)) for _ in range(6)] if name[0] != "e" else [(int(b), j) for b in (0, 2, 4) for j in (0, 5, 11)]:
+            old, e = a[at], 1e-6
+            a[at] = old + e
+            up, _ = langid.loss_and_gradients(p, x, y)
+            a[at] = old - e
+            down, _ = langid.loss_and_gradients(p, x, y)
+            a[at] = old
+            assert abs((up - down) / (2 * e) * 8 - g[name][at]) < 1e-5, (name, at)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 20, f"l{i % 70:02d}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train, seen = langid.train, []
+    try:
+        langid.train = lambda windows, k: seen.append((len(windows), k)) or {}
+        assert len(langid.fit(df)[0]) == 70 and len(langid.fit(df, most_rows=140)[0]) > 60
+    finally:
+        langid.train = train
+    assert seen[0][1] == 70 and seen[1][0] <= 200
+
+
 def test_language_on_held_out_rows(spark, texts):
     lang = dict(duckdb.connect().execute(f"SELECT doc_id, lang FROM '{DATA}/documents.parquet'").fetchall())
     got = QUERIES["op9_language_id"](spark, DATA).collect()
@@ -230,9 +343,29 @@ def test_label_model_finds_accuracies_and_correlations():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    labels = dict(duckdb.connect().execute("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall())
-    got = [r for r in QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
-    assert sum(r.predicted == labels[r.doc_id] for r in got) / len(got) > 0.9
+    labels = dict(duckdb.connect().execute("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").fetchall())
+    got = [r for r in QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
+    score, y = np.array([r.score for r in got]), np.array([labels[r.doc_id] for r in got])
+    said = score >= 0.5
+    rank = np.argsort(np.argsort(score))
+    area = (rank[y == 1].mean() - (y.sum() - 1) / 2) / (len(y) - y.sum())
+    assert y.sum() > 50 and said[y == 1].mean() > 0.85 and y[said].mean() > 0.85 and area > 0.95, (said[y == 1].mean(), y[said].mean(), area)
+
+
+def test_labels_are_no_votes():
+    """Words steer, labels don't: with a tenth of the labels wrong, the classifier follows the words."""
+    rng = random.Random(2)
+    plain = [" ".join(rng.choice(("calm", "river", "stone", "green", "house", "paper")) for _ in range(30)) for _ in range(600)]
+    toxic = np.array([i % 4 == 0 for i in range(600)])
+    texts = [f"{t} {rng.choice(('scumbag', 'wretch', 'moron'))} {rng.choice(('scumbag', 'wretch', 'moron'))}" if y else t for t, y in zip(plain, toxic, strict=True)]
+    given = np.array([int(y) if rng.random() > 0.04 else 1 - int(y) for y in toxic])
+    vocabulary, w, b = toxicity.train(texts, given, np.ones(600))
+    p = np.full(600, b)
+    owner, words = toxicity.distinct_words([t.encode() for t in texts])
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    known = vocabulary[at] == words
+    p += np.bincount(owner[known], w[at[known]], 600)
+    assert ((p > 0) == toxic).mean() > 0.98
 
 
 def test_randomness_battery():
@@ -240,12 +373,86 @@ def test_randomness_battery():
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
     assert sum(secrets.randomness(k) < 0.01 for k in keys) < 12
     assert all(secrets.randomness(t) < 1e-3 for t in ("00000000000000000001", "abcabcabcabcabcabcabcabcabcabc12", "aaaaaaaaaaaaaaaabbbbbbbbbbbbbbbb1111", "0123456789abcdef0123456789abcdef0123456789abcdef"))
-    counts = {(0, 0): 90, (0, 600): 10}
-    assert secrets.rejected_from(counts, 0.05)[0] in range(1, 601) and secrets.rejected_from({(0, 0): 5}, 0.05)[0] == secrets.GRID + 1
+
+
+def test_secret_scan_reports_keys_and_leaves_identifiers(spark):
+    """Random keys of every encoding and ordinary identifiers in the texts at hand: most keys, hardly any identifier; without the battery neither is told."""
+    texts = [t or "" for t, in duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()] * 4
+    rng, keys, names = random.Random(3), set(), "getElementsByTagNameNS2 HttpServletRequestWrapperFactory internationalization_settings /usr/local/share/applications/firefox com/example/project/module/ClassName CONFIGURATION_DIRECTORY_PATH ----------------------".split()
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    for i in range(0, len(texts), 8):
+        if i % 16:
+            texts[i] += " " + rng.choice(names) + " "
+        else:
+            key = "".join(rng.choice(alphabets[i // 16 % 4]) for _ in range(48))
+            keys.add(key)
+            texts[i] += f" {key}. "
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {texts[r.doc_id][s.start:s.end] for r in secrets.find_secrets(df).collect() for s in r.spans if s.kind == "random"}
+    assert len(found & keys) > 0.75 * len(keys) and not found & set(names) and len([f for f in found - keys if not f.isdigit()]) < 0.1 * len(keys)
+    base = [s for r in secrets.find_secrets(df).collect() for s in r.base]
+    assert base and all(0 < s.p_value <= 1 for s in base)
+
+
+def test_base_spans_equal_a_plain_scan(spark):
+    """The fixed patterns over the table, by a scan character after character."""
+    rows = duckdb.connect().execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+
+    def plain(t):
+        out, low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        for kind, alphabet, least, prefix in (("access", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, "AKIA"), ("hex", set("0123456789abcdef"), 24, "")):
+            i = 0
+            while i < len(t):
+                j = i
+                if t.startswith(prefix, i):
+                    j += len(prefix)
+                    while j < len(t) and t[j] in alphabet:
+                        j += 1
+                if j > i + len(prefix):
+                    out += [(i, ("assign", "access", "hex").index(kind), j)] if j - i >= least else []
+                    i = j
+                else:
+                    i += 1
+        value, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), 0
+        while i < len(t):
+            for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+                j = i + len(word)
+                if low.startswith(word, i):
+                    j += j < len(t) and t[j] in "\"'"
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    if j < len(t) and t[j] in ":=":
+                        j += 1
+                        while j < len(t) and t[j] == " ":
+                            j += 1
+                        j += j < len(t) and t[j] in "\"'"
+                        k = j
+                        while k < len(t) and t[k] in value:
+                            k += 1
+                        if k > j:
+                            out += [(i, 0, k)] if k - j >= 6 else []
+                            i = k - 1
+                            break
+            i += 1
+        return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+    want = {i: plain(t or "") for i, t in rows}
+    assert sum(map(bool, want.values())) > 10
+    got = QUERIES["op6_secret_scan"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.base_sha256 for r in got} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
+
+
+def test_candidates_walk_both_lists_once():
+    text = " ".join("0123456789abcdef" * 2 for _ in range(20_000))
+    began = time.perf_counter()
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and secrets.candidates(text, base) == [] and time.perf_counter() - began < 5
+    long = "A" * 3 + "x" * 8 + "0123456789abcdef01234567" + "Z" * 5
+    assert [(c["start"], c["end"]) for c in secrets.candidates(long, secrets.base_spans(long))] == [(0, len(long))]  # partly covered: tested whole
 
 
 def test_base_patterns_keep_failing_matches_from_overlapping():
-    assert secrets.base_spans("secret: token: abcdefgh") == [] and secrets.base_spans('api_key = "a1b2c3"') == [(0, 0, 17)]
+    assert secrets.base_spans("secret: token: abcdefgh") == [] and secrets.base_spans('api_key = "a1b2c3"') == [(0, 0, 17, "a1b2c3")]
     assert secrets.base_spans("AKIA" + "A" * 15) == [] and secrets.base_spans("ſecret=abcdefgh") == []
 
 
@@ -260,6 +467,38 @@ def test_main_text():
     assert np.allclose(smooth(np.ones(7)), 1)
 
 
+LINE = "A sentence of plain text that goes on and on for a while. "
+
+
+def said(html):
+    return main_text(html).replace(LINE.strip(), "S").split("\n\n")
+
+
+def test_clusters_decide_what_names_leave_open(monkeypatch):
+    """Names that only resemble a mark, lists of links within an article, teasers in article elements: the ratio decides each."""
+    article = ("<article><h1>T</h1><p>" + LINE * 5 + "</p><div class='related-work'><p>" + LINE * 4 + "</p></div><p class='notice-period'>" + LINE * 3 + "</p><div class='related-links'><a href=x>one thing</a> <a href=y>two</a></div>"
+               "<ul><li><a href=1>Read more</a></li><li><a href=2>And this</a></li></ul><p>" + LINE * 4 + "</p><ul><li>point</li><li>other</li></ul></article>")
+    assert said(article) == ["T", "S S S S S", "S S S S", "S S S", "S S S S", "point", "other"]
+    teasers = "<body><article class='teaser'><a href=1>Go there</a></article><article><a href=2>Look here</a></article><div><p>" + LINE * 9 + "</p><p>" + LINE * 8 + "</p></div><div class='x'><a href=1>one</a><a href=2>two</a></div></body>"
+    assert said(teasers) == ["S S S S S S S S S", "S S S S S S S S"]
+    plain = "<body><div id=top><a href=1>Home</a> <a href=2>News</a></div><div class='comments'><p>" + LINE * 9 + "</p></div><div><p>" + LINE * 6 + "</p><ul><li>item</li></ul></div></body>"
+    assert said(plain) == ["S S S S S S", "item"]
+    monkeypatch.setattr(html_text, "smooth", lambda x: np.zeros(len(x)))  # without the ratio each of them comes out differently
+    assert said(article) == [""] or "Read more" in said(article)
+    assert "Look here" in said(teasers) and "one" in " ".join(said(plain)) or "Home News" in said(plain)
+
+
+def test_pages_equal_a_plain_reading(spark):
+    """The pages at hand have one article each: its blocks, read by regular expressions."""
+    import html as h
+
+    for r in QUERIES["op3_html_text"](spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", r.html or "", flags=re.S)
+        body = "".join(re.findall(r"<article\b[^>]*>(.*?)</article>", body, flags=re.S))
+        blocks = (" ".join(h.unescape(re.sub(r"</?b>", "", re.sub(r"<br/?>", " ", x))).split()) for x in re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|table|tr|td|th|blockquote|section|pre)\b[^>]*>", body))
+        assert r.text == "\n\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline as P
 
