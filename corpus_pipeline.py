@@ -19,7 +19,9 @@ from tidemark.llm.registry import SENTENCEPIECE_MODEL
 from tidemark.llm.sentencepiece_codec import encode
 
 #: Documents whose best language has less of the probability than this are rejected, as are those without letters.
-MIN_LANGUAGE_SCORE = 0.35
+MIN_LANGUAGE_SCORE = 0.3
+#: Near copies share this many words in a row, and this share (in percent) of what either has.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _beside(docs: DataFrame) -> DataFrame:
@@ -46,10 +48,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest id stays; a null id is the largest. Every row is a document of its own: rows that repeat an
+    """Documents of which 80 % of the shingles of five words are the same are linked. Of each component the row with the smallest id stays; a null id is the largest. Every row is a document of its own: rows that repeat an
     id stay unless their texts are near copies."""
     keyed = _keyed(docs)
-    told = jaccard_components(keyed.select("_row", "text"), "_row").select("_row", "component_id")
+    told = jaccard_components(keyed.select("_row", "text"), "_row", size=NEAR_WORDS, num=NEAR_PERCENT).select("_row", "component_id")
     told = told.join(keyed.select("_row", "_tie", "doc_id"), "_row")
     least = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie", "_row")).alias("least"))
     return keyed.join(least.select("least._row"), "_row", "left_semi").select(docs.columns)
