@@ -52,6 +52,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str = "id", broadcast_rows: int = BROADCAST_ROWS, lanes: int = 64) -> DataFrame:
+    """Join rows with a written table that has a key once, where a key may hold very many of the rows.
+
+    The table is broadcast while it is small, as counted. Beyond that it stands once in each of `lanes` lanes, and rows meet it by key and by the lane
+    of their column `by`, so that no task gets all rows of a key.
+    """
+    if listed.count() <= broadcast_rows:
+        return rows.join(F.broadcast(listed), on, how)
+    many = listed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return rows.withColumn("_lane", F.pmod(F.xxhash64(by), F.lit(lanes)).cast("int")).join(many, [*on, "_lane"], how).drop("_lane")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

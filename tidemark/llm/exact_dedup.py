@@ -7,7 +7,7 @@ Global: salt winners of the heavy digests meet by (digest, text).
 The text is part of every grouping key, so equal digests of different texts never merge.
 
 The list of heavy digests is broadcast only while it is small, as counted. Beyond that the rows meet it by (digest, lane), where the list
-stands once in each of LANES lanes, so that no task gets all rows of a digest.
+stands once in each of several lanes, so that no task gets all rows of a digest.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
-
-LANES = 64
+from .common import BROADCAST_ROWS, cut, meet
 
 
 def sha256(text: Column) -> Column:
@@ -38,13 +36,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("digest", digest(F.col("text")))
     per_digest = rows.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_salt)
     heavy = cut(per_digest.select("digest", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("n_salts")))
-    n_heavy = heavy.count()
+    any_heavy = heavy.limit(1).count() > 0
 
-    light = _beside(rows, heavy, "left_anti", n_heavy <= broadcast_rows) if n_heavy else rows
+    light = meet(rows, heavy, ["digest"], "left_anti", broadcast_rows=broadcast_rows) if any_heavy else rows
     groups = _groups(light, F.lit(0))
     member = groups.select("digest", "ids", F.array_max("ids")["id"].alias("keep_id"), F.size("ids").cast("long").alias("group_size"))
-    if n_heavy:
-        hot = _beside(rows, heavy, "inner", n_heavy <= broadcast_rows)
+    if any_heavy:
+        hot = meet(rows, heavy, ["digest"], "inner", broadcast_rows=broadcast_rows)
         hot = _groups(hot, F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int"))
         hot = hot.withColumns({"best": F.array_max("ids")["id"], "n": F.size("ids").cast("long")})
         winners = hot.groupBy("digest", "text").agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -54,14 +52,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col), "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def _beside(rows: DataFrame, heavy: DataFrame, how: str, few: bool) -> DataFrame:
-    """Rows with, or without, a heavy digest."""
-    if few:
-        return rows.join(F.broadcast(heavy), "digest", how)
-    lanes = heavy.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    return rows.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(LANES)).cast("int")).join(lanes, ["digest", "lane"], how).drop("lane")
-
-
 def _groups(rows: DataFrame, salt: Column) -> DataFrame:
     """Rows of one digest, salt and text with their ids; heavy digests have salts enough to bound the lists."""
     return rows.withColumn("salt", salt).groupBy("digest", "salt", "text").agg(F.collect_list(F.struct("id")).alias("ids"))  # structs, as lists leave out nulls

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, forget, small, written
+from .common import BROADCAST_ROWS, cut, forget, meet, small, written
 from .components import components
 from .shingles import U, in_slices, mix, shingle_sets
 
@@ -289,7 +289,7 @@ class Join:
     def trees(self, member: DataFrame, wide: DataFrame) -> DataFrame:
         """Links within open places; of places with the same members one is enough."""
         keep, p1 = written(wide.groupBy("who", "k").agg(F.min("part").alias("part")).select("part", "k"))
-        member, p2 = written(member.join(small(keep), "part"))
+        member, p2 = written(meet(member, keep, ["part"], "inner"))
         places = member.groupBy("id").agg(F.collect_list("part").alias("places"))  # no more than the parts of one set
         ids, p3 = written(places)
         near, p4 = written(self.points.join(small(ids.select("id")), "id", "left_semi"))
@@ -304,9 +304,9 @@ class Join:
 
     def around(self, member: DataFrame, hot: DataFrame, lists: DataFrame, links: DataFrame) -> DataFrame:
         """Links of sets in hot places, which meet by other parts where they have them."""
-        ids = cut(semi(member, hot.select("part"), "part").select("id").distinct())
+        ids = cut(meet(member, hot.select("part"), ["part"], "left_semi").select("id").distinct())
         spare = semi(self.rows, ids, "id").mapInArrow(_spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
-        spare = spare.join(small(hot.select("part", F.lit(True).alias("hot"))), "part", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        spare = meet(spare, hot.select("part", F.lit(True).alias("hot")), ["part"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         order = W.partitionBy("id", "own", "cls").orderBy("hot", "rank")  # the parts of one set
         chosen = spare.withColumn("place", F.row_number().over(order)).filter("place <= keep")
         chosen = cut(chosen.filter("hot OR rank >= keep").select("id", "part", "hot"))
@@ -325,8 +325,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = rows.schema["id"].dataType.simpleString()
     told = cut(rows.mapInArrow(_describe(size, num, den), f"id {kind}, n long, h1 long, h2 long, point binary, parts array<long>"))
     some, equal = told.filter("n > 0 AND id IS NOT NULL"), ["n", "h1", "h2"]
-    reps = cut(some.groupBy(*equal).agg(F.min("id").alias("rep")))
-    copies = cut(some.select("id", *equal).join(reps, equal).filter("id <> rep").select("id", *equal).distinct())
+    reps = some.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1")  # other rows stand for themselves
+    members = meet(some.select("id", *equal), cut(reps.drop("rows")), equal, "left").withColumn("rep", F.coalesce("rep", "id"))
+    copies = cut(members.filter("id <> rep").select("id", *equal).distinct())
     few = copies.count() <= BROADCAST_ROWS
     classes = some.join(F.broadcast(copies) if few else copies, ["id", *equal], "left_anti")
     classes = classes if few else cut(classes)  # then it was a shuffle: once is enough
@@ -339,7 +340,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = cut(wide.filter(F.col("k") > BLOCK))
     if hot.limit(1).count():
         links = join.around(member, hot, classes, links)
-    return some.join(reps, equal).select("id", "n", "rep").unionByName(told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links
+    return members.select("id", "n", "rep").unionByName(told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
