@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, forget, written
+from .shingles import batch_slices
 
-WINDOW, BLOCK_NODES, CHUNK, DIGITS = 10, 6_000_000, 5_000, 3
+WINDOW, BLOCK_NODES, CHUNK, DIGITS, SLICE = 10, 6_000_000, 5_000, 3, 4_000_000
 #: Bytes of UTF-8: A-Z become a-z, ASCII that is no letter or digit becomes a space, all else stays.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 HITS = "spans array<struct<start:int,end:int>>, first array<int>, last array<int>, items array<string>"
@@ -144,15 +145,17 @@ def _pass(rows: DataFrame, block, window: int, id_type: str, final: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matcher_of(key, block.value, window)
-        for x in batches:
-            first, last, found, spans, n = [], [], [], [], []
-            for text, f, g, had in zip(x["text"].to_pylist(), *(x[c].to_pylist() for c in ("first", "last", "items")), strict=True):
-                k, runs, ids = m.scan(text)
-                runs, ids = (merged([*zip(f or (), g or (), strict=True), *runs]), ids | set(had or ())) if f else (runs, ids)
-                n.append(k), first.append([r[0] for r in runs]), last.append([r[1] for r in runs]), found.append(sorted(ids))
-                spans.append(originals(text, runs) if final and runs else [])
-            new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                   "first": pa.array(first, pa.list_(pa.int32())), "last": pa.array(last, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict({"id": x["id"]} | ({} if final else {"text": x["text"]}) | new)
+        for whole in batches:
+            for i, j in batch_slices(whole["text"], SLICE):
+                x = whole.slice(i, j - i)
+                first, last, found, spans, n = [], [], [], [], []
+                for text, f, g, had in zip(x["text"].to_pylist(), *(x[c].to_pylist() for c in ("first", "last", "items")), strict=True):
+                    k, runs, ids = m.scan(text)
+                    runs, ids = (merged([*zip(f or (), g or (), strict=True), *runs]), ids | set(had or ())) if f else (runs, ids)
+                    n.append(k), first.append([r[0] for r in runs]), last.append([r[1] for r in runs]), found.append(sorted(ids))
+                    spans.append(originals(text, runs) if final and runs else [])
+                new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                       "first": pa.array(first, pa.list_(pa.int32())), "last": pa.array(last, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict({"id": x["id"]} | ({} if final else {"text": x["text"]}) | new)
 
     return rows.mapInArrow(run, f"id {id_type}, " + ("" if final else "text string, ") + "n_words long, " + HITS)

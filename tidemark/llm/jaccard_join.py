@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, forget, meet, small, written
 from .components import components
-from .shingles import U, in_slices, mix, shingle_sets
+from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
 GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD = 256, 2_000_000, 64, 12, 1024, 64
 HUGE = 8_000_000  # sets this large have no point: no count could overflow, and the bound lets them pass
@@ -92,9 +92,8 @@ def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int,
 def _describe(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts = [(t or "").encode() for t in x["text"].to_pylist()]
-            for i, j in in_slices([len(t) for t in texts], SLICE):
-                h, owner = shingle_sets(texts[i:j], size)
+            for i, j in batch_slices(x["text"], SLICE):
+                h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 n = np.bincount(owner, minlength=j - i)
                 points = np.bincount(owner * GROUPS + (h >> U(56)).astype(np.int64) % GROUPS, minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
                 points[n >= HUGE] = 65535
@@ -208,9 +207,8 @@ def _spare(size: int, num: int, den: int):
     """All parts of each text's set with their ranks; `own` tells sets of one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts = [(t or "").encode() for t in x["text"].to_pylist()]
-            for i, j in in_slices([len(t) for t in texts], SLICE // 4):
-                h, owner = shingle_sets(texts[i:j], size)
+            for i, j in batch_slices(x["text"], SLICE // 4):
+                h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 n = np.bincount(owner, minlength=j - i)
                 o, part, cls, rank, keep = parts_of(h, owner, n, num, den, True)
                 own = np.bincount(owner, (h >> U(20)).astype(np.float64), j - i)[o]
@@ -223,9 +221,8 @@ def _spare(size: int, num: int, den: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            texts = [(t or "").encode() for t in x["text"].to_pylist()]
-            for i, j in in_slices([len(t) for t in texts], SLICE):
-                h, owner = shingle_sets(texts[i:j], size)
+            for i, j in batch_slices(x["text"], SLICE):
+                h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "shingles": pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
@@ -270,12 +267,12 @@ class Join:
         forget(self.spark, p1, p2, p3, p4, p5, p6)
         return links
 
-    def places(self, lists: DataFrame) -> DataFrame:
-        """(id, part, sub, first) of lists (id, parts): all that meet another."""
+    def places(self, lists: DataFrame) -> tuple[DataFrame, str]:
+        """(id, part, sub, first) of lists (id, parts): all that meet another; and where it is written."""
         met = lists.select("id", "parts").mapInArrow(_crowded, f"id {self.kind}, part long, sub int")
         place = W.partitionBy("part", F.greatest("sub", F.lit(0)))
         met = met.select("id", "part", "sub", F.count("*").over(place).alias("size"), F.min("id").over(place).alias("first"))
-        return cut(met.filter("size > 1 OR sub > 0").drop("size"))
+        return written(met.filter("size > 1 OR sub > 0").drop("size"))
 
     def stars(self, met: DataFrame) -> DataFrame:
         return self.verified(met.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
@@ -313,10 +310,12 @@ class Join:
         moved = chosen.filter("NOT hot").select("id", "part")
         own = lists.select("id", F.explode("parts").alias("part"))
         both = moved.unionByName(semi(own, cut(moved.select("part").distinct()), "part")).distinct()
-        met = self.places(both.groupBy("id").agg(F.collect_list("part").alias("parts")))
+        met, path = self.places(both.groupBy("id").agg(F.collect_list("part").alias("parts")))
         links = links.unionByName(self.stars(met))
         rest = chosen.filter("hot").select("id", "part", F.lit(0).alias("sub"))
-        return links.unionByName(self.trees(*self.open(met.select("id", "part", "sub").unionByName(rest), components(links))))
+        links = cut(links.unionByName(self.trees(*self.open(met.select("id", "part", "sub").unionByName(rest), components(links)))))
+        forget(self.spark, path)
+        return links
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -333,13 +332,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes if few else cut(classes)  # then it was a shuffle: once is enough
 
     join = Join(rows, classes.select("id", "n", "point"), size, num, den)
-    met = join.places(classes)
+    met, path = join.places(classes)
     links = join.stars(met)
     member, wide = join.open(met, components(links))
     links = cut(links.unionByName(join.trees(member, wide.filter(F.col("k") <= BLOCK))))
     hot = cut(wide.filter(F.col("k") > BLOCK))
     if hot.limit(1).count():
         links = join.around(member, hot, classes, links)
+    forget(docs.sparkSession, path)
     return members.select("id", "n", "rep").unionByName(told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links
 
 

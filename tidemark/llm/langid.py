@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .shingles import in_slices
+from .shingles import batch_slices
 
 STEPS, HIDDEN, WINDOW, UNKNOWN, SLICE = 64, 8, 2000, "und", 1_000_000
 
@@ -205,9 +205,9 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            every = [(t or "").encode() for t in whole["text"].to_pylist()] if weights else [b""] * len(whole)
-            for i, j in in_slices([len(t) for t in every], SLICE):
-                x, texts = whole.slice(i, j - i), every[i:j]
+            for i, j in batch_slices(whole["text"], SLICE):
+                x = whole.slice(i, j - i)
+                texts = [(t or "").encode() for t in x["text"].to_pylist()] if weights else [b""] * len(x)
                 prob, labels = label(texts, weights, positions) if weights else (np.zeros((len(x), 1)), [np.zeros(0, np.uint8)] * len(x))
                 best = prob.argmax(1)
                 out = {"id": x["id"], "lang_pred": pa.array([langs[b] if t else UNKNOWN for t, b in zip(texts, best, strict=True)], pa.string()),

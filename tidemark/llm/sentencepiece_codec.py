@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import in_slices
+from .shingles import batch_slices
 
-SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 400_000, 400_000, 400, 2_000_000
+SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 400_000, 400_000, 400, 1_500_000
 WORD = re.compile(r" *[^ ]+| +")
 NEVER = np.int64(1) << 60
 
@@ -334,9 +334,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(pieces)
         for whole in batches:
-            every = whole["text"].to_pylist()
-            for i, j in in_slices([len(t or "") for t in every], SLICE):
-                x, texts = whole.slice(i, j - i), every[i:j]
+            for i, j in batch_slices(whole["text"], SLICE):
+                x = whole.slice(i, j - i)
+                texts = x["text"].to_pylist()
                 ids, n = codec.encode(texts)
                 same = [a == (t or "") for a, t in zip(codec.decode(ids, n), texts, strict=True)]
                 yield pa.RecordBatch.from_pydict({"id": x["id"], "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32())),

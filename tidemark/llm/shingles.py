@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of UTF-8: A-Z become a-z.
@@ -71,6 +73,11 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[new], owner[new]
 
 
+def batch_slices(column: pa.Array, most: int):
+    """in_slices() of a column of texts by its bytes, without making Python strings of all of it at once."""
+    yield from in_slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
 def in_slices(sizes: list[int], most: int):
     """Ranges of consecutive texts of about `most` bytes together; one longer text is a range of its own."""
     i = 0
