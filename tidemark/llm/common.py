@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str =
     return rows.withColumn("_lane", F.pmod(F.xxhash64(by), F.lit(lanes)).cast("int")).join(many, [*on, "_lane"], how).drop("_lane")
 
 
+def give_back() -> None:
+    """Hand freed memory of a Python worker back to the system: workers live on, and another job of the executor may need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not every system has it
+        pass
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, written
+from .common import cut, forget, give_back, written
 from .shingles import batch_slices
 
 WINDOW, BLOCK_NODES, CHUNK, DIGITS, SLICE = 10, 6_000_000, 5_000, 3, 4_000_000
@@ -112,8 +112,8 @@ def _chunks(size: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """One row per document: id, n_words, n_hit, contaminated, items (sorted ids as strings), spans in the original text.
+                  item_text: str = "text", window: int = WINDOW, block_nodes: int = BLOCK_NODES, with_text: bool = False) -> DataFrame:
+    """One row per document: id, n_words, n_hit, contaminated, items (sorted ids as strings), spans in the original text, and with `with_text` the text.
 
     A null or empty text has no words. Items with a null id have the id `null`; repeated items count once. Without items
     nothing is hit. Repeated document rows each have their row. Other columns are ignored.
@@ -130,17 +130,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(n_blocks):
         mine = chunks.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b) if n_blocks > 1 else chunks
         block = spark.sparkContext.broadcast([(r.item, list(r.words)) for r in mine.select("item", "words").collect()])
-        out = _pass(out, block, window, id_type, b == n_blocks - 1)
+        out = _pass(out, block, window, id_type, b == n_blocks - 1, with_text or b < n_blocks - 1)
         if b < n_blocks - 1:  # one automaton at a time in a worker
             out, path = written(out)
             forget(spark, *before)
             before = [path]
     n_hit = F.aggregate(F.zip_with("first", "last", lambda a, b: b - a + 1), F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), (n_hit > 0).alias("contaminated"), "items", "spans")
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), (n_hit > 0).alias("contaminated"), "items", "spans", *["text"] * with_text)
 
 
-def _pass(rows: DataFrame, block, window: int, id_type: str, final: bool) -> DataFrame:
-    """Add what one automaton finds; the last pass lets go of the text."""
+def _pass(rows: DataFrame, block, window: int, id_type: str, final: bool, with_text: bool) -> DataFrame:
+    """Add what one automaton finds."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +156,7 @@ def _pass(rows: DataFrame, block, window: int, id_type: str, final: bool) -> Dat
                     spans.append(originals(text, runs) if final and runs else [])
                 new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                        "first": pa.array(first, pa.list_(pa.int32())), "last": pa.array(last, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_pydict({"id": x["id"]} | ({} if final else {"text": x["text"]}) | new)
+                yield pa.RecordBatch.from_pydict({"id": x["id"]} | ({"text": x["text"]} if with_text else {}) | new)
+        give_back()
 
-    return rows.mapInArrow(run, f"id {id_type}, " + ("" if final else "text string, ") + "n_words long, " + HITS)
+    return rows.mapInArrow(run, f"id {id_type}, " + "text string, " * with_text + "n_words long, " + HITS)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, forget, meet, small, written
+from .common import BROADCAST_ROWS, cut, forget, give_back, meet, small, written
 from .components import components
 from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
@@ -104,6 +104,7 @@ def _describe(size: int, num: int, den: int):
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "n": pa.array(n, pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2),
                                                   "point": pa.array([p.tobytes() for p in points.astype(np.uint16)], pa.binary()),
                                                   "parts": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(part.astype(np.int64)))})
+        give_back()
 
     return run
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import give_back, held_out
 from .shingles import batch_slices
 
 STEPS, HIDDEN, WINDOW, UNKNOWN, SLICE = 64, 8, 2000, "und", 1_000_000
@@ -194,25 +194,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return [langs[y] for y in have], train(windows, len(have))
 
 
-def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", positions: bool = False) -> DataFrame:
-    """One row per document: id, lang_pred, score, and with `positions` also `labels`, a byte per byte of text (index of its language).
+def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", positions: bool = False, with_text: bool = False) -> DataFrame:
+    """One row per document: id, lang_pred, score, with `positions` also `labels`, a byte per byte of text (index of its language), and with `with_text` the text.
 
     A null text, one without any letter, and any text where there is no model is `und` with score 0. Repeated rows keep their
     rows; an empty table gives an empty table; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("told"), F.col(text_col).alias("text"))
     langs, weights = model or ([], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i, j in batch_slices(whole["text"], SLICE):
                 x = whole.slice(i, j - i)
-                texts = [(t or "").encode() for t in x["text"].to_pylist()] if weights else [b""] * len(x)
+                texts = [t.encode() if told else b"" for t, told in zip(x["text"].to_pylist(), x["told"].to_pylist(), strict=True)] if weights else [b""] * len(x)
                 prob, labels = label(texts, weights, positions) if weights else (np.zeros((len(x), 1)), [np.zeros(0, np.uint8)] * len(x))
                 best = prob.argmax(1)
                 out = {"id": x["id"], "lang_pred": pa.array([langs[b] if t else UNKNOWN for t, b in zip(texts, best, strict=True)], pa.string()),
                        "score": pa.array([float(q[b]) if t else 0.0 for t, q, b in zip(texts, prob, best, strict=True)], pa.float64())}
-                yield pa.RecordBatch.from_pydict(out | ({"labels": pa.array([a.tobytes() for a in labels], pa.binary())} if positions else {}))
+                out |= {"labels": pa.array([a.tobytes() for a in labels], pa.binary())} if positions else {}
+                yield pa.RecordBatch.from_pydict(out | ({"text": x["text"]} if with_text else {}))
+        give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double" + ", labels binary" * positions).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double" + ", labels binary" * positions + ", text string" * with_text).withColumnRenamed("id", id_col)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .shingles import batch_slices
 
 SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 400_000, 400_000, 400, 1_500_000
@@ -341,6 +342,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 same = [a == (t or "") for a, t in zip(codec.decode(ids, n), texts, strict=True)]
                 yield pa.RecordBatch.from_pydict({"id": x["id"], "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32())),
                                                   "n_tokens": pa.array(n, pa.int64()), "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "round_trip": pa.array(same)})
+        give_back()
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_tokens long, n_chars long, round_trip boolean").withColumnRenamed("id", id_col)
 
