@@ -25,8 +25,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _beside(docs: DataFrame) -> DataFrame:
-    """The text, and beside it the whole row: operators that tell each row by itself hand it through in place of an id, so no join is needed."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """The text, and beside it the rest of the row: operators that tell each row by itself hand both through, so no join is needed."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -36,8 +36,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row is told by its own text, whatever its id is."""
-    found = langid.identify(_beside(docs), langid.fit(docs), "row")
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    found = langid.identify(_beside(docs), langid.fit(docs), "row", with_text=True)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*", "text").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row is told by its own text, whatever its id is."""
-    found = decontaminate(_beside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
-    return found.filter("NOT contaminated").select("row.*")
+    found = decontaminate(_beside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row", with_text=True)
+    return found.filter("NOT contaminated").select("row.*", "text").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
