@@ -511,7 +511,7 @@ def test_pipeline(spark, texts):
     for i in sorted(have):
         last[have[i]] = i
     unique = {i: have[i] for i in last.values()}
-    near = {i: t for i, t in unique.items() if brute_components(unique)[i][1] == i} if len(unique) < 60 else {i: unique[i] for i, (_, c) in brute_components(unique).items() if c == i}
+    near = {i: t for i, t in unique.items() if brute_components(unique, 5, 80)[i][1] == i} if len(unique) < 60 else {i: unique[i] for i, (_, c) in brute_components(unique, 5, 80).items() if c == i}
     items = [t for _, t in duckdb.connect().execute(f"SELECT item_id, text FROM '{DATA}/benchmark.parquet'").fetchall()]
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(FOLD))
     windows = {" ".join(w[i:i + 10]) for w in map(norm, items) for i in range(max(1, len(w) - 9)) if w}
