@@ -257,10 +257,14 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose points may link and whose sets of shingles do."""
         pairs, p1 = written(pairs.distinct())
+        if pairs.isEmpty():
+            return pairs
         ids, p2 = self._ids(pairs)
         near, p3 = written(semi(self.points, ids, "id"))
         both = pairs.join(near.toDF("a", "na", "pa"), "a").join(near.toDF("b", "nb", "pb"), "b")
         pairs, p4 = written(both.mapInArrow(_may_link(self.num, self.den), self.pair).distinct())
+        if pairs.isEmpty():
+            return pairs
         ids, p5 = self._ids(pairs)
         sets, p6 = written(semi(self.rows, ids, "id").mapInArrow(_sets(self.size), f"id {self.kind}, shingles binary"))
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
