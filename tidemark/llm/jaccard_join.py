@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, forget, give_back, meet, small, written
+from .common import cut, forget, give_back, meet, small, written
 from .components import components
 from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
@@ -89,7 +89,7 @@ def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int,
     return owner[order], part[order], *ranks
 
 
-def _describe(size: int, num: int, den: int):
+def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for i, j in batch_slices(x["text"], SLICE):
@@ -99,11 +99,8 @@ def _describe(size: int, num: int, den: int):
                 points[n >= HUGE] = 65535
                 starts = np.append(np.cumsum(n) - n, len(h))
                 h1, h2 = (np.array([np.add.reduce(k[a:b]) for a, b in zip(starts, starts[1:], strict=False)], np.uint64).astype(np.int64) for k in (h, mix(h ^ U(77))))
-                part_owner, part = parts_of(h, owner, n, num, den)
-                cuts = np.searchsorted(part_owner, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "n": pa.array(n, pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2),
-                                                  "point": pa.array([p.tobytes() for p in points.astype(np.uint16)], pa.binary()),
-                                                  "parts": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(part.astype(np.int64)))})
+                                                  "point": pa.array([p.tobytes() for p in points.astype(np.uint16)], pa.binary())})
         give_back()
 
     return run
@@ -204,6 +201,20 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"id": x["id"].take(pa.array(owner[rows])), "part": pa.array(parts[rows]), "sub": pa.array(np.append(sub, np.full(len(first), -1)), pa.int32())})
 
 
+def _parts(size: int, num: int, den: int):
+    """Lists of the parts by which sets meet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i, j in batch_slices(x["text"], SLICE):
+                h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
+                of, part = parts_of(h, owner, np.bincount(owner, minlength=j - i), num, den)
+                cuts = np.searchsorted(of, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "parts": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(part.astype(np.int64)))})
+        give_back()
+
+    return run
+
+
 def _spare(size: int, num: int, den: int):
     """All parts of each text's set with their ranks; `own` tells sets of one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +255,7 @@ def _linked(num: int, den: int):
 
 
 class Join:
-    """The steps on one table of texts, rows (id, text); `points` has id, n and point of one row of each class of equal sets."""
+    """The steps on one table of texts, rows (id, text); `points` has id, n and point of each."""
 
     def __init__(self, rows: DataFrame, points: DataFrame, size: int, num: int, den: int):
         self.rows, self.points, self.size, self.num, self.den = rows, points, size, num, den
@@ -327,23 +338,22 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(described rows: id, n and representative of their class; links between representatives that make up the components)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    told = cut(rows.mapInArrow(_describe(size, num, den), f"id {kind}, n long, h1 long, h2 long, point binary, parts array<long>"))
+    told = cut(rows.mapInArrow(_describe(size), f"id {kind}, n long, h1 long, h2 long, point binary"))
     some, equal = told.filter("n > 0 AND id IS NOT NULL"), ["n", "h1", "h2"]
     reps = some.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1")  # other rows stand for themselves
     members = meet(some.select("id", *equal), cut(reps.drop("rows")), equal, "left").withColumn("rep", F.coalesce("rep", "id"))
-    copies = cut(members.filter("id <> rep").select("id", *equal).distinct())
-    few = copies.count() <= BROADCAST_ROWS
-    classes = some.join(F.broadcast(copies) if few else copies, ["id", *equal], "left_anti")
-    classes = classes if few else cut(classes)  # then it was a shuffle: once is enough
+    copies = cut(members.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).filter("copy").select("id"))
+    one = rows.filter("id IS NOT NULL").join(small(copies), "id", "left_anti")  # a row or more of each class
+    lists = one.mapInArrow(_parts(size, num, den), f"id {kind}, parts array<long>")
 
-    join = Join(rows, classes.select("id", "n", "point"), size, num, den)
-    met, path = join.places(classes)
+    join = Join(rows, some.select("id", "n", "point"), size, num, den)
+    met, path = join.places(lists)
     links = join.stars(met)
     member, wide = join.open(met, components(links))
     links = cut(links.unionByName(join.trees(member, wide.filter(F.col("k") <= BLOCK))))
     hot = cut(wide.filter(F.col("k") > BLOCK))
     if hot.limit(1).count():
-        links = join.around(member, hot, classes, links)
+        links = join.around(member, hot, lists, links)
     forget(docs.sparkSession, path)
     return members.select("id", "n", "rep").unionByName(told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links
 
