@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import cut, shared_dir
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_components
@@ -30,9 +30,10 @@ def _beside(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of the row and a digest that orders rows of equal id the same way in each run. The key is a row's place: stages read
-    written tables, whose rows have the same places in every scan."""
-    return docs.withColumns({"_tie": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()})
+    """docs with a key of the row and a digest that orders rows of equal id the same way in each run. The key is a row's place. A table that is
+    read from files as it is has the same places in every scan; anything else is written first."""
+    keyed = docs.withColumns({"_tie": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()})
+    return keyed if docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation" else cut(keyed)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
