@@ -283,9 +283,9 @@ class Join:
         forget(self.spark, p1, p2, p3, p4, p5, p6)
         return links
 
-    def places(self, lists: DataFrame) -> tuple[DataFrame, str]:
-        """(id, part, sub, first) of lists (id, parts): all that meet another; and where it is written."""
-        met = lists.select("id", "parts").mapInArrow(_crowded, f"id {self.kind}, part long, sub int")
+    def places(self, dealt: DataFrame) -> tuple[DataFrame, str]:
+        """(id, part, sub, first) of rows (id, part, sub): all that meet another; and where it is written."""
+        met = dealt.select("id", "part", "sub")
         place = W.partitionBy("part", F.greatest("sub", F.lit(0)))
         met = met.select("id", "part", "sub", F.count("*").over(place).alias("size"), F.min("id").over(place).alias("first"))
         return written(met.filter("size > 1 OR sub > 0").drop("size"))
@@ -315,7 +315,7 @@ class Join:
         forget(self.spark, p1, p2, p3, p4)
         return links
 
-    def around(self, member: DataFrame, hot: DataFrame, lists: DataFrame, links: DataFrame) -> DataFrame:
+    def around(self, member: DataFrame, hot: DataFrame, dealt: DataFrame, links: DataFrame) -> DataFrame:
         """Links of sets in hot places, which meet by other parts where they have them."""
         ids = cut(meet(member, hot.select("part"), ["part"], "left_semi").select("id").distinct())
         spare = semi(self.rows, ids, "id").mapInArrow(_spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
@@ -324,9 +324,9 @@ class Join:
         chosen = spare.withColumn("place", F.row_number().over(order)).filter("place <= keep")
         chosen = cut(chosen.filter("hot OR rank >= keep").select("id", "part", "hot"))
         moved = chosen.filter("NOT hot").select("id", "part")
-        own = lists.select("id", F.explode("parts").alias("part"))
+        own = dealt.filter("sub >= 0").select("id", "part")
         both = moved.unionByName(semi(own, cut(moved.select("part").distinct()), "part")).distinct()
-        met, path = self.places(both.groupBy("id").agg(F.collect_list("part").alias("parts")))
+        met, path = self.places(both.withColumn("sub", F.lit(0)))  # what many sets share has left these
         links = links.unionByName(self.stars(met))
         rest = chosen.filter("hot").select("id", "part", F.lit(0).alias("sub"))
         links = cut(links.unionByName(self.trees(*self.open(met.select("id", "part", "sub").unionByName(rest), components(links)))))
@@ -344,16 +344,17 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = meet(some.select("id", *equal), cut(reps.drop("rows")), equal, "left").withColumn("rep", F.coalesce("rep", "id"))
     copies = cut(members.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).filter("copy").select("id"))
     one = rows.filter("id IS NOT NULL").join(small(copies), "id", "left_anti")  # a row or more of each class
-    lists = one.mapInArrow(_parts(size, num, den), f"id {kind}, parts array<long>")
+    parts = _parts(size, num, den)
+    dealt = one.mapInArrow(lambda batches: _crowded(parts(batches)), f"id {kind}, part long, sub int")
 
     join = Join(rows, some.select("id", "n", "point"), size, num, den)
-    met, path = join.places(lists)
+    met, path = join.places(dealt)
     links = join.stars(met)
     member, wide = join.open(met, components(links))
     links = cut(links.unionByName(join.trees(member, wide.filter(F.col("k") <= BLOCK))))
     hot = cut(wide.filter(F.col("k") > BLOCK))
     if hot.limit(1).count():
-        links = join.around(member, hot, lists, links)
+        links = join.around(member, hot, dealt, links)
     forget(docs.sparkSession, path)
     return members.select("id", "n", "rep").unionByName(told.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("rep"))), links
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import give_back
 from .shingles import batch_slices
 
-SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 400_000, 400_000, 400, 1_500_000
+SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 150_000, 300_000, 400, 1_000_000
 WORD = re.compile(r" *[^ ]+| +")
 NEVER = np.int64(1) << 60
 
