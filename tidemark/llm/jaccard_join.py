@@ -33,8 +33,8 @@ from .common import cut, forget, give_back, meet, small, written
 from .components import components
 from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
-GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD = 256, 2_000_000, 64, 12, 1024, 64
-HUGE = 8_000_000  # sets this large have no point: no count could overflow, and the bound lets them pass
+GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD = 128, 2_000_000, 64, 12, 1024, 64
+FULL = 255  # the largest coordinate; a set with more in one group has no point but FULL in all, and the bound lets it pass
 
 
 def bounds(limit: int) -> np.ndarray:
@@ -96,26 +96,26 @@ def _describe(size: int):
                 h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 n = np.bincount(owner, minlength=j - i)
                 points = np.bincount(owner * GROUPS + (h >> U(56)).astype(np.int64) % GROUPS, minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
-                points[n >= HUGE] = 65535
+                points[(points >= FULL).any(1)] = FULL
                 starts = np.append(np.cumsum(n) - n, len(h))
                 h1, h2 = (np.array([np.add.reduce(k[a:b]) for a, b in zip(starts, starts[1:], strict=False)], np.uint64).astype(np.int64) for k in (h, mix(h ^ U(77))))
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "n": pa.array(n, pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2),
-                                                  "point": pa.array([p.tobytes() for p in points.astype(np.uint16)], pa.binary())})
+                                                  "point": pa.array([p.tobytes() for p in points.astype(np.uint8)], pa.binary())})
         give_back()
 
     return run
 
 
 def enough(n1, n2, num: int, den: int):
-    """Shared shingles that two sets of these sizes need: num / (num + den) of the sum of sizes, rounded up."""
-    return -(-(n1 + n2) * num // (num + den))
+    """Shared shingles that two sets of these sizes need: num / (num + den) of the sum of sizes, rounded up; no more than two full points show."""
+    return np.minimum(-(-(n1 + n2) * num // (num + den)), FULL * GROUPS)
 
 
 def _may_link(num: int, den: int):
     """Pairs whose summed coordinate minima reach what they need."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            p, q = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
+            p, q = (np.frombuffer(b"".join(x[c].to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("pa", "pb"))
             n, m = x["na"].to_numpy(), x["nb"].to_numpy()
             ok = (np.minimum(p, q).sum(1, dtype=np.int64) >= enough(n, m, num, den)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
             yield x.select(["a", "b"]).filter(pa.array(ok))
@@ -165,7 +165,7 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
 def _join_place(num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["id", "n", "point"])
-        points = np.frombuffer(b"".join(rows["point"]), np.uint16).reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(rows["point"]), np.uint8).reshape(-1, GROUPS)
         ids = rows["id"].to_numpy()
         found = list(tree_pairs(points, rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy(), num, den))
         i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in (0, 1))
