@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def host_rewrite(url: Column, host: str) -> Column:
     """Replace the host of http and https URLs; other values, and all where the host is empty, stay."""
+    # fixed value: scheme, host and rest of a URL
     return F.regexp_replace(url, r"^(https?://)[^/]+(/.*)?$", f"$1{host.replace('$', '')}$2") if host else url
 
 
@@ -23,6 +24,7 @@ def human_bytes(n: Column) -> Column:
     return unit
 
 
+# The limits of the classes of hours and volumes.
 def time_of_day(ts: Column) -> Column:
     h = F.hour(ts)
     return F.when(h.between(6, 11), "morning").when(h.between(12, 17), "afternoon").when(h.between(18, 21), "evening").otherwise("night")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.changelog import latest
+from tidemark.operators.enrich import if_few
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
@@ -37,8 +38,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: str = "doc_key") -
 
 def guard(changes: DataFrame, state: DataFrame, on: list[str]) -> DataFrame:
     """Changes past the last sequence applied for their client and table; a table without state passes whole. `state` has a row per client and
-    table of the spec."""
-    s = F.broadcast(state.select(*on, "last_seq"))
+    table, and is broadcast if those are few, as counted."""
+    s = if_few(state.select(*on, "last_seq"))
     return changes.join(s, on, "left").filter(F.col("seq") > F.coalesce("last_seq", F.lit(-1))).drop("last_seq")
 
 

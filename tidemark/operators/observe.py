@@ -79,9 +79,9 @@ def breaches(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     return metrics.join(r, on).withColumn("breach", over)
 
 
-def alert_edges(rows: DataFrame, keys: list[str], ts: str, breach: str) -> DataFrame:
-    """Batch form of the alert machine without cooldown: raised where a breach begins, resolved where it ends."""
-    before = F.lag(F.col(breach), 1, False).over(W.partitionBy(*keys).orderBy(ts))
+def alert_edges(rows: DataFrame, keys: list[str], order: list[str], breach: str) -> DataFrame:
+    """Batch form of the alert machine without cooldown: raised where a breach begins, resolved where it ends. `order` should have no ties."""
+    before = F.lag(F.col(breach), 1, False).over(W.partitionBy(*keys).orderBy(*order))
     state = F.when(F.col(breach) & ~before, "raised").when(~F.col(breach) & before, "resolved")
     return rows.withColumn("state", state).filter("state IS NOT NULL")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.enrich import if_few
+
 
 def plan_modes(specs: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
     """Per table: full, clear_full (a stale checkpoint has to go first), resume or incremental."""
@@ -30,7 +32,8 @@ def reconcile(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFram
 def consistency(state: DataFrame, source: DataFrame, key: str, on: list[str]) -> DataFrame:
     """Per state row: whether its last key is still in the source, and whether a completed table has fewer rows than were transferred."""
     counts = source.groupBy(*on).agg(F.count("*").alias("n_now"))
-    keys = source.select(*on, F.col(key).alias("last_key")).distinct().withColumn("found", F.lit(True))
+    asked = if_few(state.select(*on, "last_key").distinct())
+    keys = source.select(*on, F.col(key).alias("last_key")).join(asked, [*on, "last_key"], "left_semi").distinct().withColumn("found", F.lit(True))
     return state.join(keys, [*on, "last_key"], "left").join(counts, on, "left").select(
         *on, "last_key", F.coalesce("found", F.lit(False)).alias("last_key_found"), F.coalesce("n_now", F.lit(0)).alias("n_now"),
         ((F.col("status") == "completed") & (F.coalesce("n_now", F.lit(0)) < F.col("docs_total"))).alias("shrunk"))
@@ -38,7 +41,7 @@ def consistency(state: DataFrame, source: DataFrame, key: str, on: list[str]) ->
 
 def untransferred(docs: DataFrame, state: DataFrame, created: Column, on: list[str]) -> DataFrame:
     """Rows a client still lacks: no state, state in initial mode, or created after its last update. `state` has a row per client and table."""
-    s = F.broadcast(state.select(*on, "mode", "updated_at"))
+    s = if_few(state.select(*on, "mode", "updated_at"))
     return docs.join(s, on, "left").filter(F.col("mode").isNull() | (F.col("mode") == "initial") | (created > F.col("updated_at"))).drop("mode", "updated_at")
 
 

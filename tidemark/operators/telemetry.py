@@ -5,6 +5,10 @@ Windows are partitioned by node and metric. Where a step needs an ordered fold,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +40,7 @@ def confidence(rows: DataFrame, node: str, success: Column) -> DataFrame:
     return rows.groupBy(node).agg(n.alias("n"), F.when(n < 10, F.lit(0.0)).otherwise(F.round(F.avg(success.cast("int")) * F.least(F.lit(1.0), n / 100), 9)).alias("confidence"))
 
 
+# The weights and limits of the scores below (band, usage_score, load_flags, node_load, capability).
 def band(u: Column, low: float, high: float) -> Column:
     """1 in the ideal band, less below and above."""
     return F.when(u < low, 0.5 + 0.5 * u / low).when(u > high, F.greatest(F.lit(0.1), 1 - (u - high) / (100 - high))).otherwise(F.lit(1.0))
@@ -54,21 +59,49 @@ def load_flags(rows: DataFrame) -> DataFrame:
 
 
 def effectiveness(rows: DataFrame, keys: list[str], score: str, top: int = 20, history: int = 1000) -> DataFrame:
-    """0.7 old + 0.3 new in event order over the last `history` uses, and the best patterns."""
+    """0.7 old + 0.3 new in event order, and the best patterns; all uses count. Uses before the last `history` weigh less than 0.7 ** history, below
+    any double's precision, so the fold leaves them out."""
     recent = last_n(rows, keys, [F.desc("ts"), F.desc("seq")], history)
     seen = F.array_sort(F.collect_list(F.struct("ts", "seq", F.col(score).alias("s"))))
     fold = F.aggregate(F.slice("seen", 2, history), F.element_at("seen", 1)["s"], lambda a, x: 0.7 * a + 0.3 * x["s"])
-    out = recent.groupBy(*keys).agg(seen.alias("seen")).select(*keys, F.round(fold, 9).alias("effectiveness"), F.size("seen").cast("long").alias("uses"),
-                                                              F.round(F.least(F.lit(1.0), 0.1 * F.size("seen")), 9).alias("confidence"))
+    uses = rows.groupBy(*keys).agg(F.count("*").alias("uses"))
+    out = recent.groupBy(*keys).agg(seen.alias("seen")).join(uses, keys).select(*keys, F.round(fold, 9).alias("effectiveness"), "uses", F.round(F.least(F.lit(1.0), 0.1 * F.col("uses")), 9).alias("confidence"))
     return out.orderBy(F.desc("effectiveness"), *keys).limit(top)
 
 
-def neighbours(queries: DataFrame, examples: DataFrame, k: int = 5) -> DataFrame:
-    """Settings averaged over the k nearest examples by performance; fewer than 10 examples give none. `examples` is a capped history."""
-    e = F.broadcast(examples.select(*[F.col(c).alias(f"e_{c}") for c in examples.columns]))
-    d = F.sqrt(sum((w * F.pow(F.col(c) - F.col(f"e_{c}"), 2) for c, w in NEAR.items()), F.lit(0.0)))
-    near = last_n(queries.join(e, F.col("qid") != F.col("e_qid")).withColumn("distance", F.round(d, 9)), ["qid"], [F.asc("distance"), F.asc("e_qid")], k)
-    return near.groupBy("qid").agg(F.round(F.sum(F.col("e_setting") * F.col("e_score")) / F.sum("e_score"), 9).alias("setting"), F.round(F.avg("distance"), 9).alias("mean_distance"))
+def neighbours(queries: DataFrame, examples: DataFrame, k: int = 5, most: int = 10_000) -> DataFrame:
+    """Settings averaged over the k nearest other examples by performance, as qid, setting, mean_distance.
+
+    `examples` is a capped history: more than `most` rows are an error. It goes to every task, which measures a slice of queries against it at
+    once and keeps the k least of each, so nothing is shuffled or sorted.
+    """
+    kept = examples.limit(most + 1).toPandas().sort_values("qid")  # ties go to the smaller qid
+    if len(kept) > most:
+        raise ValueError(f"more than {most} examples")
+    shared, names = queries.sparkSession.sparkContext.broadcast(kept), list(NEAR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = shared.value
+        at, ids, setting, score = e[names].to_numpy(float), e["qid"].to_numpy(), e["setting"].to_numpy(float), e["score"].to_numpy(float)
+        for whole in batches:
+            for i in range(0, len(whole), 1000):
+                x = whole.slice(i, 1000)
+                q, qid = np.stack([x[c].to_numpy(zero_copy_only=False).astype(float) for c in names], 1), x["qid"].to_numpy()
+                d = np.zeros((len(q), len(e)))
+                for j, w in enumerate(NEAR.values()):
+                    d += w * (q[:, j, None] - at[None, :, j]) ** 2
+                d = np.round(np.sqrt(d), 9)
+                d[qid[:, None] == ids[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, best, 1)
+                own = np.isfinite(near)
+                weight = score[best] * own
+                some = own.any(1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out = (qid, np.round((setting[best] * weight).sum(1) / weight.sum(1), 9), np.round(np.where(own, near, 0).sum(1) / own.sum(1), 9))
+                yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in out], ["qid", "setting", "mean_distance"])
+
+    return queries.select("qid", *names).mapInArrow(run, "qid long, setting double, mean_distance double")
 
 
 def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:

@@ -14,12 +14,12 @@ from tidemark.plans.spec import TableSpec
 from tidemark.sources.storage import table
 
 ST = """st AS (SELECT 'shop' AS db, 'u' || (user_id % 7) AS coll, max(event_id) AS last_key, count(*) AS docs_total, user_id % 7 IN (0, 1, 2) AS initial_done,
-  CASE WHEN user_id % 7 IN (0, 1, 2) THEN 'completed' WHEN user_id % 7 = 3 THEN 'in_progress' WHEN user_id % 7 = 4 THEN 'error' ELSE 'pending' END AS status, max(ts) AS updated_at FROM events WHERE user_id % 7 < 6 GROUP BY user_id % 7)"""
+  CASE WHEN user_id % 7 IN (0, 1, 2) THEN 'completed' WHEN user_id % 7 = 3 THEN 'in_progress' WHEN user_id % 7 = 4 THEN 'error' ELSE 'pending' END AS status, max(ts) AS updated_at FROM events GROUP BY user_id % 7)"""
 
 
 def state(spark, d) -> DataFrame:
     k = F.col("user_id") % 7
-    e = table(spark, d, "events").filter(k < 6).groupBy(k.alias("k")).agg(F.max("event_id").alias("last_key"), F.count("*").alias("docs_total"), F.max("ts").alias("updated_at"))
+    e = table(spark, d, "events").groupBy(k.alias("k")).agg(F.max("event_id").alias("last_key"), F.count("*").alias("docs_total"), F.max("ts").alias("updated_at"))
     done = F.col("k").isin(0, 1, 2)
     status = F.when(done, "completed").when(F.col("k") == 3, "in_progress").when(F.col("k") == 4, "error").otherwise("pending")
     return e.select(F.lit("shop").alias("db"), F.concat(F.lit("u"), "k").alias("coll"), "last_key", "docs_total", done.alias("initial_done"), status.alias("status"), "updated_at")
@@ -34,9 +34,10 @@ def _by_client(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {ST}, s AS (SELECT 'shop' AS db, 'u' || i AS coll FROM range(0, 7) r(i))
-SELECT db, coll, CASE WHEN initial_done THEN 'incremental' WHEN status = 'in_progress' THEN 'resume' WHEN last_key IS NOT NULL THEN 'clear_full' ELSE 'full' END AS mode FROM s LEFT JOIN st USING (db, coll)""")
+SELECT db, coll, CASE WHEN initial_done THEN 'incremental' WHEN status = 'in_progress' THEN 'resume' WHEN last_key IS NOT NULL THEN 'clear_full' ELSE 'full' END AS mode FROM s LEFT JOIN (SELECT * FROM st WHERE coll <> 'u6') USING (db, coll)""")
 def plan_modes(spark, d):
-    return S.plan_modes(specs(spark), state(spark, d)).select("db", "coll", "mode")
+    """One table of the spec has no state yet."""
+    return S.plan_modes(specs(spark), state(spark, d).filter("coll <> 'u6'")).select("db", "coll", "mode")
 
 
 @query(f"""WITH {ST} SELECT count(*) AS tables, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (status = 'in_progress') AS running,
@@ -164,10 +165,10 @@ def alerts_breach(spark, d):
     return O.breaches(rules, m).filter("breach").select("event_id", F.col("r_severity").alias("severity"), "value")
 
 
-@query("""WITH x AS (SELECT event_type, ts, event_id, value > 40 AS b, lag(value > 40, 1, false) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events) SELECT event_id, CASE WHEN b THEN 'raised' ELSE 'resolved' END AS state FROM x WHERE b <> p""")
+@query("""WITH x AS (SELECT event_type, ts, event_id, value > 40 AS b, lag(value > 40, 1, false) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, CASE WHEN b THEN 'raised' ELSE 'resolved' END AS state FROM x WHERE b <> p""")
 def alert_edges(spark, d):
     e = table(spark, d, "events").withColumn("b", F.col("value") > 40)
-    return O.alert_edges(e, ["event_type"], "ts", "b").select("event_id", "state")
+    return O.alert_edges(e, ["event_type"], ["ts", "event_id"], "b").select("event_id", "state")
 
 
 LOG = "log AS (SELECT event_id, ts, event_type AS stage, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'warning' ELSE 'info' END AS level, props AS message, CASE WHEN value > 10 THEN 'ok' ELSE 'low' END AS status, user_id AS correlation FROM events)"
@@ -203,7 +204,7 @@ def batch_throughput(spark, d):
         F.count("*").alias("docs"), F.sum(F.octet_length("props")).alias("bytes"), F.round(byte_rate(F.octet_length("props"), 2.5), 6).alias("mb_per_second"))
 
 
-@query(f"WITH {LOG} SELECT event_id, correlation, row_number() OVER (PARTITION BY correlation ORDER BY ts, event_id) AS place FROM log WHERE correlation < 20")
+@query(f"WITH {LOG} SELECT event_id, correlation, row_number() OVER (PARTITION BY correlation ORDER BY ts, event_id) AS place FROM log")
 def correlated(spark, d):
     place = F.row_number().over(W.partitionBy("correlation").orderBy("ts", "event_id"))
-    return logs(spark, d).filter("correlation < 20").select("event_id", "correlation", place.alias("place"))
+    return logs(spark, d).select("event_id", "correlation", place.alias("place"))

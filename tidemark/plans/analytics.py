@@ -48,7 +48,7 @@ def load_flags(spark, d):
 
 
 FOLD = """WITH RECURSIVE $TEL, o AS (SELECT {0}, {1} AS s, row_number() OVER (PARTITION BY {0} ORDER BY ts, seq) AS k FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY ts DESC, seq DESC) AS back FROM tel) WHERE back <= 1000),
-f AS (SELECT {0}, k, s AS v FROM o WHERE k = 1 UNION ALL SELECT o.{0}, o.k, {2} FROM f JOIN o ON o.{0} = f.{0} AND o.k = f.k + 1), e AS (SELECT {0}, arg_max(v, k) AS v, max(k) AS n FROM f GROUP BY {0})"""
+f AS (SELECT {0}, k, s AS v FROM o WHERE k = 1 UNION ALL SELECT o.{0}, o.k, {2} FROM f JOIN o ON o.{0} = f.{0} AND o.k = f.k + 1), u AS (SELECT {0}, count(*) AS n FROM tel GROUP BY {0}), e AS (SELECT {0}, arg_max(v, k) AS v, any_value(n) AS n FROM f JOIN u USING ({0}) GROUP BY {0})"""
 
 
 @query(FOLD.format("conn", "cpu / 100", "0.7 * f.v + 0.3 * o.s") + " SELECT conn, round(v, 9) AS effectiveness, n AS uses, round(least(1.0, 0.1 * n), 9)::DOUBLE AS confidence FROM e ORDER BY effectiveness DESC, conn LIMIT 20")

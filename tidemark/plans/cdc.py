@@ -21,11 +21,11 @@ def changes(spark, d) -> DataFrame:
 
 
 def start(spark, d) -> DataFrame:
-    """A target that holds one row for every customer up to 500."""
-    return table(spark, d, "customer").filter("c_custkey <= 500").select(F.col("c_custkey").alias("doc_key"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    """A target that holds one row for every customer."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("doc_key"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
 
 
-START = "start AS (SELECT c_custkey AS doc_key, 0.0::DOUBLE AS value, '{}' AS props FROM customer WHERE c_custkey <= 500)"
+START = "start AS (SELECT c_custkey AS doc_key, 0.0::DOUBLE AS value, '{}' AS props FROM customer)"
 
 
 @query("""WITH $CH SELECT db, coll, CASE event_type WHEN 'view' THEN 'drop' ELSE op END AS op, doc_key, CASE WHEN op <> 'delete' AND event_type <> 'view' THEN value END AS value, cluster_time, seq FROM ch WHERE seq % 7 <> 0 AND seq % 11 <> 0""")
@@ -83,7 +83,7 @@ def batch(spark, d) -> DataFrame:
 
 @query(f"WITH {START}, {BATCH} SELECT * FROM start UNION ALL SELECT * FROM b WHERE doc_key NOT IN (SELECT doc_key FROM start)")
 def cdc_insert_ignore(spark, d):
-    return A.insert_ignore(start(spark, d).filter("doc_key <= 500"), batch(spark, d), "doc_key")
+    return A.insert_ignore(start(spark, d), batch(spark, d), "doc_key")
 
 
 @query("WITH $CH SELECT seq, doc_key, op FROM ch WHERE (cluster_time, seq) > (TIMESTAMP '2024-01-15', 100)")

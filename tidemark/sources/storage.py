@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; below a temporary one where none is set, as in tests."""
+    """A new folder below the one that all executors share; in local mode (tests) below a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them can read")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
