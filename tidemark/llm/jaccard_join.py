@@ -169,10 +169,7 @@ def _join_place(num: int, den: int):
         ids = rows["id"].to_numpy()
         found = list(tree_pairs(points, rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy(), num, den))
         i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in (0, 1))
-        # a pair that meets in several places belongs to the first of them
-        here, places = rows["part"].iloc[0], [frozenset(p) for p in rows["places"]]
-        own = np.array([min(places[x] & places[y]) == here for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        a, b = ids[i[own]], ids[j[own]]
+        a, b = ids[i], ids[j]  # a pair that meets in several places is made distinct before it is verified
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -303,14 +300,13 @@ class Join:
         """Links within open places; of places with the same members one is enough."""
         keep, p1 = written(wide.groupBy("who", "k").agg(F.min("part").alias("part")).select("part", "k"))
         member, p2 = written(meet(member, keep, ["part"], "inner"))
-        places = member.groupBy("id").agg(F.collect_list("part").alias("places"))  # no more than the parts of one set
-        ids, p3 = written(places)
-        near, p4 = written(self.points.join(small(ids.select("id")), "id", "left_semi"))
-        member = member.join(near, "id").join(ids, "id")
+        ids, p3 = written(member.select("id").distinct())
+        near, p4 = written(semi(self.points, ids, "id"))
+        member = member.join(near, "id")
         blocks = F.ceil(F.col("k") / BLOCK).cast("int")
         member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        member = member.select("id", "n", "point", "comp", "places", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        member = member.select("id", "n", "point", "comp", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
         links = self.verified(member.groupBy("part", "p", "q").applyInPandas(_join_place(self.num, self.den), self.pair))
         forget(self.spark, p1, p2, p3, p4)
         return links
