@@ -223,6 +223,7 @@ def _spare(size: int, num: int, den: int):
                 own = np.bincount(owner, (h >> U(20)).astype(np.float64), j - i)[o]
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i).take(pa.array(o)), "part": pa.array(part.astype(np.int64)), "own": pa.array(own), "cls": pa.array(cls, pa.int32()),
                                                   "rank": pa.array(rank, pa.int32()), "keep": pa.array(keep, pa.int32())})
+        give_back()
 
     return run
 
@@ -233,20 +234,8 @@ def _sets(size: int):
             for i, j in batch_slices(x["text"], SLICE):
                 h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "shingles": pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
-
-    return run
-
-
-def _linked(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            ok = []
-            for p, q in zip(x["sa"].to_pylist(), x["sb"].to_pylist(), strict=True):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(den * shared >= num * (len(u) + len(v) - shared))
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))})
+        give_back()
 
     return run
 
@@ -274,9 +263,10 @@ class Join:
         if pairs.isEmpty():
             return pairs
         ids, p5 = self._ids(pairs)
-        sets, p6 = written(semi(self.rows, ids, "id").mapInArrow(_sets(self.size), f"id {self.kind}, shingles binary"))
+        sets, p6 = written(semi(self.rows, ids, "id").mapInArrow(_sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0))
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        links = cut(both.mapInArrow(_linked(self.num, self.den), self.pair).distinct())
+        shared, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
+        links = cut(both.filter((self.num + self.den) * shared.cast("long") >= self.num * sizes).select("a", "b").distinct())
         forget(self.spark, p1, p2, p3, p4, p5, p6)
         return links
 
