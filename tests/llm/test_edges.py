@@ -141,3 +141,15 @@ def test_preferences(spark):
     assert got[0].rejected.endswith("<|user|>\n<|end|>\n") and got[1].rejected == "" and got[1].n_prompt_turns == 0 and got[1].n_rejected == 0
     assert got[2].n_prompt_turns == 1 and got[2].rejected == "<|user|>\nr<|end|>\n" and got[2].chosen == ""
     assert format_preferences(turns.filter("conv_id > 99"), F.col("conv_id"), F.col("conv_id") == 0).count() == 0
+
+
+def test_jaccard_empty_rows_of_repeated_ids_link_nothing(spark):
+    """Two ids whose sets pass the bound of points but not the verification stay apart, although each has an empty row as well."""
+    from tidemark.llm.jaccard_join import Join
+
+    rows = spark.createDataFrame([(1, "a b c d"), (1, None), (2, "a b c e"), (2, "")], "id long, text string")
+    points = spark.createDataFrame([(i, 2, bytearray([2] + [0] * 127)) for i in (1, 2)], "id long, n long, point binary")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert Join(rows, points, 3, 90, 100).verified(pairs).collect() == []
+    same = spark.createDataFrame([(1, "a b c d"), (1, None), (2, "a b c d")], "id long, text string")
+    assert [tuple(r) for r in Join(same, points, 3, 90, 100).verified(pairs).collect()] == [(1, 2)]
