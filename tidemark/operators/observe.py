@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros
+from tidemark.operators.enrich import if_few
 
 
 def money(c: str | Column) -> Column:
@@ -32,8 +33,15 @@ def lag_latest(rows: DataFrame, keys: list[str], processed: Column, ts: str = "c
     return rows.groupBy(*keys).agg(F.round(F.max_by(lag, F.struct(ts, "seq")), 4).alias("lag_seconds"))
 
 
-def errors_rollup(errors: DataFrame, keys: list[str], message: str, ts: str, tie: str) -> DataFrame:
-    return errors.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by(message, F.struct(ts, tie)).alias("last_message"), F.max(ts).alias("last_time"))
+def mean_lag(lags: DataFrame) -> DataFrame:
+    """Mean over tables of the lag of each, as lag_latest gives it."""
+    return lags.agg(F.round(F.avg("lag_seconds"), 4).alias("mean_lag"), F.count("lag_seconds").alias("tables"))
+
+
+def errors_rollup(errors: DataFrame, keys: list[str], message: str, ts: str, tie: str, details: str | None = None) -> DataFrame:
+    """Count, last message and last time of each key, such as (db, coll, error_type), and the details of the last error where they are a column."""
+    last = {"last_message": message} | ({"last_details": details} if details else {})
+    return errors.groupBy(*keys).agg(F.count("*").alias("n"), *[F.max_by(c, F.struct(ts, tie)).alias(k) for k, c in last.items()], F.max(ts).alias("last_time"))
 
 
 def health_value(status: Column) -> Column:
@@ -72,9 +80,13 @@ def newest_page(rows: DataFrame, order: list[Column], page: int, size: int) -> D
 
 
 def breaches(rules: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Rules against metrics: same type and name; a rule without db or coll holds for all. `rules` is a short list."""
-    r = F.broadcast(rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns]))
-    on = (F.col("r_type") == F.col("type")) & (F.col("r_db").isNull() | (F.col("r_db") == F.col("db"))) & (F.col("r_coll").isNull() | (F.col("r_coll") == F.col("coll")))
+    """Rules against metrics of the same type. What else a rule names of name, component, db and coll must be equal too; a blank there, or no
+    such column, holds for all. `rules` is broadcast if they are few, as counted."""
+    r = if_few(rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns]))
+    on = F.col("r_type") == F.col("type")
+    for c in [c for c in ("name", "component", "db", "coll") if c in rules.columns]:
+        blank = F.coalesce(f"r_{c}", F.lit("")) == ""
+        on &= blank | (F.col(f"r_{c}") == F.col(c)) if c in metrics.columns else blank
     over = F.when(F.col("r_op") == "gt", F.col("value") > F.col("r_limit")).otherwise(F.col("value") < F.col("r_limit"))
     return metrics.join(r, on).withColumn("breach", over)
 

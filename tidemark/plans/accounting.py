@@ -139,6 +139,18 @@ def errors_rollup(spark, d):
     return O.errors_rollup(e, ["coll"], "props", "ts", "event_id")
 
 
+@query("""WITH $CH, l AS (SELECT coll, arg_max(round((seq % 50) + value / 10, 4), (cluster_time, seq)) AS lag FROM ch GROUP BY coll) SELECT round(avg(lag), 4) AS mean_lag, count(lag) AS tables FROM l""")
+def lag_mean(spark, d):
+    return O.mean_lag(lag_latest(spark, d))
+
+
+@query("""SELECT user_id % 3 AS coll, 't' || (event_id % 4) AS error_type, count(*) AS n, arg_max(props, (ts, event_id)) AS last_message, arg_max(value, (ts, event_id)) AS last_details, max(ts) AS last_time
+FROM events WHERE event_type = 'error' GROUP BY 1, 2""")
+def errors_by_type(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'error'").withColumns({"coll": F.col("user_id") % 3, "error_type": F.concat(F.lit("t"), F.col("event_id") % 4)})
+    return O.errors_rollup(e, ["coll", "error_type"], "props", "ts", "event_id", "value")
+
+
 @query("""SELECT count(*) FILTER (event_type <> 'error') AS docs, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS per_second, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS volume,
 count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS watchers FROM events""")
 def dashboard(spark, d):
@@ -165,6 +177,18 @@ def alerts_breach(spark, d):
     return O.breaches(rules, m).filter("breach").select("event_id", F.col("r_severity").alias("severity"), "value")
 
 
+@query("""WITH m AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'lag' ELSE 'errors' END AS type, event_type AS name, 'c' || (user_id % 3) AS component, value FROM events),
+r(type, name, component, lim, severity) AS (VALUES ('lag', 'click', NULL, 30.0, 'warning'), ('lag', '', 'c1', 60.0, 'critical'), ('errors', 'error', 'c2', 10.0, 'critical'))
+SELECT event_id, severity, value FROM m JOIN r ON m.type = r.type AND (coalesce(r.name, '') = '' OR r.name = m.name) AND (r.component IS NULL OR r.component = m.component) WHERE value > lim""")
+def alerts_named(spark, d):
+    """Rules that name a metric or a component; what they leave blank holds for all."""
+    rules = spark.createDataFrame([("lag", "click", None, "gt", 30.0, "warning"), ("lag", "", "c1", "gt", 60.0, "critical"), ("errors", "error", "c2", "gt", 10.0, "critical")],
+                                  "type string, name string, component string, op string, limit double, severity string")
+    kind = F.when(F.col("user_id") % 2 == 0, "lag").otherwise("errors")
+    m = table(spark, d, "events").select("event_id", kind.alias("type"), F.col("event_type").alias("name"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("component"), "value")
+    return O.breaches(rules, m).filter("breach").select("event_id", F.col("r_severity").alias("severity"), "value")
+
+
 @query("""WITH x AS (SELECT event_type, ts, event_id, value > 40 AS b, lag(value > 40, 1, false) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, CASE WHEN b THEN 'raised' ELSE 'resolved' END AS state FROM x WHERE b <> p""")
 def alert_edges(spark, d):
     e = table(spark, d, "events").withColumn("b", F.col("value") > 40)
