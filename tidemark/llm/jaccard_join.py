@@ -297,6 +297,8 @@ class Join:
         member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         member = member.select("id", "n", "point", "comp", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        # the places are few bytes and much work, so they are dealt to a stated number of tasks, which adaptive execution does not merge
+        member = member.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part", "p", "q")
         links = self.verified(member.groupBy("part", "p", "q").applyInPandas(_join_place(self.num, self.den), self.pair))
         forget(self.spark, p1, p2, p3, p4)
         return links
