@@ -11,10 +11,13 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import extract
 from .jaccard_join import jaccard_components
+from .merkle import manifest
+from .passages import dedup_passages
 from .preference import format_preferences, span_text
 from .secrets import find_secrets, span_list
 from .sentencepiece_codec import encode
 from .substring_dedup import dedup_substrings
+from .whitening import whiten
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op3_html_text, op4_toxicity, op5_suffix_array_dedup, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proofs of a seventh of the documents are replayed with a forged n_chars."""
+    forged = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    return manifest(table(spark, sf_dir, "documents"), tampered=("n_chars", forged)).drop("siblings")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_sentencepiece, op3_html_text, op4_toxicity, op5_suffix_array_dedup, op6_secret_scan, op7_decontaminate, op8_exact_dedup, op9_language_id, op10_jaccard_join,
+                                  op11_merkle_manifest, op12_substring_dedup, op13_embedding_whitening)}
 
 ORACLE = {
     "op1_preference_format": r"""
@@ -125,4 +143,37 @@ way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT a, b FROM way UNION SELECT reach.a, way.b FROM reach JOIN way ON way.a = reach.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, n_chars, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                     lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc FROM documents),
+h AS (SELECT doc_id, lang, sha256(array_to_string(list_transform(v, lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')), '')) AS leaf,
+             CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL
+                  THEN sha256(array_to_string(list_transform([v[1], v[2], v[3], (n_chars + 1)::VARCHAR, v[5]], lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')), '')) END AS forged FROM f),
+g AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM h),
+lev AS (SELECT coalesce('g' || lang, '') AS grp, 0 AS level, pos, n, leaf AS hash FROM g
+        UNION ALL SELECT grp, any_value(level) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM lev WHERE n > 1 GROUP BY grp, pos // 2),
+sub AS (SELECT grp, hash AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM lev WHERE n = 1),
+top AS (SELECT 0 AS level, pos, n, subroot AS hash FROM sub
+        UNION ALL SELECT any_value(level) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY pos // 2),
+node AS (SELECT grp, level, pos, n, hash FROM lev UNION ALL SELECT 'top', level, pos, n, hash FROM top),
+way AS (SELECT doc_id, leaf, g.grp AS own, g.grp, 0 AS level, 0 AS step, pos, n, coalesce(forged, leaf) AS acc, '' AS sibs FROM (SELECT *, coalesce('g' || lang, '') AS grp FROM g) g
+        UNION ALL
+        SELECT w.doc_id, w.leaf, w.own, CASE WHEN w.n = 1 THEN 'top' ELSE w.grp END, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, w.step + 1,
+               CASE WHEN w.n = 1 THEN sub.pos ELSE w.pos // 2 END, CASE WHEN w.n = 1 THEN sub.n ELSE (w.n + 1) // 2 END,
+               CASE WHEN w.n = 1 THEN w.acc WHEN b.hash IS NULL THEN sha256(w.acc) WHEN w.pos % 2 = 1 THEN sha256(b.hash || w.acc) ELSE sha256(w.acc || b.hash) END,
+               w.sibs || coalesce(b.hash, '')
+        FROM way w JOIN sub ON sub.grp = w.own LEFT JOIN node b ON b.grp = w.grp AND b.level = w.level AND b.pos = xor(w.pos, 1)
+        WHERE w.n > 1 OR w.grp <> 'top')
+SELECT doc_id, leaf, subroot, (SELECT hash FROM top WHERE n = 1) AS root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = (SELECT hash FROM top WHERE n = 1) AS verified
+FROM way JOIN sub ON sub.grp = way.own WHERE way.grp = 'top' AND way.n = 1""",
+    "op12_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM win JOIN twice USING (x)),
+word AS (SELECT doc_id, k, w[k] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM d)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS s FROM word ANTI JOIN cover USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
 }

@@ -24,12 +24,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and index of its text. Words are runs of bytes that are no ASCII white space; A-Z fold to a-z.
+def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = (), fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and index of its text. Words are runs of bytes that are no ASCII white space; A-Z become a-z unless `fold` is off.
 
     After the words come their beginnings of so many bytes, where they are shorter than the word.
     """
-    raw = np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
+    whole = b"\n".join(texts)
+    raw = np.frombuffer(whole.translate(LOWER) if fold else whole, np.uint8)
     space = SPACE[raw]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
