@@ -37,6 +37,7 @@ def refine(a: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     before = np.inf
     for _ in range(rounds):
         r, s = eye - x.T @ x, x.T @ (a @ x)
+        r, s = (r + r.T) / 2, (s + s.T) / 2  # else rounding over a small gap would turn vectors towards each other
         e = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(np.diag(s))
         error = max(float(np.abs(r).max()), float(np.abs(off).max()))
@@ -70,7 +71,7 @@ def _split_clusters(a: np.ndarray, x: np.ndarray, e: np.ndarray, delta: float) -
         small = basis.T @ (a @ basis - mu * basis)  # the differences alone, so that none of their digits are lost
         small = (small + small.T) / 2
         scale = float(np.abs(small).max())
-        if scale > 0:
+        if float(np.abs(small - np.diag(np.diag(small))).max()) > np.finfo(float).eps / 8:  # else this basis is as good as any
             x[:, c] = basis @ np.linalg.eigh((small / np.longdouble(scale)).astype(float))[1].astype(np.longdouble)
     return x
 
