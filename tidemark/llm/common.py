@@ -54,11 +54,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str = "id", broadcast_rows: int = BROADCAST_ROWS, lanes: int = 64) -> DataFrame:
+def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str | Column = "id", broadcast_rows: int = BROADCAST_ROWS, lanes: int = 64) -> DataFrame:
     """Join rows with a written table that has a key once, where a key may hold very many of the rows.
 
     The table is broadcast while it is small, as counted. Beyond that it stands once in each of `lanes` lanes, and rows meet it by key and by the lane
-    of their column `by`, so that no task gets all rows of a key.
+    of `by`, so that no task gets all rows of a key. `by` should differ between rows; if it may be null or repeated for very many of them, and the rows
+    come straight from files, it can be their place (F.monotonically_increasing_id()), which a task that is run again finds the same.
     """
     if listed.count() <= broadcast_rows:
         return rows.join(F.broadcast(listed), on, how)
