@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
-from tidemark.llm.common import cut, shared_dir
+from tidemark.llm.common import cut, forget, shared_dir
 from tidemark.llm.decontaminate import decontaminate
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import survivors
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.registry import SENTENCEPIECE_MODEL
 from tidemark.llm.sentencepiece_codec import encode
@@ -29,11 +29,10 @@ def _beside(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of the row and a digest that orders rows of equal id the same way in each run. The key is a row's place. A table that is
-    read from files as it is has the same places in every scan; anything else is written first."""
-    keyed = docs.withColumns({"_tie": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()})
-    return keyed if docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation" else cut(keyed)
+def _tie(docs: DataFrame) -> Column:
+    """A digest of the whole row, which orders rows of equal id the same way in each run. Maps have no hash; their JSON has."""
+    plain = [F.to_json(F.struct(f.name)) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*plain)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +43,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, that with the largest id; a null id is the smallest, and of rows that repeat the id one stays."""
-    keyed = _keyed(docs)
-    kept = exact_dedup(keyed.select(F.struct("doc_id", "_tie", "_row").alias("id"), "text"), "id").filter("kept")
-    return keyed.join(kept.select("id._row"), "_row", "left_semi").select(docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    return survivors(docs, F.struct(F.col("doc_id"), _tie(docs)), rest).select("row.*", "text").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which 80 % of the shingles of five words are the same are linked. Of each component the row with the smallest id stays; a null id is the largest. Every row is a document of its own: rows that repeat an
-    id stay unless their texts are near copies."""
-    keyed = _keyed(docs)
-    told = jaccard_components(keyed.select("_row", "text"), "_row", size=NEAR_WORDS, num=NEAR_PERCENT).select("_row", "component_id")
-    told = told.join(keyed.select("_row", "_tie", "doc_id"), "_row")
-    least = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tie", "_row")).alias("least"))
-    return keyed.join(least.select("least._row"), "_row", "left_semi").select(docs.columns)
+    """Documents of which 80 % of the shingles of five words are the same are linked. Of each component the row with the smallest id stays; a null id
+    is the largest. Every row is a document of its own: rows that repeat an id stay unless their texts are near copies. Rows get a number
+    that is written with them before anything reads it, so it can't change when a task runs again or cores come and go."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    keyed = cut(docs.select(rest.alias("row"), "text", _tie(docs).alias("tie"), F.monotonically_increasing_id().alias("key")))
+    told = jaccard_components(keyed.select("key", "text"), "key", size=NEAR_WORDS, num=NEAR_PERCENT).select("key", "component_id")
+    told = told.join(keyed.select("key", "tie", "row.doc_id"), "key")
+    least = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "key")).alias("least"))
+    return keyed.join(least.select("least.key"), "key", "left_semi").select("row.*", "text").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +78,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = []
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        forget(spark, *before)  # nothing reads the stage before any more
+        before = [f"{base}/{name}"]
     return STAGES[-1][1](spark, docs, sf_dir)
