@@ -1,13 +1,14 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing and threshold clustering.
 
 The standard library's parser streams events. Block elements break the page into lines; each line has its characters of text outside links,
-its tags, and the region it stands in. Elements that are no content by their kind or role, or whose class or id says nothing but that
-(menus, headers, footers, side bars, notices, adverts, forms, reader comments, scripts, styles), make no lines. The ratio of text to tags,
-smoothed over neighbouring lines, is clustered by a threshold, and the clusters decide:
+its tags, and the region it stands in. Elements that are no content by their kind or role (menus, headers, footers, side bars, forms, scripts, styles) make
+no lines, nor do those whose class or id says nothing but that they are reader comments, adverts, consent notices or navigation: these can be as long as an
+article, so no ratio tells them from one. The ratio of text to tags, smoothed over neighbouring lines, is clustered by a threshold, and the clusters decide:
 
 - an article, main, section or division is content if one of its lines is above the threshold, smoothed and by itself; then its short lines stay too;
 - within an article, divisions, and anywhere lists and tables, go with what they stand in, unless they are below the threshold and nearly all link;
-- an element whose name only resembles those above ("related-work", "notice-period") is content if it is above the threshold by itself;
+- an element with any other name of that kind ("legal", "search", "related-work", "ad-hoc") is content if it is above the threshold by itself;
+- once one article is content, others are too, however short, unless they are mostly link;
 - where article or main elements hold a good part of the text above the threshold, they are the content, else all content regions are.
 """
 
@@ -34,6 +35,8 @@ LISTS = frozenset("ul ol dl table".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|aside|widgets?|related|shar(?:e|ing)|social|"
                    r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|form|pagination|pager|copyright|legal)", re.I)
+#: Of these, what may be long text and yet is never the article.
+NEVER = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|footer|masthead|sidebar|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|newsletter|pagination|pager)", re.I)
 #: Words beside those that say nothing about the content.
 NEUTRAL = re.compile(r"(?:bar|block|body|bottom|box|btns?|buttons?|column|container|content|footer|global|group|icons?|inner|item|left|links?|list|main|outer|page|panel|post|posts|right|row|section|site|side|slot|text|top|unit|wrap|wrapper|\d+)", re.I)
 #: An element of one of these names is closed by the opening of another.
@@ -47,13 +50,14 @@ LINKED, ARTICLE_SHARE = 0.8, 1 / 3
 
 
 def named(value: str) -> int:
-    """What a class or id says: 2, one of its words is no content; 1, it resembles such a word; 0, nothing."""
+    """What a class or id says: 2, nothing but that this is never content; 1, a word of that kind, or one like it; 0, nothing."""
     said = 0
     for word in value.split():
         parts = [x for x in re.split(r"[-_]+", word) if x]
         marks = [bool(MARKS.fullmatch(x)) for x in parts]
         if any(marks) or MARKS.fullmatch("".join(parts)):
-            said = max(said, 2 if all(m or NEUTRAL.fullmatch(x) for m, x in zip(marks, parts, strict=True)) or not any(marks) else 1)
+            plain = all(m or NEUTRAL.fullmatch(x) for m, x in zip(marks, parts, strict=True)) or not any(marks)
+            said = max(said, 2 if plain and any(map(NEVER.fullmatch, (*parts, "".join(parts)))) else 1)
     return said
 
 
@@ -62,6 +66,7 @@ class Region:
     root: int  # the region whose cluster decides
     parent: int
     article: bool  # within an article or main element
+    is_article: bool = False
     lines: list[int] = field(default_factory=list)
 
 
@@ -77,6 +82,17 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.in_link = False
+        self.link_at: tuple[int, int] = (0, 0)  # lines and open elements when the link began
+
+    def _end_link(self, closed: bool) -> None:
+        """A link that is never closed is one in the block it begins in: later blocks are text."""
+        if self.in_link and not closed:
+            first = self.link_at[0]
+            for line in self.lines[first + 1:]:
+                line[2] = 0
+            if len(self.lines) > first:
+                self.linked = 0
+        self.in_link = False
 
     def _top(self) -> tuple[str, bool, int]:
         return self.stack[-1] if self.stack else ("", False, 0)
@@ -99,6 +115,8 @@ class Lines(HTMLParser):
                 self._break()
                 self.open.subtract(s[0] for s in self.stack[i:])
                 del self.stack[i:]
+                if len(self.stack) < self.link_at[1]:
+                    self._end_link(False)
                 return
             if self.stack[i][0] in stop:
                 return
@@ -106,7 +124,9 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in INLINE:
-            self.in_link = self.in_link or tag == "a"
+            if tag == "a":
+                self._end_link(False)
+                self.in_link, self.link_at = any(k == "href" for k, _ in attrs), (len(self.lines), len(self.stack))
             return
         if tag == "br":
             self.text.append(" ")
@@ -125,7 +145,7 @@ class Lines(HTMLParser):
             inside = self.regions[region].article
             own = says or tag == "article" or tag in REGION and not inside and tag != "td"
             k = len(self.regions)
-            self.regions.append(Region(k if own else self.regions[region].root, region, inside or tag in ("article", "main")))
+            self.regions.append(Region(k if own else self.regions[region].root, region, inside or tag in ("article", "main"), tag == "article"))
             region = k
         self.open[tag] += 1
         self.stack.append((tag, dropped or gone and not (tag == "header" and self.open["article"]), region))
@@ -133,7 +153,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "a":
-            self.in_link = False
+            self._end_link(True)
         if tag not in INLINE and tag not in VOID:
             self._pop(frozenset((tag,)), frozenset())
 
@@ -148,6 +168,7 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._break()
+        self._end_link(False)
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -167,6 +188,14 @@ def content_lines(lines: list[list], regions: list[Region]) -> list[int]:
     roots = [False] * len(regions)
     for g, (*_, r) in zip(high.tolist(), lines, strict=True):
         roots[regions[r].root] |= g
+    if any(roots[k] for k, r in enumerate(regions) if r.is_article):
+        chars, linked = Counter(), Counter()
+        for n, (_, _, in_link, r) in zip(size.tolist(), lines, strict=True):
+            chars[regions[r].root] += n
+            linked[regions[r].root] += in_link
+        for k, r in enumerate(regions):
+            if r.is_article and chars[k] > 2 * linked[k]:
+                roots[k] = True
     content = [False] * len(regions)
     for k, r in enumerate(regions):
         if r.root == k:
