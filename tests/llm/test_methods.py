@@ -273,6 +273,19 @@ def test_sentencepiece_refuses_models_it_would_get_wrong(tmp_path, change):
         Pieces(hand_made_model(tmp_path, change))
 
 
+def test_codecs_are_kept_by_model():
+    from types import SimpleNamespace
+
+    import tidemark.llm.sentencepiece_codec as C
+
+    one = SimpleNamespace(value=Pieces(MODEL))
+    other = SimpleNamespace(value=Pieces(MODEL))
+    assert C._codec(one) is C._codec(other)  # a new broadcast of the same model
+    first = C._codec(one)
+    other.value.digest = "another model of the same size"
+    assert C._codec(other) is not first and C._codec(other).p is other.value
+
+
 def test_items_longer_than_a_block_lie_in_several(spark, monkeypatch):
     monkeypatch.setattr(D, "CHUNK", 3)
     rng = random.Random(8)

@@ -15,8 +15,10 @@ which that does not hold, or that is no BPE with byte fallback, or that changes
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,7 @@ class Pieces:
 
         check_model(path)
         sp = SentencePieceProcessor(model_file=path)
+        self.digest = hashlib.sha256(Path(path).read_bytes()).hexdigest()  # the driver reads the model; tasks get it by broadcast
         ids = range(sp.vocab_size())
         self.unk = len(ids)
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
@@ -313,11 +316,13 @@ class Codec:
         return [raw[a:b].decode(errors="replace")[raw[a:a + 1] == b" ":] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-_codecs: dict = {}
+_codecs: dict[str, Codec] = {}
 
 
 def _codec(pieces) -> Codec:
-    if (key := pieces.value.code.sum().item(), len(pieces.value.rank)) not in _codecs:
+    """The codec of this model; a worker keeps the last one, with the words it has learned, for the tasks that follow."""
+    key = pieces.value.digest
+    if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(pieces.value)
     return _codecs[key]
