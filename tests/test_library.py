@@ -15,7 +15,6 @@ from tidemark.operators.sequence import numbered
 from tidemark.plans.spec import SyncSpec, TableSpec, expand
 from tidemark.sources.storage import scratch
 from tidemark.sources.versioned import VersionedTarget
-from tidemark.streaming.jobs import alert_step
 
 CHANGE = "db string, coll string, op string, doc_key long, doc struct<value:double>, cluster_time timestamp_ntz, seq long"
 
@@ -164,19 +163,11 @@ def test_changes_in_files_out_of_order(spark):
     assert sorted(tuple(r) for r in t.read().select("doc_key", "value").collect()) == want
     t.apply(whole, 2, ["value"])
     assert sorted(tuple(r) for r in t.read().select("doc_key", "value").collect()) == want
-    t.commit(t.read(), None, 8, 3, replace=True)
+    t.bootstrap(t.read(), whole.select("db", "coll", "cluster_time", "seq"), 3)
     t.apply(whole, 4, ["value"])
     assert sorted(tuple(r) for r in t.read().select("doc_key", "value").collect()) == want  # the snapshot holds all up to 8
 
 
-def test_alert_cooldown():
-    active, raised, said = False, float("-inf"), []
-    for now, breach in ((0, True), (5, True), (10, False), (20, True), (70, True), (80, False)):
-        active, raised, s = alert_step(active, raised, now, breach, 60)
-        said.append(s)
-    assert said == ["raised", None, "resolved", None, "raised", "resolved"]
-
-
 def test_failed_table_stops_no_other(spark):
     def job(t):
         if t.coll == "bad":

@@ -6,9 +6,10 @@ Schema: db, coll, op, doc_key, doc, cluster_time, seq (and batch_id, event_id, r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.segments import counted
+
 DML = ("insert", "update", "replace", "delete")
 DDL = ("drop", "rename", "dropDatabase", "createIndexes", "dropIndexes", "modify", "invalidate")
 ORDER = F.struct  # position of a change: ORDER("cluster_time", "seq") compares field by field
@@ -28,10 +29,14 @@ def op_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("db", "coll").agg(*[F.count_if(F.col("op") == o).alias(f"n_{o}") for o in (*DML, *DDL)], F.count("*").alias("total"))
 
 
+def dense(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `n`, which numbers the changes of each key from 0 without gaps; a key may hold any share of the rows."""
+    return counted(changes, keys, ["cluster_time", "seq"], "n").withColumn("n", F.col("n") - 1)
+
+
 def sequenced(changes: DataFrame, node: str, batch: int) -> DataFrame:
-    """Number the changes of each table from 0, with batch_id and event_id. For one table of any size see operators.sequence."""
-    n = F.row_number().over(W.partitionBy("db", "coll").orderBy("cluster_time", "seq")) - 1
-    out = changes.withColumn("n", n.cast("long"))
+    """Number the changes of each table from 0, with batch_id and event_id."""
+    out = dense(changes, ["db", "coll"])
     return out.withColumns({"batch_id": F.concat_ws("-", F.lit(node), "coll", F.floor(F.col("n") / batch)), "event_id": F.concat_ws("-", F.lit(node), "n", F.unix_micros(F.col("cluster_time").cast("timestamp")))})
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros
 from tidemark.operators.enrich import if_few
+from tidemark.operators.segments import Segments, trailing
 
 
 def money(c: str | Column) -> Column:
@@ -22,9 +22,9 @@ def totals(events: DataFrame, keys: list[str], size: Column) -> DataFrame:
 
 
 def trailing_rate(rows: DataFrame, keys: list[str], ts: str, value: Column, seconds: int = 60) -> DataFrame:
-    """Sum over the last seconds up to each row, per second. Keys should split the table well: a window is sorted by key."""
-    w = W.partitionBy(*keys).orderBy(micros(F.col(ts))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return rows.withColumn("rate", F.sum(value).over(w) / seconds)
+    """Sum of a value with two decimals over the last seconds up to each row, per second; a key may have any share of the rows."""
+    out = trailing(rows, keys, ts, value, seconds * 1_000_000 - 1, "__sum")
+    return out.withColumn("rate", F.col("__sum").cast("double") / seconds).drop("__sum")
 
 
 def lag_latest(rows: DataFrame, keys: list[str], processed: Column, ts: str = "cluster_time") -> DataFrame:
@@ -87,15 +87,18 @@ def breaches(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     for c in [c for c in ("name", "component", "db", "coll") if c in rules.columns]:
         blank = F.coalesce(f"r_{c}", F.lit("")) == ""
         on &= blank | (F.col(f"r_{c}") == F.col(c)) if c in metrics.columns else blank
-    over = F.when(F.col("r_op") == "gt", F.col("value") > F.col("r_limit")).otherwise(F.col("value") < F.col("r_limit"))
+    value, limit = F.col("value"), F.col("r_limit")
+    over = reduce(lambda c, o: c.when(F.col("r_op") == o[0], o[1]), (("gte", value >= limit), ("lt", value < limit), ("lte", value <= limit), ("eq", value == limit)), F.when(F.col("r_op") == "gt", value > limit))
+    over = over.otherwise(F.lit(False))
     return metrics.join(r, on).withColumn("breach", over)
 
 
 def alert_edges(rows: DataFrame, keys: list[str], order: list[str], breach: str) -> DataFrame:
     """Batch form of the alert machine without cooldown: raised where a breach begins, resolved where it ends. `order` should have no ties."""
-    before = F.lag(F.col(breach), 1, False).over(W.partitionBy(*keys).orderBy(*order))
+    s = Segments(rows, keys, order)
+    before = F.lag(F.col(breach), 1, False).over(s.window)
     state = F.when(F.col(breach) & ~before, "raised").when(~F.col(breach) & before, "resolved")
-    return rows.withColumn("state", state).filter("state IS NOT NULL")
+    return s.clean(s.with_last(1).withColumn("state", state)).filter("state IS NOT NULL")
 
 
 #: The default alert rules (type, comparison, limit, severity).

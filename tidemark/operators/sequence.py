@@ -3,28 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
+from tidemark.operators.segments import counted
 
-def numbered(df: DataFrame, order: Column, ties: list[Column] | None = None, out: str = "rn", slices: int | None = None) -> DataFrame:
-    """Add 1, 2, 3 ... in the order of a numeric column, then of `ties`, which should make it unique.
 
-    Approximate quantiles cut the table into slices (bounds and counts of slices are all that reaches the driver); rows are
-    numbered inside their slice and shifted by the size of the slices before. The bounds only steer the load: any give the same numbers.
-    """
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = order.cast("double")
-    cuts = df.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or ()))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < at)) if bounds else F.lit(0)
-    rows = df.withColumn("__slice", F.coalesce(part, F.lit(0)))
-    sizes = {r["__slice"]: r["count"] for r in rows.groupBy("__slice").count().collect()}
-    before, offsets = 0, []
-    for s in range(len(bounds) + 1):
-        offsets.append(before)
-        before += sizes.get(s, 0)
-    w = W.partitionBy("__slice").orderBy(order.asc_nulls_first(), *(ties or []))
-    number = F.row_number().over(w) + F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("__slice") + 1)
-    return rows.withColumn(out, number).drop("__slice")
+def numbered(df: DataFrame, order: Column, ties: list[Column] | None = None, out: str = "rn", slices: int | None = None) -> DataFrame:
+    """Add 1, 2, 3 ... in the order of a column, then of `ties`, which should make it unique; nulls come first. Parts are cut by all of these, so rows of
+    one value of the first are not one task's."""
+    by = {f"__o{i}": c for i, c in enumerate([order, *(ties or [])])}
+    return counted(df.withColumns(by), [], list(by), out, slices).drop(*by)

@@ -87,12 +87,23 @@ def authorised(rows: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(tables.filter("enabled").select("db", "coll").distinct()), ["db", "coll"], "left_semi")
 
 
-def codec_for(mean_row_bytes: float, rows: int) -> str:
-    """Writer codec by size: none below 1 KiB, lz4 below 100 KiB, zstd above."""
-    size = mean_row_bytes * rows
+def codec_for(size: int) -> str:
+    """Writer codec by size in bytes: none below 1 KiB, lz4 below 100 KiB, zstd above."""
     return "none" if size < 1024 else "lz4" if size < 100 * 1024 else "zstd"
 
 
+def encoded_bytes(df: DataFrame) -> int:
+    """Size of the rows as they would be sent, without a codec: one pass, one number."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+
+
+def write_by_size(df: DataFrame, path: str, codec: str | None = None) -> str:
+    """Write Parquet with the codec of the table's measured size, or a configured one."""
+    codec = codec or codec_for(encoded_bytes(df))
+    df.write.option("compression", codec).parquet(path)
+    return codec
+
+
 def run_tables(spark: SparkSession, specs: list[TableSpec], job: Callable[[TableSpec], int], parallel: int = 4) -> DataFrame:
     """Run one job per table, several at a time; one that fails does not stop the others. Rows: db, coll, status, docs, error."""
     def one(s: TableSpec):

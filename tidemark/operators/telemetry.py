@@ -1,6 +1,7 @@
 """Telemetry analytics per node: scores, trends, anomalies, seasons, neighbours.
 
-Windows are partitioned by node and metric. Where a step needs an ordered fold, the rows folded are a capped history by definition.
+Scans in the order of time run over parts of equal size (see segments), whatever share of the rows a node has. Where a step needs an ordered fold, the
+rows folded are a capped history by definition.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clamp, micros
+from tidemark.operators.segments import Segments, moments_before, trailing
 
 #: Weights of the neighbour distance and of the pattern score.
 NEAR = {"cpu": 0.3, "mem": 0.25, "latency": 0.2, "conn": 0.1}
@@ -113,31 +115,34 @@ def overlap(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
 
 def trend3(rows: DataFrame, node: str = "node") -> DataFrame:
     """Mean and last-minus-first of the last three snapshots, and what to do."""
-    w = W.partitionBy(node).orderBy("ts", "seq").rowsBetween(-2, 0)
-    out = rows.withColumns({f"m_{c}": F.avg(c).over(w) for c in ("cpu", "mem", "latency")} | {f"d_{c}": F.last(c).over(w) - F.first(c).over(w) for c in ("cpu", "mem", "latency")})
+    s = Segments(rows, [node], ["ts", "seq"])
+    w = s.window.rowsBetween(-2, 0)
+    out = s.with_last(2).withColumns({f"m_{c}": F.avg(c).over(w) for c in ("cpu", "mem", "latency")} | {f"d_{c}": F.last(c).over(w) - F.first(c).over(w) for c in ("cpu", "mem", "latency")})
     action = (F.when((F.col("m_cpu") > 80) & (F.col("d_cpu") > 0), "shrink").when((F.col("m_mem") > 85) & (F.col("d_mem") > 0), "smaller_batch")
               .when((F.col("m_latency") > 5000) & (F.col("d_latency") > 0), "back_pressure").when((F.col("m_cpu") < 30) & (F.col("m_mem") < 50) & (F.col("m_latency") < 1000), "grow").otherwise("keep"))
-    return out.withColumn("action", action)
+    return s.clean(out.withColumn("action", action))
 
 
 def metric_trend(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rate per hour from the last value, direction, confidence, and whether to flag a change."""
-    w = W.partitionBy(*keys).orderBy("ts", "seq")
+    s = Segments(rows, keys, ["ts", "seq"])
+    w = s.window
     hours = (micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 3.6e9
-    out = rows.withColumn("rate", F.when(hours > 0, (F.col(value) - F.lag(value).over(w)) / hours)).withColumn("n", F.row_number().over(w))
+    out = s.with_last(10).withColumn("rate", F.when(hours > 0, (F.col(value) - F.lag(value).over(w)) / hours)).withColumn("n", F.row_number().over(w))
     way = F.when(F.col("rate").isNull(), "none").when(F.abs("rate") < 0.1, "stable").when(F.col("rate") > 0, "increasing").otherwise("decreasing")
+    out = s.clean(out)  # with ten rows before it, a row has full confidence
     return out.withColumns({"direction": way, "tenths": F.least(F.lit(10), F.col("n") - 1)}).withColumn("flag", (F.col("tenths") > 7) & F.coalesce(F.abs("rate") > 5, F.lit(False)))
 
 
 def anomalies(rows: DataFrame, keys: list[str], value: str, least: int = 10, sds: float = 2.0) -> DataFrame:
     """Values outside mean +- 2 standard deviations of all earlier ones of their key."""
-    w = W.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
-    stats = {"n": F.count("*").over(w), "mean": F.avg(value).over(w), "sd": F.stddev_pop(value).over(w)}
-    return rows.withColumns(stats).withColumn("anomaly", (F.col("n") >= least) & (F.abs(F.col(value) - F.col("mean")) > sds * F.col("sd")))
+    out = moments_before(rows, keys, ["ts", "seq"], value)
+    return out.withColumn("anomaly", (F.col("n") >= least) & F.coalesce(F.abs(F.col(value) - F.col("mean")) > sds * F.col("sd"), F.lit(False)))
 
 
 def deltas(rows: DataFrame, keys: list[str], counter: str) -> DataFrame:
-    return rows.withColumn("delta", F.col(counter) - F.coalesce(F.lag(counter).over(W.partitionBy(*keys).orderBy("ts", "seq")), F.lit(0)))
+    s = Segments(rows, keys, ["ts", "seq"])
+    return s.clean(s.with_last(1).withColumn("delta", F.col(counter) - F.coalesce(F.lag(counter).over(s.window), F.lit(0))))
 
 
 def half_mean(rows: DataFrame, keys: list[str], value: str, history: int = 1000) -> DataFrame:
@@ -148,13 +153,15 @@ def half_mean(rows: DataFrame, keys: list[str], value: str, history: int = 1000)
 
 
 def stability(rows: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(micros(F.col("ts"))).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("stability", F.greatest(F.lit(0.1), 1 - F.count("*").over(w) / 10))
+    """Less the more rows the key has within the last seconds."""
+    out = trailing(rows, keys, "ts", F.lit(1), seconds * 1_000_000, "__n", "decimal(38,0)")
+    return out.withColumn("stability", F.greatest(F.lit(0.1), 1 - F.col("__n").cast("long") / 10)).drop("__n")
 
 
 def trend_score(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(-2, 0)
-    return rows.withColumn("trend_score", F.when(F.count("*").over(w) < 3, F.lit(0.5)).otherwise(F.avg(value).over(w)))
+    s = Segments(rows, keys, ["ts", "seq"])
+    w = s.window.rowsBetween(-2, 0)
+    return s.clean(s.with_last(2).withColumn("trend_score", F.when(F.count("*").over(w) < 3, F.lit(0.5)).otherwise(F.avg(value).over(w))))
 
 
 def seasons(rows: DataFrame, keys: list[str]) -> DataFrame:

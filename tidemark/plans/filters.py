@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import host_rewrite, protect, reveal
 from tidemark.functions.predicates import column_filter, row_filter
 from tidemark.operators import enrich, snapshot as S
+from tidemark.operators.pages import KeysetPages
 from tidemark.plans.registry import query
 from tidemark.plans.spec import TableSpec
 from tidemark.sources.storage import scratch, table
@@ -102,6 +103,26 @@ def snapshot_keyset(spark, d):
     return S.keyset(table(spark, d, "orders"), "o_orderkey", 700)
 
 
+@query("SELECT o_orderkey, o_totalprice, count(*) OVER () AS pushed FROM orders WHERE o_orderkey > 700")
+def snapshot_keyset_pages(spark, d):
+    """Orders past a key in twelve pages or so; the copy stops after the fifth, and a new one resumes behind its last key."""
+    o, to, progress = table(spark, d, "orders"), scratch(spark), scratch(spark)
+    size = max(1, o.filter("o_orderkey > 700").count() // 12)
+
+    def sink(rows, page, most=None):
+        if page == most:
+            raise TimeoutError("stopped")
+        rows.select("o_orderkey", "o_totalprice").write.parquet(f"{to}/page={page}", mode="overwrite")
+        return spark.read.schema("o_orderkey long, o_totalprice double").parquet(f"{to}/page={page}").count()
+
+    try:
+        KeysetPages(o, "o_orderkey", size, progress, 700).push(lambda rows, page: sink(rows, page, 5))
+    except TimeoutError:
+        pass
+    pushed = KeysetPages(o, "o_orderkey", size, progress, 700).push(sink)
+    return spark.read.schema("o_orderkey long, o_totalprice double").parquet(f"{to}/*").withColumn("pushed", F.lit(pushed).cast("long"))
+
+
 SLICED = """WITH p AS (SELECT greatest(1, least(50, count(*) // 10000)) AS n, greatest(1, count(*) // greatest(1, least(50, count(*) // 10000))) AS step, count(*) AS c FROM orders),
 s AS (SELECT o_orderkey, least((row_number() OVER (ORDER BY o_orderkey) - 1) // step, n - 1)::INT AS slice, n, step, c FROM orders, p)"""
 
@@ -186,14 +207,20 @@ def table_order(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("""WITH s AS (SELECT 'region' AS t, count(*) * 40 AS b FROM region UNION ALL SELECT 'nation', count(*) * 100 FROM nation UNION ALL SELECT 'customer', count(*) * 200 FROM customer)
-SELECT t, b AS bytes, CASE WHEN b < 1024 THEN 'none' WHEN b < 102400 THEN 'lz4' ELSE 'zstd' END AS codec FROM s""")
+CODED = ("region", "nation", "supplier", "customer", "orders")
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n, sum(length(to_json(x)))::BIGINT AS b FROM {t} x" for t in CODED) + """)
+SELECT t, n, CASE WHEN b < 1024 THEN 'none' WHEN b < 102400 THEN 'lz4' ELSE 'zstd' END AS codec FROM s""")
 def codec_choice(spark, d):
-    """The codec of each table by its size at a mean width of row."""
+    """Each table is written with the codec of its measured size; the codec is read off the files."""
     out = None
-    for name, width in (("region", 40), ("nation", 100), ("customer", 200)):
-        rows = table(spark, d, name).count()
-        one = table(spark, d, name).agg((F.count("*") * width).alias("bytes")).select(F.lit(name).alias("t"), "bytes", F.lit(S.codec_for(width, rows)).alias("codec"))
+    for name in CODED:
+        to = scratch(spark)
+        S.write_by_size(table(spark, d, name), to)
+        files = spark.read.parquet(to).select(F.lower("_metadata.file_name").alias("f"))
+        codec = F.when(F.col("f").contains("zstd"), "zstd").when(F.col("f").contains("lz4"), "lz4").when(F.regexp_like("f", F.lit(r"c000\.parquet$")), "none").otherwise("other")
+        one = files.groupBy(codec.alias("codec")).agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n", "codec")
         out = one if out is None else out.unionByName(one)
     return out
 

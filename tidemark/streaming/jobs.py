@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.predicates import change_filter, image_filter
 from tidemark.operators.snapshot import authorised
@@ -20,12 +18,19 @@ def run(df: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str,
 
 
 def apply_stream(changes: DataFrame, target: VersionedTarget, checkpoint: str, doc_fields: list[str], tables: DataFrame | None = None, criteria: list[dict] | None = None,
-                 include: tuple[str, ...] = ()) -> None:
-    """Filter to the tables listed, filter rows and fields, skip what was applied, collapse, upsert and delete. A repeated batch changes nothing."""
+                 include: tuple[str, ...] = (), stream: str = "", client: str | None = None, dense: bool = True, snapshot: Callable[[], tuple[DataFrame, DataFrame]] | None = None) -> None:
+    """Filter to the tables listed, filter rows and fields, skip what was applied, collapse, upsert and delete, on record in the target's ledger. A repeated
+    batch changes nothing.
+
+    `snapshot` gives the whole table and its fence. Where a batch says that the log is invalid, the target starts over from it, and the changes after the
+    fence, in this batch and later ones, are merged by position.
+    """
     def one(rows: DataFrame, batch: int) -> None:
         rows = rows if tables is None else authorised(rows, tables)
+        if snapshot and not rows.filter("op = 'invalidate'").isEmpty():
+            target.bootstrap(*snapshot(), batch, f"{stream}/snapshot", "db", "coll")
         rows = image_filter(change_filter(rows, criteria), include) if include else change_filter(rows, criteria)
-        target.apply(rows, batch, doc_fields)
+        target.recorded(stream, batch, lambda: target.apply(rows, batch, doc_fields, stream, client, dense))
 
     run(changes, one, checkpoint)
 
@@ -49,42 +54,3 @@ def windowed(df: DataFrame, ts: str, keys: list[str], value: str, size: str, sli
 def positions(changes: DataFrame, keys: list[str]) -> DataFrame:
     """Per client and table the last position and the number of events, as running state."""
     return changes.groupBy(*keys).agg(F.max("seq").alias("last_seq"), F.max("cluster_time").alias("last_time"), F.count("*").alias("n"))
-
-
-ALERT_ROWS = "key string, at timestamp, state string, value double"
-
-
-class AlertMachine(StatefulProcessor):
-    """Raise on a breach, stay active until the value is back in bounds, and don't raise again before the cooldown is over."""
-
-    def __init__(self, limit: float, cooldown_seconds: float):
-        self.limit, self.cooldown = limit, cooldown_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.alert = handle.getValueState("alert", "active boolean, raised double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        active, raised = self.alert.get() or (False, float("-inf"))
-        out = []
-        for at, value in sorted((r.at, r.value) for pdf in rows for r in pdf.itertuples()):
-            active, raised, said = alert_step(active, raised, at.timestamp(), value > self.limit, self.cooldown)
-            if said:
-                out.append((key[0], at, said, value))
-        self.alert.update((active, raised))
-        yield pd.DataFrame(out, columns=["key", "at", "state", "value"])
-
-    def close(self) -> None:
-        pass
-
-
-def alert_step(active: bool, raised: float, now: float, breach: bool, cooldown: float) -> tuple[bool, float, str | None]:
-    if breach and not active and now - raised >= cooldown:
-        return True, now, "raised"
-    if active and not breach:
-        return False, raised, "resolved"
-    return active, raised, None
-
-
-def alerts(metrics: DataFrame, limit: float, cooldown_seconds: float) -> DataFrame:
-    """Alert transitions of a stream with key, at and value. Needs the RocksDB state store."""
-    return metrics.groupBy("key").transformWithStateInPandas(AlertMachine(limit, cooldown_seconds), ALERT_ROWS, "append", "none")
