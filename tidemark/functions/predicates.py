@@ -29,9 +29,20 @@ def object_id(value: str) -> bool:
     return bool(re.fullmatch(r"[0-9a-fA-F]{24}", value))
 
 
+def _ids(path: str, kind: T.DataType | None, value):
+    """Criteria name ids by their digits: where an id column holds bytes, values of 24 digits become those; a list only if all of its values are such."""
+    if path.split(".")[-1] != "_id" or not isinstance(kind, T.BinaryType):
+        return value
+    known = lambda v: isinstance(v, str) and object_id(v)
+    if isinstance(value, (list, tuple)):
+        return [bytes.fromhex(v) for v in value] if value and all(map(known, value)) else value
+    return bytes.fromhex(value) if known(value) else value
+
+
 def _one(df: DataFrame, c: Mapping, prefix: str, missing: str) -> Column | None:
     path, op, value = prefix + c["field"], str(c.get("operator", "eq")).lower(), c.get("value")
     kind = field_type(df.schema, path)
+    value = _ids(path, kind, value)
     at = F.lit(None) if kind is None else F.col(path)
     strict = missing == "reject"
     if strict and kind is not None and not isinstance(value, (list, tuple)) and value is not None:

@@ -74,9 +74,11 @@ def log_search(logs: DataFrame, text: str | None = None, stage: str | None = Non
 
 
 def newest_page(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """A page (from 1, at most 100 rows) of the newest first; a top-k that keeps page * size rows per task."""
+    """A page (from 1, at most 100 rows) of the newest first, with the rows found and their pages; a top-k that keeps page * size rows per task."""
     size = max(1, min(100, size))
-    return rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+    found = rows.agg(F.count("*").alias("total"))
+    top = rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+    return top.join(F.broadcast(found)).withColumn("total_pages", F.floor((F.col("total") + size - 1) / size))  # one row
 
 
 def breaches(rules: DataFrame, metrics: DataFrame) -> DataFrame:

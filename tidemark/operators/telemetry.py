@@ -175,4 +175,18 @@ def node_load(cpu: Column, mem: Column, active: Column, most: Column, errors: Co
 
 
 def capability(table_mb: Column, free: Column, most: Column, tcp: Column, gb: Column, concurrency: Column) -> Column:
-    return 50 * free / most + F.when((table_mb > 1000) & tcp, 20).otherwise(0) + 5 * gb + 2 * concurrency
+    return 50 * F.greatest(free, F.lit(0)) / most + F.when((table_mb > 1000) & tcp, 20).otherwise(0) + 5 * gb + 2 * concurrency
+
+
+def eligible(nodes: DataFrame, tables: DataFrame) -> DataFrame:
+    """Tables (name, db, ...) of a spec with the nodes that may take them: a node with the table's database in `excluded` may not, one with names in `preferred`
+    takes those alone. A table that no node may take gets all."""
+    both = nodes.join(F.broadcast(tables))  # a spec lists few tables
+    fits = ~F.array_contains("excluded", F.col("db")) & ((F.size("preferred") == 0) | F.array_contains("preferred", F.col("db")))
+    some = both.filter(fits).groupBy("name").agg(F.lit(True).alias("__some"))
+    return both.withColumn("__fits", fits).join(F.broadcast(some), "name", "left").filter(F.col("__fits") | F.col("__some").isNull()).drop("__fits", "__some")
+
+
+def ranked(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Place by score, the highest first; rows are few for each key (nodes)."""
+    return rows.withColumn("place", F.rank().over(W.partitionBy(*keys).orderBy(F.desc(score))))

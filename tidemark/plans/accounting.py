@@ -152,12 +152,13 @@ def errors_by_type(spark, d):
 
 
 @query("""SELECT count(*) FILTER (event_type <> 'error') AS docs, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS per_second, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS volume,
-count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS watchers FROM events""")
+count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS watchers, (WITH $CH, l AS (SELECT arg_max(round((seq % 50) + value / 10, 4), (cluster_time, seq)) AS lag FROM ch GROUP BY coll) SELECT round(avg(lag), 4) FROM l) AS mean_lag FROM events""")
 def dashboard(spark, d):
     span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
     bad = F.col("event_type") == "error"
-    return table(spark, d, "events").agg(F.count_if(~bad).alias("docs"), F.round(F.count("*") / span, 6).alias("per_second"), O.money("value").cast("double").alias("volume"),
+    figures = table(spark, d, "events").agg(F.count_if(~bad).alias("docs"), F.round(F.count("*") / span, 6).alias("per_second"), O.money("value").cast("double").alias("volume"),
                                          F.count_if(bad).alias("errors"), F.count_distinct("event_type").alias("watchers"))
+    return figures.join(O.mean_lag(lag_latest(spark, d)).select("mean_lag"))  # one row each
 
 
 @query("""WITH h AS (SELECT user_id % 10 AS component, arg_max(CASE event_type WHEN 'signup' THEN 'healthy' WHEN 'purchase' THEN 'healthy' WHEN 'click' THEN 'degraded' WHEN 'error' THEN 'unhealthy' ELSE 'unknown' END, (ts, event_id)) AS status FROM events GROUP BY 1)
@@ -214,10 +215,10 @@ def error_rate(spark, d):
     return O.error_rate(logs(spark, d))
 
 
-@query(f"WITH {LOG} SELECT event_id, ts, message FROM log WHERE stage = 'click' AND status = 'ok' AND lower(message) LIKE '%k\": 1%' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 20")
+@query(f"WITH {LOG}, x AS (SELECT *, count(*) OVER () AS total FROM log WHERE stage = 'click' AND status = 'ok' AND lower(message) LIKE '%k\": 1%') SELECT event_id, ts, message, total, (total + 19) // 20 AS total_pages FROM x ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 20")
 def log_search(spark, d):
     found = O.log_search(logs(spark, d), 'K": 1', "click", "ok")
-    return O.newest_page(found, [F.desc("ts"), F.desc("event_id")], 2, 20).select("event_id", "ts", "message")
+    return O.newest_page(found, [F.desc("ts"), F.desc("event_id")], 2, 20).select("event_id", "ts", "message", "total", "total_pages")
 
 
 @query("SELECT event_id // 1000 AS batch, count(*) AS docs, sum(length(props))::BIGINT AS bytes, round(sum(length(props)) / 1048576.0 / 2.5, 6) AS mb_per_second FROM events GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import telemetry as T
+from tidemark.operators import telemetry as T, patterns as P
 from tidemark.plans.registry import query
 from tidemark.sources.storage import table
 
@@ -47,15 +47,10 @@ def load_flags(spark, d):
     return T.load_flags(tel(spark, d).withColumn("queue", F.col("conn") * 20)).select("seq", "overloaded", "throttle_ms", "scale")
 
 
-FOLD = """WITH RECURSIVE $TEL, o AS (SELECT {0}, {1} AS s, row_number() OVER (PARTITION BY {0} ORDER BY ts, seq) AS k FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY ts DESC, seq DESC) AS back FROM tel) WHERE back <= 1000),
+FOLD = """WITH RECURSIVE $TEL, o AS (SELECT {0}, {1} AS s, row_number() OVER (PARTITION BY {0} ORDER BY ts, seq) AS k FROM tel),
 f AS (SELECT {0}, k, s AS v FROM o WHERE k = 1 UNION ALL SELECT o.{0}, o.k, {2} FROM f JOIN o ON o.{0} = f.{0} AND o.k = f.k + 1), u AS (SELECT {0}, count(*) AS n FROM tel GROUP BY {0}), e AS (SELECT {0}, arg_max(v, k) AS v, any_value(n) AS n FROM f JOIN u USING ({0}) GROUP BY {0})"""
 
 
-@query(FOLD.format("conn", "cpu / 100", "0.7 * f.v + 0.3 * o.s") + " SELECT conn, round(v, 9) AS effectiveness, n AS uses, round(least(1.0, 0.1 * n), 9)::DOUBLE AS confidence FROM e ORDER BY effectiveness DESC, conn LIMIT 20")
-def pattern_effectiveness(spark, d):
-    return T.effectiveness(tel(spark, d).withColumn("s", F.col("cpu") / 100), ["conn"], "s")
-
-
 @query(FOLD.format("conn", "mem / 100", "0.7 * f.v + 0.3 * o.s") + " SELECT conn, round(v, 9) AS effectiveness FROM e ORDER BY effectiveness DESC, conn LIMIT 5")
 def top_patterns(spark, d):
     return T.effectiveness(tel(spark, d).withColumn("s", F.col("mem") / 100), ["conn"], "s", top=5).select("conn", "effectiveness")
@@ -119,6 +114,27 @@ def best_pattern(spark, d):
     return s.groupBy("seq").agg(F.max_by("name", F.struct("score", "name")).alias("name"), F.max("score").alias("score"))
 
 
+BUCKETS = """WITH RECURSIVE $TEL, q AS (SELECT """ + ", ".join(f"quantile_cont(round({c}, 2), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q_{c}" for c in ("cpu", "mem", "latency")) + """ FROM tel),
+w AS (SELECT tel.*, """ + ", ".join(f"len(list_filter(q_{c}, lambda x: round({c}, 2) > round(x, 6))) AS d_{c}" for c in ("cpu", "mem", "latency")) + """,
+  CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(ts) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(ts) BETWEEN 18 AND 21 THEN 'evening' ELSE 'night' END AS slot,
+  CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS dk, CASE WHEN conn < 5 THEN 'low' WHEN conn > 20 THEN 'high' ELSE 'medium' END AS volume FROM tel, q),
+y AS (SELECT *, d_cpu || '/' || d_mem || '/' || d_latency || '/' || slot || '/' || dk || '/' || volume AS bucket FROM w),
+k AS (SELECT bucket, d_cpu, d_mem, slot, dk, volume, min(cpu) AS c1, max(cpu) AS c2, min(mem) AS m1, max(mem) AS m2, min(latency) AS l1, max(latency) AS l2 FROM y GROUP BY ALL),
+pr AS (SELECT a.bucket AS a, b.bucket AS b FROM k a JOIN k b ON a.bucket <> b.bucket AND round(""" + " + ".join(
+    f"{w} * {_overlap(f'a.{c}1', f'a.{c}2', f'b.{c}1', f'b.{c}2')}" for c, w in (("c", 0.3), ("m", 0.25), ("l", 0.2))) + """ + 0.1 * (a.slot = b.slot)::INT + 0.05 * (a.dk = b.dk)::INT + 0.1 * (a.volume = b.volume)::INT, 9) >= 0.8),
+reach AS (SELECT a, b FROM pr UNION SELECT reach.a, pr.b FROM reach JOIN pr ON pr.a = reach.b),
+pat AS (SELECT a AS bucket, least(a, min(b)) AS pattern FROM reach GROUP BY a),
+o AS (SELECT coalesce(pattern, bucket) AS pattern, cpu / 100 AS s, row_number() OVER (PARTITION BY coalesce(pattern, bucket) ORDER BY ts, seq) AS k FROM y LEFT JOIN pat USING (bucket)),
+f AS (SELECT pattern, k, s AS v FROM o WHERE k = 1 UNION ALL SELECT o.pattern, o.k, 0.7 * f.v + 0.3 * o.s FROM f JOIN o ON o.pattern = f.pattern AND o.k = f.k + 1)
+SELECT pattern, round(arg_max(v, k), 9) AS effectiveness, max(k) AS uses, round(least(1.0, 0.1 * max(k)), 9)::DOUBLE AS confidence FROM f GROUP BY pattern ORDER BY effectiveness DESC, pattern LIMIT 20"""
+
+
+@query(BUCKETS)
+def pattern_effectiveness(spark, d):
+    """By pattern: buckets of conditions, joined where they match by 0.8 or more."""
+    return T.effectiveness(P.with_pattern(tel(spark, d).withColumn("s", F.col("cpu") / 100)), ["pattern"], "s")
+
+
 @query("""WITH $TEL, x AS (SELECT *, avg(cpu) OVER w AS m_cpu, avg(mem) OVER w AS m_mem, avg(latency) OVER w AS m_latency, last(cpu) OVER w - first(cpu) OVER w AS d_cpu, last(mem) OVER w - first(mem) OVER w AS d_mem, last(latency) OVER w - first(latency) OVER w AS d_latency
 FROM tel WINDOW w AS (PARTITION BY node ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT seq, round(m_cpu, 9) AS m_cpu, round(d_cpu, 9) AS d_cpu, CASE WHEN m_cpu > 80 AND d_cpu > 0 THEN 'shrink' WHEN m_mem > 85 AND d_mem > 0 THEN 'smaller_batch' WHEN m_latency > 5000 AND d_latency > 0 THEN 'back_pressure' WHEN m_cpu < 30 AND m_mem < 50 AND m_latency < 1000 THEN 'grow' ELSE 'keep' END AS action FROM x""")
@@ -177,15 +193,22 @@ def node_rank(spark, d):
     return nodes.withColumn("place", F.rank().over(W.orderBy("load")))  # one row per node
 
 
-@query("""WITH $TEL, n AS (SELECT node, count(*) FILTER (conn < 15) AS free, count(*) AS most, node % 2 = 0 AS tcp, node + 1 AS gb, node * 3 AS concurrency FROM tel GROUP BY node), t(name, mb) AS (VALUES ('small', 10.0), ('large', 5000.0))
-SELECT name, node, round(50.0 * free / most + CASE WHEN mb > 1000 AND tcp THEN 20 ELSE 0 END + 5 * gb + 2 * concurrency, 9) AS score, rank() OVER (PARTITION BY name ORDER BY round(50.0 * free / most + CASE WHEN mb > 1000 AND tcp THEN 20 ELSE 0 END + 5 * gb + 2 * concurrency, 9) DESC) AS place FROM n, t""")
+@query("""WITH $TEL, n AS (SELECT node, count(*) FILTER (conn < 15) AS free, count(*) AS most, node % 2 = 0 AS tcp, node + 1 AS gb, node * 3 AS concurrency,
+  CASE WHEN node % 3 = 0 THEN ['bank'] WHEN node % 3 = 1 THEN ['shop', 'bank'] ELSE [] END AS preferred, CASE WHEN node % 4 = 1 THEN ['shop'] WHEN node % 4 = 2 THEN ['bank', 'logs'] WHEN node % 3 = 2 THEN ['logs'] ELSE [] END AS excluded FROM tel GROUP BY node),
+t(name, db, mb) AS (VALUES ('small', 'shop', 10.0), ('large', 'bank', 5000.0), ('odd', 'logs', 2000.0)),
+x AS (SELECT *, NOT list_contains(excluded, db) AND (len(preferred) = 0 OR list_contains(preferred, db)) AS fits, round(50.0 * greatest(free, 0) / most + CASE WHEN mb > 1000 AND tcp THEN 20 ELSE 0 END + 5 * gb + 2 * concurrency, 9) AS score FROM n, t),
+y AS (SELECT *, bool_or(fits) OVER (PARTITION BY name) AS anyfit FROM x)
+SELECT name, node, score, rank() OVER (PARTITION BY name ORDER BY score DESC) AS place FROM y WHERE fits OR NOT anyfit""")
 def capability_rank(spark, d):
-    from pyspark.sql import Window as W
-
+    """Nodes for each table: those that don't exclude its database and prefer it or have no preference; where there are none, all."""
     n = tel(spark, d).groupBy("node").agg(F.count_if(F.col("conn") < 15).alias("free"), F.count("*").alias("most"))
-    t = F.broadcast(spark.createDataFrame([("small", 10.0), ("large", 5000.0)], "name string, mb double"))  # tables of a spec
+    names = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    three, four = F.col("node") % 3, F.col("node") % 4
+    n = n.withColumns({"preferred": F.when(three == 0, names("bank")).when(three == 1, names("shop", "bank")).otherwise(names()),
+                       "excluded": F.when(four == 1, names("shop")).when(four == 2, names("bank", "logs")).when(three == 2, names("logs")).otherwise(names())})
+    t = spark.createDataFrame([("small", "shop", 10.0), ("large", "bank", 5000.0), ("odd", "logs", 2000.0)], "name string, db string, mb double")
     score = F.round(T.capability(F.col("mb"), F.col("free"), F.col("most"), F.col("node") % 2 == 0, F.col("node") + 1, F.col("node") * 3), 9)
-    return n.crossJoin(t).withColumn("score", score).withColumn("place", F.rank().over(W.partitionBy("name").orderBy(F.desc("score")))).select("name", "node", "score", "place")
+    return T.ranked(T.eligible(n, t).withColumn("score", score), ["name"], "score").select("name", "node", "score", "place")
 
 
 @query("WITH $TEL, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts DESC, seq DESC) AS k FROM tel) SELECT node, seq FROM r WHERE k <= 50")

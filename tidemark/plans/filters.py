@@ -177,10 +177,19 @@ def protect_roundtrip(spark, d):
     return reveal(protect(table(spark, d, "customer"), ["c_name", "c_acctbal"], key, "k1", ["c_custkey"]), "c_name string, c_acctbal double", key)
 
 
-@query("""WITH b AS (SELECT ascii(unnest(string_split(props, ''))) AS b FROM events), c AS (SELECT b, count(*) AS n FROM b GROUP BY b), t AS (SELECT sum(n) AS t FROM c)
+@query("""WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents), c AS (SELECT b, count(*) AS n FROM b GROUP BY b), t AS (SELECT sum(n) AS t FROM c)
 SELECT any_value(t)::BIGINT AS bytes, round(-sum(n / t * log2(n / t)), 4) AS entropy, round(0.3 + 0.4 * -sum(n / t * log2(n / t)) / 8, 4) AS zstd_ratio, round(0.5 + 0.3 * -sum(n / t * log2(n / t)) / 8, 4) AS lz4_ratio FROM c, t""")
 def entropy_profile(spark, d):
-    return enrich.entropy(table(spark, d, "events"), F.col("props"))
+    return enrich.entropy(table(spark, d, "documents"), F.col("text"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 IN (1, 3) AND o_orderkey % 7 <> 2")
+def filter_object_ids(spark, d):
+    """Ids of 12 bytes, named in the criteria by their 24 hexadecimal digits, in either case; the last one is no id and stays a string."""
+    oid = lambda n: F.unhex(F.lpad(F.hex(n), 24, "0"))
+    o = table(spark, d, "orders").withColumns({"_id": oid(F.col("o_orderkey") % 5), "doc": F.struct(oid(F.col("o_orderkey") % 7).alias("_id"))})
+    criteria = [{"field": "_id", "operator": "in", "value": ["0" * 23 + "1", "0" * 23 + "3", "0" * 22 + "aF"]}, {"field": "doc._id", "operator": "ne", "value": "0" * 23 + "2"}, {"field": "doc._id", "operator": "ne", "value": "xyz"}]
+    return o.filter(row_filter(o, criteria)).select("o_orderkey")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus IS DISTINCT FROM 'P' AND o_totalprice > 1000")
