@@ -192,8 +192,12 @@ def sink_state(spark, d):
     return t.read()
 
 
-@query("SELECT event_id, event_type AS stage, props AS message FROM events")
+@query("""SELECT 'entry' AS kind, event_id AS id, event_type AS name, props AS message, 0.0::DOUBLE AS value FROM events UNION ALL
+SELECT 'metric', -1, event_type, NULL, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) FROM events GROUP BY event_type""")
 def log_export_roundtrip(spark, d):
-    to = scratch(spark)
-    table(spark, d, "events").select("event_id", F.col("event_type").alias("stage"), F.col("props").alias("message")).write.json(to)
-    return spark.read.schema("event_id long, stage string, message string").json(to)
+    """Entries of the log and metrics over them, exported as lines of JSON and read back."""
+    to, e = scratch(spark), table(spark, d, "events")
+    entries = e.select(F.lit("entry").alias("kind"), F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.col("props").alias("message"), F.lit(0.0).alias("value"))
+    metrics = e.groupBy(F.col("event_type").alias("name")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value")).withColumns({"kind": F.lit("metric"), "id": F.lit(-1).cast("long")})
+    entries.unionByName(metrics, allowMissingColumns=True).write.json(to)
+    return spark.read.schema("kind string, id long, name string, message string, value double").json(to)

@@ -212,7 +212,7 @@ def stream_by_key(spark, d):
     return spark.read.schema("event_id long, batch int, shard long").option("basePath", out).parquet(f"{out}/*").groupBy("shard").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-@query("""SELECT 'key' AS how, NULL::INT AS sink, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL
+@query("""SELECT 'key' AS how, (-1)::INT AS sink, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events UNION ALL
 SELECT 'round_robin', (event_id % 3)::INT, count(*), sum(event_id)::BIGINT FROM events GROUP BY 2 UNION ALL SELECT 'broadcast', s::INT, count(*), sum(event_id)::BIGINT FROM events, range(0, 3) r(s) GROUP BY s""")
 def stream_fan_out(spark, d):
     """Each batch to three sinks at once: by key (every row once, a key in one sink alone), round robin, and to all."""
@@ -224,7 +224,7 @@ def stream_fan_out(spark, d):
         rows = f.read()
         if how == "key":
             rows = rows.groupBy("user_id", "sink").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).groupBy("user_id").agg(F.count("*").alias("sinks"), F.sum("n").alias("n"), F.sum("ids").alias("ids")).filter("sinks = 1")
-            one = rows.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).select(F.lit(how).alias("how"), F.lit(None).cast("int").alias("sink"), "n", "ids")
+            one = rows.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).select(F.lit(how).alias("how"), F.lit(-1).alias("sink"), "n", "ids")
         else:
             one = rows.groupBy("sink").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).select(F.lit(how).alias("how"), "sink", "n", "ids")
         out = one if out is None else out.unionByName(one)

@@ -195,9 +195,13 @@ class VersionedTarget:
         try:
             notes = [changes.filter(F.col("op").isin(*DDL)).select(*self._note("audit", stream, batch, None), "db", "coll", "op", "seq", F.lit(None).cast("long").alias("docs"), F.lit(None).cast("string").alias("message"), F.col("cluster_time").cast("timestamp").alias("at")),
                      self._rejected(changes.filter(F.col("op").isin(*DML)), stream, batch, self.key)]
-            for r in changes.filter("op IN ('drop', 'dropDatabase')").groupBy("db", F.when(F.col("op") == "drop", F.col("coll")).otherwise(F.lit("")).alias("coll")).agg(
-                    F.max(F.struct(micros(F.col("cluster_time")).alias("at"), "seq")).alias("p")).select("db", "coll", "p.*").collect():  # a row a table
-                m.drops[f"{r.db}.{r.coll}"] = max(m.drops.get(f"{r.db}.{r.coll}", [r.at, r.seq]), [r.at, r.seq])
+            control = F.when(F.col("op").isin("drop", "dropDatabase"), F.col("op"))
+            place = F.max(F.struct(micros(F.col("cluster_time")).alias("at"), "seq")).alias("p")
+            for r in changes.groupBy("db", "coll", control.alias("control")).agg(place, F.max("seq").alias("top")).collect():  # three rows a table at most
+                m.last_seq = max(m.last_seq, -1 if r.top is None else r.top)
+                if r.control:
+                    name = f"{r.db}.{r.coll if r.control == 'drop' else ''}"
+                    m.drops[name] = max(m.drops.get(name, [*r.p]), [*r.p])
             who = F.col(client).cast("string") if client else F.lit(None).cast("string")
             null = F.lit(None).cast("string")
             notes.append(changes.groupBy(who.alias("message")).agg(F.count("*").alias("docs"), F.max("seq").alias("seq")).select(
@@ -220,10 +224,9 @@ class VersionedTarget:
                 kind = self.spark.createDataFrame([], self.schema).schema
                 rest = [F.lit(None).cast(kind[c].dataType).alias(c) for c in self._columns() if c not in have]
                 rows = later.select(self.key, "cluster_time", "seq", *fields, *rest, gone.alias("_gone"), F.col("db").alias("_db"), F.col("coll").alias("_coll")).select(*self._columns(), "_gone", "_db", "_coll")
-                m.last_seq = max(m.last_seq, changes.agg(F.max("seq")).first()[0] or -1)
                 if settled is not None:
                     m.settled = max(settled, settled if m.settled is None else m.settled)
-                self._write(m, rows, None, stream, batch, notes)
+                self._write(m, rows, None, stream, batch, notes, incoming=touched)
                 return True
             finally:
                 fresh.unpersist()
@@ -268,11 +271,11 @@ class VersionedTarget:
         """Buckets of these keys, with how many there are in each: as many rows as buckets."""
         return {f"{r.depth}/{r.code}": r["count"] for r in self._with_bucket(keys, m).groupBy("depth", "code").count().collect()}
 
-    def _write(self, m: Manifest, rows: DataFrame, deletes: DataFrame | None, stream: str, batch: int, notes: list[DataFrame], replace: bool = False) -> None:
+    def _write(self, m: Manifest, rows: DataFrame, deletes: DataFrame | None, stream: str, batch: int, notes: list[DataFrame], replace: bool = False, incoming: dict[str, int] | None = None) -> None:
         """Rewrite the buckets that rows and deletes touch, then the notes, then the manifest."""
         m.version += 1
         keys = rows.select(self.key) if deletes is None else rows.select(self.key).unionByName(deletes)
-        incoming = self._touched(m, keys)
+        incoming = self._touched(m, keys) if incoming is None else incoming
         touched = dict.fromkeys(m.buckets, 0) | incoming if replace else incoming
         kept = self._empty() if replace else self._live(m, touched).join(keys, self.key, "left_anti")
         after = {}
