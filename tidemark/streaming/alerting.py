@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros
 from tidemark.operators.observe import breaches
+from tidemark.sources.intervals import holds
 from tidemark.sources.versioned import VersionedTarget
 from tidemark.streaming.jobs import run
 
@@ -88,6 +89,8 @@ class AlertStream:
         self.state = VersionedTarget(spark, f"{self.root}/state", STATE, "alert")
 
     def batch(self, metrics: DataFrame, batch: int) -> None:
+        if holds(self.state.manifest().batches.get("", []), batch):
+            return  # its state is committed, and so are its transitions
         told = breaches(self.rules(), metrics)
         rows = told.select(F.concat_ws("/", "r_id", "db", "coll").alias("alert"), micros(F.col("at")).alias("at"), F.col("value").cast("double").alias("value"), F.coalesce("breach", F.lit(False)).alias("breach"),
                            (F.col("r_cooldown") * 1_000_000).cast("long").alias("cooldown")).filter("at IS NOT NULL")
