@@ -6,6 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import micros
 from tidemark.operators import changelog as C
 from tidemark.operators.changelog import latest
 from tidemark.plans.cdc import LAST, TARGET
@@ -29,6 +30,16 @@ def _in_files(spark, d, n: int) -> str:
     return to
 
 
+def _in_order(spark, d, n: int) -> str:
+    """The events in n files that are written one after the other, so that a stream finds them in the order of time."""
+    to, e = scratch(spark), table(spark, d, "events")
+    cuts = [None, *e.agg(F.percentile_approx(micros(F.col("ts")), [i / n for i in range(1, n)], 10_000)).first()[0], None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        at = micros(F.col("ts"))
+        e.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)).coalesce(1).write.mode("append").parquet(to)
+    return to
+
+
 def _appended(spark, df: DataFrame, schema: str) -> DataFrame:
     out = scratch(spark)
     J.run(df, lambda rows, i: rows.write.parquet(f"{out}/batch={i}", mode="overwrite"), f"{scratch(spark)}")
@@ -304,11 +315,11 @@ w AS (SELECT alert, min(rn) AS rn, true AS active, min(us) AS raised FROM o WHER
     AND CASE WHEN w.active THEN NOT o.breach ELSE o.breach AND o.us >= w.raised + o.cooldown END GROUP BY w.alert)
 SELECT alert, CASE WHEN active THEN 'raised' ELSE 'resolved' END AS state, us::BIGINT AS at, value FROM w JOIN o USING (alert, rn)""")
 def stream_alert_rules(spark, d):
-    """Rules from a table over metrics in three batches, with cooldown."""
+    """Rules from a table over metrics in three batches, with cooldown. Batches come in the order of time: rows older than an alert's last one are late and only counted."""
     table_of_rules = scratch(spark)
     spark.createDataFrame(RULES, "id string, type string, name string, component string, db string, coll string, op string, limit double, cooldown long").coalesce(1).write.parquet(table_of_rules)
     alerts = AlertStream(spark, scratch(spark), lambda: spark.read.parquet(table_of_rules))
-    e = stream(spark, _in_files(spark, d, 3), files_per_batch=1)
+    e = stream(spark, _in_order(spark, d, 3), files_per_batch=1)
     kind = F.when(F.col("user_id") % 2 == 0, "lag").otherwise("errors")
     alerts.run(e.select(kind.alias("type"), F.col("event_type").alias("name"), F.concat(F.lit("k"), F.col("user_id") % 5).alias("component"), F.lit("shop").alias("db"), F.concat(F.lit("c"), F.col("user_id") % 3).alias("coll"), F.col("ts").alias("at"), "value"), scratch(spark))
     return alerts.transitions().select("alert", F.col("said").alias("state"), F.unix_micros("at").alias("at"), "value")
