@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +49,38 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 #: Ids are broadcast only where they are no more than this, as counted; a row of ids and a few numbers takes some 100 bytes.
 BROADCAST_ROWS = 200_000
+#: Steps that a query repeats broadcast no more than this: the driver keeps all of a query's broadcasts until it collects its garbage.
+FEW_ROWS = 25_000
+#: Bits of the table that tells listed ids from most others: 2 MB, however many ids there are.
+BITS = 24
 
 
 def small(df: DataFrame) -> DataFrame:
     """The table, marked for broadcast if its rows are few, as counted just now. `df` should be a written table."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose `id` is in a written table of ids, and where these are many, a share of the others: who needs only those joins again. So wide rows
+    are not shuffled, and what is broadcast does not grow with the ids."""
+    if ids.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(ids), "id", "left_semi")
+    code = F.xxhash64("id")
+    bit = F.explode(F.array(code.bitwiseAND(2**BITS - 1), F.shiftrightunsigned(code, BITS).bitwiseAND(2**BITS - 1)))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits")).toArrow()
+    known = np.zeros(2 ** (BITS - 6), np.uint64)
+    known[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    said = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            code = x["_code"].to_numpy().view(np.uint64)
+            ok = np.ones(x.num_rows, bool)
+            for at in (code & np.uint64(2**BITS - 1), code >> np.uint64(BITS) & np.uint64(2**BITS - 1)):
+                ok &= (said.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield x.drop_columns(["_code"]).filter(pa.array(ok))
+
+    return rows.withColumn("_code", code).mapInArrow(run, rows.schema)
 
 
 def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str | Column = "id", broadcast_rows: int = BROADCAST_ROWS, lanes: int = 64) -> DataFrame:

@@ -10,7 +10,8 @@
    and the batch's first goes on to the common place, so no task gets all of them.
 4. Places that still hold more than one component get an R-tree over the points. Two nodes are joined only if the summed minima of
    their upper corners reach what their smallest sizes ask for and they aren't one component already; then leaves are joined point
-   by point. What passes is verified on the shingles.
+   by point, and pairs that pass by points of FINE coordinates. Where very many pass they are kept as clusters of sets, whose links are found
+   on their shingles; so a place returns no more than two rows a set.
 5. A place of over BLOCK sets that is still open holds what many documents share, such as boilerplate. Its part goes to the end of the ranking,
    and its sets meet by the parts that move up instead. Only sets of which more than t parts are such stay in it; they are compared by pairs of blocks.
 6. Components of the links.
@@ -20,6 +21,7 @@ Shingles are compared as 64-bit hashes. No bucket, candidate list or number of p
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, forget, give_back, meet, small, written
+from .common import cut, forget, give_back, likely, meet, small, written
 from .components import components
 from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
-GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD = 128, 2_000_000, 64, 12, 1024, 64
+GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD, HEAVY, FINE = 128, 2_000_000, 64, 12, 1024, 64, 4_000_000, 512
 FULL = 255  # the largest coordinate; a set with more in one group has no point but FULL in all, and the bound lets it pass
 
 
@@ -97,10 +99,12 @@ def _describe(size: int):
                 n = np.bincount(owner, minlength=j - i)
                 points = np.bincount(owner * GROUPS + (h >> U(56)).astype(np.int64) % GROUPS, minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
                 points[(points >= FULL).any(1)] = FULL
+                fine = np.bincount(owner * FINE + (h >> U(40)).astype(np.int64) % FINE, minlength=(j - i) * FINE).reshape(-1, FINE)
+                fine[(fine >= FULL).any(1)] = FULL
                 starts = np.append(np.cumsum(n) - n, len(h))
                 h1, h2 = (np.array([np.add.reduce(k[a:b]) for a, b in zip(starts, starts[1:], strict=False)], np.uint64).astype(np.int64) for k in (h, mix(h ^ U(77))))
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "n": pa.array(n, pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2),
-                                                  "point": pa.array([p.tobytes() for p in points.astype(np.uint8)], pa.binary())})
+                                                  "point": pa.array([p.tobytes() for p in points.astype(np.uint8)], pa.binary()), "fine": pa.array([p.tobytes() for p in fine.astype(np.uint8)], pa.binary())})
         give_back()
 
     return run
@@ -162,15 +166,70 @@ def tree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
                 yield i[x], j[y]
 
 
+def clusters_of(k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of those that pairs (i, j) connect, for each of k."""
+    label = np.arange(k)
+    while len(i):
+        low, high = sorted((label[i[0]], label[j[0]]))
+        label[label == high] = low
+        left = label[i] != label[j]
+        i, j = i[left], j[left]
+    return label
+
+
 def _join_place(num: int, den: int):
+    """What the bounds let link in a place, as rows (cluster, a, b): pairs (cluster 0), or where a cluster of sets has over two pairs a set, its sets and
+    their components. So there are no more than two rows a set, however many pairs pass. A cluster of over HEAVY shingles is dealt by pairs of chunks."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["id", "n", "point"])
+        if not rows["id"].is_unique:
+            rows = rows.drop_duplicates(["id", "n", "point"])
         points = np.frombuffer(b"".join(rows["point"]), np.uint8).reshape(-1, GROUPS)
-        ids = rows["id"].to_numpy()
-        found = list(tree_pairs(points, rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["block"].to_numpy(), num, den))
-        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in (0, 1))
-        a, b = ids[i], ids[j]  # a pair that meets in several places is made distinct before it is verified
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        ids, comp, n = rows["id"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
+        found, fine = [], None
+        for i, j in tree_pairs(points, n, comp, rows["block"].to_numpy(), num, den):
+            fine = np.frombuffer(b"".join(rows["fine"]), np.uint8).reshape(-1, FINE) if fine is None else fine
+            ok = np.minimum(fine[i], fine[j]).sum(1, dtype=np.int64) >= np.minimum(enough(n[i], n[j], num, den), FULL * FINE)
+            if ok.any():
+                found.append((i[ok], j[ok]))
+        if not found:
+            return pd.DataFrame({"cluster": np.zeros(0, np.int64), "a": ids[:0], "b": ids[:0]})
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        label = clusters_of(len(rows), i, j)
+        many = np.bincount(label[i], minlength=len(rows)) > 2 * np.bincount(label, minlength=len(rows))
+        few = ~many[label[i]]
+        out = [pd.DataFrame({"cluster": 0, "a": np.minimum(ids[i[few]], ids[j[few]]), "b": np.maximum(ids[i[few]], ids[j[few]])})]
+        for c in np.flatnonzero(many):
+            mine = np.flatnonzero(label == c)
+            mine = mine[np.argsort(ids[mine], kind="stable")]  # one name wherever the cluster meets
+            chunk = np.cumsum(n[mine]) * 2 // HEAVY
+            chunks = [mine[chunk == k] for k in np.unique(chunk)]
+            for some in [mine] if len(chunks) <= 2 else [np.concatenate((x, y)) for k, x in enumerate(chunks) for y in chunks[k + 1:]]:
+                name = hashlib.blake2b("\0".join(map(str, ids[some])).encode(), digest_size=8).digest()
+                out.append(pd.DataFrame({"cluster": int.from_bytes(name, "big", signed=True) or 1, "a": ids[some], "b": comp[some]}))
+        return pd.concat(out).drop_duplicates().astype({"cluster": np.int64, "a": rows["id"].dtype, "b": rows["id"].dtype})
+
+    return run
+
+
+def _join_cluster(num: int, den: int):
+    """Links (a, b) that make up the components of a cluster, by its sets of shingles; those within a component known before are left out."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, n = rows["id"].to_numpy(), rows["shingles"].map(len).to_numpy()
+        label, starts = pd.factorize(rows["comp"])[0], np.cumsum(n) - n
+        code = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True)[1]
+        mark, links = np.zeros(code.max() + 1, np.int8), []
+        for i in range(len(ids) - 1):
+            j = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
+            if len(j):
+                own = code[starts[i]:starts[i] + n[i]]
+                mark[own] = 1
+                shared = np.add.reduceat(mark[code[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)[j - i - 1]
+                mark[own] = 0
+                for k in j[(num + den) * shared >= num * (n[i] + n[j])]:
+                    if label[k] != label[i]:
+                        links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                        label[label == label[k]] = label[i]
+        return pd.DataFrame(links, columns=["a", "b"]).astype({"a": rows["id"].dtype, "b": rows["id"].dtype})
 
     return run
 
@@ -241,7 +300,7 @@ def _sets(size: int):
 
 
 class Join:
-    """The steps on one table of texts, rows (id, text); `points` has id, n and point of each."""
+    """The steps on one table of texts, rows (id, text); `points` has id, n, point and fine (a point of FINE coordinates) of each."""
 
     def __init__(self, rows: DataFrame, points: DataFrame, size: int, num: int, den: int):
         self.rows, self.points, self.size, self.num, self.den = rows, points, size, num, den
@@ -249,7 +308,7 @@ class Join:
         self.pair = f"a {self.kind}, b {self.kind}"
 
     def _ids(self, pairs: DataFrame) -> tuple[DataFrame, str]:
-        return written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        return written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose points may link and whose sets of shingles do."""
@@ -257,13 +316,13 @@ class Join:
         if pairs.isEmpty():
             return pairs
         ids, p2 = self._ids(pairs)
-        near, p3 = written(semi(self.points, ids, "id"))
+        near, p3 = written(semi(self.points.select("id", "n", "point"), ids, "id"))
         both = pairs.join(near.toDF("a", "na", "pa"), "a").join(near.toDF("b", "nb", "pb"), "b")
-        pairs, p4 = written(both.mapInArrow(_may_link(self.num, self.den), self.pair).distinct())
+        pairs, p4 = written(both.mapInArrow(_may_link(self.num, self.den), self.pair))
         if pairs.isEmpty():
             return pairs
         ids, p5 = self._ids(pairs)
-        sets, p6 = written(semi(self.rows, ids, "id").mapInArrow(_sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0))
+        sets, p6 = written(likely(self.rows, ids).mapInArrow(_sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0))
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
         links = cut(both.filter((self.num + self.den) * shared.cast("long") >= self.num * sizes).select("a", "b").distinct())
@@ -296,17 +355,24 @@ class Join:
         blocks = F.ceil(F.col("k") / BLOCK).cast("int")
         member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        member = member.select("id", "n", "point", "comp", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        member = member.select("id", "n", "point", "fine", "comp", "block", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
         # the places are few bytes and much work, so they are dealt to a stated number of tasks, which adaptive execution does not merge
         member = member.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part", "p", "q")
-        links = self.verified(member.groupBy("part", "p", "q").applyInPandas(_join_place(self.num, self.den), self.pair))
-        forget(self.spark, p1, p2, p3, p4)
+        found, p5 = written(member.groupBy("part", "p", "q").applyInPandas(_join_place(self.num, self.den), f"cluster long, {self.pair}").distinct())
+        pairs, many, paths = found.filter("cluster = 0").select("a", "b"), found.filter("cluster <> 0").toDF("cluster", "id", "comp"), []
+        if not many.isEmpty():
+            ids, path = written(many.select("id").distinct())
+            sets = likely(self.rows, ids).mapInArrow(_sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0)
+            dense, p6 = written(many.join(sets, "id").groupBy("cluster").applyInPandas(_join_cluster(self.num, self.den), self.pair))
+            pairs, paths = pairs.unionByName(dense), [path, p6]
+        links = self.verified(pairs)
+        forget(self.spark, p1, p2, p3, p4, p5, *paths)
         return links
 
     def around(self, member: DataFrame, hot: DataFrame, dealt: DataFrame, links: DataFrame) -> DataFrame:
         """Links of sets in hot places, which meet by other parts where they have them."""
         ids = cut(meet(member, hot.select("part"), ["part"], "left_semi").select("id").distinct())
-        spare = semi(self.rows, ids, "id").mapInArrow(_spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
+        spare = likely(self.rows, ids).mapInArrow(_spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
         spare = meet(spare, hot.select("part", F.lit(True).alias("hot")), ["part"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         order = W.partitionBy("id", "own", "cls").orderBy("hot", "rank")  # the parts of one set
         chosen = spare.withColumn("place", F.row_number().over(order)).filter("place <= keep")
@@ -326,7 +392,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(described rows: id, n and representative of their class; links between representatives that make up the components)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    told = cut(rows.mapInArrow(_describe(size), f"id {kind}, n long, h1 long, h2 long, point binary"))
+    told = cut(rows.mapInArrow(_describe(size), f"id {kind}, n long, h1 long, h2 long, point binary, fine binary"))
     some, equal = told.filter("n > 0 AND id IS NOT NULL"), ["n", "h1", "h2"]
     reps = some.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1")  # other rows stand for themselves
     members = meet(some.select("id", *equal), cut(reps.drop("rows")), equal, "left").withColumn("rep", F.coalesce("rep", "id"))
@@ -335,7 +401,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = _parts(size, num, den)
     dealt = one.mapInArrow(lambda batches: _crowded(parts(batches)), f"id {kind}, part long, sub int")
 
-    join = Join(rows, some.select("id", "n", "point"), size, num, den)
+    join = Join(rows, some.select("id", "n", "point", "fine"), size, num, den)
     met, path = join.places(dealt)
     links = join.stars(met)
     member, wide = join.open(met, components(links))
