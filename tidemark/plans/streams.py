@@ -19,15 +19,29 @@ from tidemark.streaming import jobs as J
 from tidemark.streaming.alerting import AlertStream
 
 
+#: Bytes of a row group in files that must stay whole: tasks share a file by its row groups.
+ROW_GROUP = 4 << 20
+
+
 def _events(spark, d) -> DataFrame:
     return stream(spark, d, "events.parquet")
 
 
-def _in_files(spark, d, n: int) -> str:
-    """The events in n files, by time."""
+def _dealt(spark, to: str, batches: int) -> dict:
+    """A folder of files as a source of so many batches. A batch has several files, as many as there are cores where rows suffice, so all tasks have a share of
+    what writes and reads it: a file of one row group is a task's, however long it is."""
+    return {"folder": to, "files_per_batch": max(1, -(-len(spark.read.parquet(to).inputFiles()) // batches))}
+
+
+def _parts(spark, batches: int) -> int:
+    return batches * spark.sparkContext.defaultParallelism
+
+
+def _in_files(spark, d, n: int) -> dict:
+    """The events in n batches of files, by time."""
     to = scratch(spark)
-    table(spark, d, "events").repartitionByRange(n, "ts").write.parquet(to)
-    return to
+    table(spark, d, "events").repartitionByRange(_parts(spark, n), "ts").write.parquet(to)
+    return _dealt(spark, to, n)
 
 
 def _in_order(spark, d, n: int) -> str:
@@ -36,7 +50,7 @@ def _in_order(spark, d, n: int) -> str:
     cuts = [None, *e.agg(F.percentile_approx(micros(F.col("ts")), [i / n for i in range(1, n)], 10_000)).first()[0], None]
     for low, high in zip(cuts, cuts[1:], strict=False):
         at = micros(F.col("ts"))
-        e.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)).coalesce(1).write.mode("append").parquet(to)
+        e.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)).coalesce(1).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(to)
     return to
 
 
@@ -65,15 +79,16 @@ def stream_apply(spark, d):
 
 @query(STATE)
 def stream_resume(spark, d):
-    """Four files, one per batch; a stop after the first half, then a restart from the checkpoint."""
-    files, first, checkpoint = _in_files(spark, d, 4), scratch(spark), scratch(spark)
+    """Two batches of the first half, a stop, then the second half and a restart from the checkpoint."""
+    files, checkpoint = scratch(spark), scratch(spark)
     t = VersionedTarget(spark, scratch(spark), TARGET, "doc_key")
-    half = table(spark, d, "events").agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
-    spark.read.parquet(files).filter(F.col("event_id") <= half).repartition(2).write.parquet(first)
-    source = lambda: as_changes(stream(spark, first, files_per_batch=1))
-    J.apply_stream(source(), t, checkpoint, ["value", "props"])
-    spark.read.parquet(files).filter(F.col("event_id") > half).repartitionByRange(1, "event_id").write.mode("append").parquet(first)
-    J.apply_stream(source(), t, checkpoint, ["value", "props"])
+    events = table(spark, d, "events")
+    half = events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    events.filter(F.col("event_id") <= half).repartition(_parts(spark, 2)).write.parquet(files)
+    source = as_changes(stream(spark, **_dealt(spark, files, 2)))
+    J.apply_stream(source, t, checkpoint, ["value", "props"])
+    events.filter(F.col("event_id") > half).repartitionByRange(_parts(spark, 1), "event_id").write.mode("append").parquet(files)
+    J.apply_stream(as_changes(stream(spark, **_dealt(spark, files, 3))), t, checkpoint, ["value", "props"])
     return t.read().select("doc_key", "seq", "value")
 
 
@@ -90,14 +105,14 @@ def rebootstrap(spark, d):
     low, fence = c.agg(F.percentile_approx("seq", [0.4, 0.6])).first()[0]
     files = scratch(spark)
     e = table(spark, d, "events").withColumn("event_type", F.when(F.col("event_id") == low, "invalidate").otherwise(F.col("event_type")))
-    e.repartition(5, F.xxhash64("event_id")).write.parquet(files)  # every file holds changes from all over the log
+    e.repartition(_parts(spark, 5), F.xxhash64("event_id")).write.parquet(files)  # every file holds changes from all over the log
     t = VersionedTarget(spark, scratch(spark), TARGET, "doc_key")
 
     def snapshot():
         whole = latest(c.filter(F.col("seq") <= fence), ["doc_key"]).filter("op <> 'delete'").select("db", "coll", "doc_key", "cluster_time", "seq", "doc.*")
         return whole, _fence(c, F.col("seq") <= fence)
 
-    source = as_changes(stream(spark, files, files_per_batch=1)).withColumn("op", F.when(F.col("event_type") == "invalidate", "invalidate").otherwise(F.col("op")))
+    source = as_changes(stream(spark, **_dealt(spark, files, 5))).withColumn("op", F.when(F.col("event_type") == "invalidate", "invalidate").otherwise(F.col("op")))
     J.apply_stream(source, t, scratch(spark), ["value", "props"], snapshot=snapshot)
     return t.read().select("doc_key", "seq", "value")
 
@@ -114,11 +129,11 @@ def _with_ddl(e: DataFrame, top: int) -> DataFrame:
     return c.withColumn("op", F.when(s % 997 == 500, "drop").when(s == top // 3, "dropDatabase").when(s % 499 == 3, "rename").otherwise(F.col("op")))
 
 
-def _shuffled(spark, d, n: int) -> str:
-    """The events in n files, each with rows from all over the log."""
+def _shuffled(spark, d, n: int) -> dict:
+    """The events in n batches of files, each with rows from all over the log."""
     to = scratch(spark)
-    table(spark, d, "events").repartition(n, F.xxhash64("event_id")).write.parquet(to)
-    return to
+    table(spark, d, "events").repartition(_parts(spark, n), F.xxhash64("event_id")).write.parquet(to)
+    return _dealt(spark, to, n)
 
 
 @query(DROPPED + " SELECT doc_key, seq, value FROM last WHERE rn = 1 AND op <> 'delete'")
@@ -126,7 +141,7 @@ def stream_drop(spark, d):
     """Tables and once the database are dropped in the middle of the log; files, and so drops and changes, come in any order."""
     top = table(spark, d, "events").agg(F.max("event_id")).first()[0]
     t = VersionedTarget(spark, scratch(spark), TARGET, "doc_key")
-    J.apply_stream(_with_ddl(stream(spark, _shuffled(spark, d, 5), files_per_batch=1), top), t, scratch(spark), ["value", "props"])
+    J.apply_stream(_with_ddl(stream(spark, **_shuffled(spark, d, 5)), top), t, scratch(spark), ["value", "props"])
     return t.read().select("doc_key", "seq", "value")
 
 
@@ -135,13 +150,13 @@ def stream_audit(spark, d):
     """What the stream saw of DDL, on record."""
     top = table(spark, d, "events").agg(F.max("event_id")).first()[0]
     t = VersionedTarget(spark, scratch(spark), TARGET, "doc_key")
-    J.apply_stream(_with_ddl(stream(spark, _in_files(spark, d, 2), files_per_batch=1), top), t, scratch(spark), ["value", "props"])
+    J.apply_stream(_with_ddl(stream(spark, **_in_files(spark, d, 2)), top), t, scratch(spark), ["value", "props"])
     return t.notes("audit").select("db", "coll", "op", "seq", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 def _numbered(spark, d) -> DataFrame:
-    """Changes of two clients, numbered without gaps per client and table, in batches of 500 of each client."""
-    c = as_changes(table(spark, d, "events")).withColumn("client", F.when(F.col("doc_key") % 7 < 3, "east").otherwise("west"))
+    """Positions of the changes of two clients, numbered without gaps per client and table, in batches of 500 of each client."""
+    c = as_changes(table(spark, d, "events")).select("db", "coll", F.when(F.col("doc_key") % 7 < 3, "east").otherwise("west").alias("client"), "cluster_time", "seq")
     c = C.dense(c, ["client", "db", "coll"])
     return c.withColumn("batch", F.floor(F.col("n") / 500))
 
@@ -155,10 +170,10 @@ g AS (SELECT * FROM n WHERE NOT (client = 'east' AND coll = 'c1' AND n // 500 =
 CASE WHEN client = 'east' AND coll = 'c1' AND max(n) > 999 THEN 1 ELSE 0 END AS gaps, count(*) AS applied FROM g GROUP BY client, coll""")
 def stream_guard(spark, d):
     """Two clients; batches come late and twice, under new batch numbers, and one never comes: its gap stays open, nothing is applied twice."""
-    c, root = _numbered(spark, d).persist(), scratch(spark)
+    c, root = _numbered(spark, d), scratch(spark)
+    log = c.select(F.concat_ws("/", "client", "coll", "n").alias("n_key"), F.lit("insert").alias("op"), "db", "coll", "client", F.struct("client", "coll").alias("doc"), "cluster_time", F.col("n").alias("seq"), "batch").persist()
     try:
         t = VersionedTarget(spark, root, "n_key string, client string, coll string, cluster_time timestamp_ntz, seq long", "n_key")
-        log = c.select(F.concat_ws("/", "client", "coll", "n").alias("n_key"), F.lit("insert").alias("op"), "db", "coll", "client", F.struct("client", "coll").alias("doc"), "cluster_time", F.col("n").alias("seq"), "batch")
         even, odd = F.col("batch") % 2 == 0, F.col("batch") % 2 == 1
         lost = (F.col("client") == "east") & (F.col("coll") == "c1") & (F.col("batch") == 1)
         for i, part in enumerate((log.filter(even), log.filter(odd & ~lost), log.filter(even), log.filter(~lost))):  # late ones second, replays third and fourth
@@ -169,16 +184,16 @@ def stream_guard(spark, d):
         applied = t.read().groupBy("client", "coll").agg(F.count("*").alias("applied"))
         return t.positions().join(applied, ["client", "coll"]).select("client", "coll", "acked_seq", "last_seq", F.col("gaps").cast("long").alias("gaps"), "applied")
     finally:
-        c.unpersist()
+        log.unpersist()
 
 
 @query("""WITH f AS (SELECT *, CASE WHEN user_id % 7 < 3 THEN 'east' ELSE 'west' END AS client FROM events)
 SELECT client, count(*) AS docs, max(event_id) AS end_seq, 'completed' AS status FROM f GROUP BY client""")
 def stream_ledger(spark, d):
-    """Three files, a batch each; the second fails once, after its rows were written but before the commit, and is run again on restart."""
+    """Three batches of files; the second fails once, after its rows were written but before the commit, and is run again on restart."""
     files, checkpoint = _in_files(spark, d, 3), scratch(spark)
     t = VersionedTarget(spark, scratch(spark), TARGET, "doc_key")
-    source = lambda: as_changes(stream(spark, files, files_per_batch=1)).withColumn("client", F.when(F.col("doc_key") % 7 < 3, "east").otherwise("west"))
+    source = lambda: as_changes(stream(spark, **files)).withColumn("client", F.when(F.col("doc_key") % 7 < 3, "east").otherwise("west"))
     commits, write = [], t._write_notes
 
     def once(m, notes):
@@ -219,7 +234,7 @@ def stream_by_key(spark, d):
     def one(rows: DataFrame, i: int) -> None:
         rows.select(F.col("user_id") % 4, "event_id").toDF("shard", "event_id").repartition(4, "shard").write.partitionBy("shard").parquet(f"{out}/batch={i}", mode="overwrite")
 
-    J.run(stream(spark, files, files_per_batch=1), one, scratch(spark))
+    J.run(stream(spark, **files), one, scratch(spark))
     return spark.read.schema("event_id long, batch int, shard long").option("basePath", out).parquet(f"{out}/*").groupBy("shard").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
@@ -230,7 +245,7 @@ def stream_fan_out(spark, d):
     out = None
     for how, by in (("key", "user_id"), ("round_robin", "event_id"), ("broadcast", None)):
         f = FanOut(spark, scratch(spark), "event_id long, user_id long", 3, how, by)
-        J.run(stream(spark, _in_files(spark, d, 3), files_per_batch=1).select("event_id", "user_id"), f.batch, scratch(spark))
+        J.run(stream(spark, **_in_files(spark, d, 3)).select("event_id", "user_id"), f.batch, scratch(spark))
         f.batch(table(spark, d, "events").select("event_id", "user_id").repartitionByRange(3, "event_id").limit(0), 99)
         rows = f.read()
         if how == "key":
@@ -254,7 +269,7 @@ def metrics_retention(spark, d):
         seen.append(rows.agg(F.max("ts")).first()[0])  # files may come in any order
         t.expire(F.lit(max(seen)) - F.expr("INTERVAL 24 HOURS"))
 
-    J.run(stream(spark, _in_files(spark, d, 4), files_per_batch=1).select("event_id", "ts"), one, scratch(spark))
+    J.run(stream(spark, **_in_files(spark, d, 4)).select("event_id", "ts"), one, scratch(spark))
     return t.read(F.lit(newest) - F.expr("INTERVAL 24 HOURS")).withColumn("parts", F.lit(len(t.parts())).cast("long"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros
 from tidemark.operators.changelog import DDL, DML, latest
-from tidemark.sources.intervals import Intervals, holds, islands, merged
+from tidemark.sources.intervals import Intervals, covered, holds, islands, merged
 
 HIDDEN = "_gone boolean, _db string, _coll string"
 NOTE = "kind string, stream string, batch long, status string, db string, coll string, op string, seq long, docs long, message string, at timestamp"
@@ -235,18 +235,20 @@ class VersionedTarget:
 
     def _unapplied(self, m: Manifest, rows: DataFrame, client: str) -> DataFrame:
         """Changes whose sequence isn't among those applied for their client and table."""
-        known = [(*json.loads(k), [tuple(x) for x in i]) for k, i in m.applied.items()]
+        known = [(*json.loads(k), at) for at, k in enumerate(m.applied)]
         if not known:
             return rows
-        state = F.broadcast(self.spark.createDataFrame(known, "_c string, db string, coll string, _done array<struct<lo:long,hi:long>>"))
-        done = F.exists("_done", lambda i: F.col("seq").between(i["lo"], i["hi"]))
-        return rows.withColumn("_c", F.col(client).cast("string")).join(state, ["_c", "db", "coll"], "left").filter(F.col("_done").isNull() | ~done).select(rows.columns)
+        state = F.broadcast(self.spark.createDataFrame(known, "_c string, db string, coll string, _at int"))
+        done = covered(list(m.applied.values()))(F.col("_at"), F.col("seq"))
+        return rows.withColumn("_c", F.col(client).cast("string")).join(state, ["_c", "db", "coll"], "left").filter(F.col("_at").isNull() | ~done).select(rows.columns)
 
     def _acknowledge(self, m: Manifest, seen: DataFrame) -> None:
         """Add a batch's sequences to those applied, as intervals."""
+        new: dict[str, Intervals] = {}
         for r in islands(seen, ["client", "db", "coll"], "seq", MOST_INTERVALS):
-            name = json.dumps([r.client, r.db, r.coll])
-            m.applied[name] = merged(m.applied.get(name, []), [[r.lo, r.hi]])
+            new.setdefault(json.dumps([r.client, r.db, r.coll]), []).append([r.lo, r.hi])
+        for name, found in new.items():
+            m.applied[name] = merged(m.applied.get(name, []), found)
         if sum(map(len, m.applied.values())) > MOST_INTERVALS:
             raise ValueError("sequences are not dense per client and table: number them first")
 
