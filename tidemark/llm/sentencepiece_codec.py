@@ -188,24 +188,25 @@ class SuffixArray:
 
     def ranges(self, codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and behind-last place in the order, by binary search, for every piece."""
-        def within(level: int, at: int, left: np.ndarray):
-            if level == 0:
-                low, high = (key_of(codes, at, fill, self.bits, self.widths[0]) for fill in (0, (1 << self.bits) - 1))
-                lo = np.searchsorted(self.levels[0], low, "left")
-                return lo, np.maximum(lo, np.searchsorted(self.levels[0], high, "right"))
-            half = self.widths[level - 1]
-            lo, hi = within(level - 1, at, left)
-            lo2, hi2 = within(level - 1, at + half, left - half) if at + half < self.widths[-1] else (np.zeros_like(lo), np.zeros_like(hi))
-            far = left > half  # then the first half has one rank, or none
-            a = lo.astype(np.uint64) << np.uint64(32)
-            first = np.searchsorted(self.levels[level], a | np.where(far, lo2, 0).astype(np.uint64), "left")
-            b = np.where(far, a | hi2.astype(np.uint64), hi.astype(np.uint64) << np.uint64(32))
-            last = np.searchsorted(self.levels[level], b, "left")
-            return first, np.where(hi > lo, np.maximum(first, last), first)
-
-        lo, hi = within(len(self.widths) - 1, 0, length)
+        lo, hi = self._within(codes, len(self.widths) - 1, 0, length)
         return self.starts[lo], self.starts[hi]
 
+    def _within(self, codes: np.ndarray, level: int, at: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A method, as a function that calls itself from within would hold the array in a cycle, and with it all ranks until the next full collection."""
+        if level == 0:
+            low, high = (key_of(codes, at, fill, self.bits, self.widths[0]) for fill in (0, (1 << self.bits) - 1))
+            lo = np.searchsorted(self.levels[0], low, "left")
+            return lo, np.maximum(lo, np.searchsorted(self.levels[0], high, "right"))
+        half = self.widths[level - 1]
+        lo, hi = self._within(codes, level - 1, at, left)
+        lo2, hi2 = self._within(codes, level - 1, at + half, left - half) if at + half < self.widths[-1] else (np.zeros_like(lo), np.zeros_like(hi))
+        far = left > half  # then the first half has one rank, or none
+        a = lo.astype(np.uint64) << np.uint64(32)
+        first = np.searchsorted(self.levels[level], a | np.where(far, lo2, 0).astype(np.uint64), "left")
+        b = np.where(far, a | hi2.astype(np.uint64), hi.astype(np.uint64) << np.uint64(32))
+        last = np.searchsorted(self.levels[level], b, "left")
+        return first, np.where(hi > lo, np.maximum(first, last), first)
+
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each run, one after another."""
