@@ -4,8 +4,8 @@ Candidates are all runs of 16 or more token characters, and the values of the fi
 ENCODINGS that holds it), and three tests ask whether its symbols could be drawn at random from that alphabet: chi-squared uniformity over the symbols,
 Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial correlation. The Cauchy rule combines them, which holds under dependence.
 
-What that means is measured against ordinary text. Every document yields background tokens: neighbouring words of its own joined the way
-identifiers and paths are, of all lengths and alphabets. A candidate's p-value is the share of background tokens of its length class and encoding
+What that means is measured against ordinary text, all of it. Every document yields background tokens: its words, each in one token, joined with
+their neighbours the way identifiers and paths are, of all lengths and alphabets. A candidate's p-value is the share of background tokens of its length class and encoding
 that look as random as it does. Where hardly any do, the share is not counted but read from a tail: the square root of the score is close to normal, so
 its median and its twentieth part fit one, joined to the counts where they end. So a single key in a large corpus can have a p-value
 as small as it deserves.
@@ -49,9 +49,14 @@ LENGTHS, GRID = (20, 25, 30, 35, 40, 50, 65), 300
 KINDS_OF, CLASSES, CELLS = len(ENCODINGS) + 1, len(LENGTHS) + 1, GRID + 1
 #: Cells from here on (p of 0.001 and less) don't look random.
 LOOKS = 60
-#: A background token begins every so many characters; an encoding with fewer of them than LEAST is held against all. Counts below TAIL are read from the fit.
-EVERY, JOINED, LEAST, TAIL = 1000, (16, 17, 18, 20, 22, 25, 27, 30, 32, 35, 37, 40, 44, 50, 57, 65, 80), 300, 5
+#: Letters of background tokens; an encoding with fewer of them than LEAST is held against all. Counts below TAIL are read from the fit.
+CANDIDATE_LEAST, JOINED, LEAST, TAIL = 16, (16, 17, 18, 20, 22, 25, 27, 30, 32, 35, 37, 40, 44, 50, 57, 65, 80), 300, 5
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("ord", pa.int32()), ("end", pa.int32()), ("cell", pa.int32())]))
+COUNTS = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
+#: Background tokens that are scored at once. By character: the encodings that hold it as bits, and its place in each.
+AT_ONCE = 4096
+HOLDERS = np.array([sum((chr(c) in s) << k for k, s in enumerate(SETS)) for c in range(128)], np.int64)
+PLACE_OF = np.array([[a.get(chr(c), 0) for c in range(128)] for a in PLACES])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -107,21 +112,68 @@ def cell_of(token: str) -> int:
     return (inferred(token.rstrip("=")) * CLASSES + sum(len(token) >= k for k in LENGTHS)) * CELLS + min(GRID, int(-math.log10(randomness(token)) * 20))
 
 
+def cells_of(tokens: list[str]) -> np.ndarray:
+    """cell_of() of background tokens, which are ASCII, have 16 characters at least and don't end in "=". Those that no encoding holds go one by one."""
+    if not tokens:
+        return np.zeros(0, np.int64)
+    n = np.array([len(t) for t in tokens], np.int64)
+    start, owner, data = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), np.frombuffer("".join(tokens).encode("ascii"), np.uint8)
+    held = np.bitwise_and.reduceat(HOLDERS[data], start)
+    k = np.minimum(np.log2(held & -held, where=held > 0, out=np.zeros(len(n))).astype(np.int64), len(ENCODINGS) - 1)
+    v, size = PLACE_OF[k[owner], data], np.array([len(a) for a in ENCODINGS])[k]
+    inner = np.ones(len(v), bool)
+    inner[start] = False
+    inner = np.flatnonzero(inner)
+    together = lambda x, of=owner: np.bincount(of, x, len(n))
+    two = lambda z: np.array([math.erfc(q) for q in (np.abs(z) / math.sqrt(2)).tolist()])
+    x = np.maximum(0.0, (np.bincount(owner * 64 + v, minlength=64 * len(n)).reshape(-1, 64) ** 2).sum(1) * size / n - n)
+    df = size - 1
+    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    uniform = np.array([math.erfc(q) / 2 for q in (z / math.sqrt(2)).tolist()])
+    high = 2 * v >= size[owner]
+    a, runs = together(high), 1 + together(high[inner] != high[inner - 1], owner[inner])
+    b, few = n - a, np.exp2(1.0 - n)
+    mean = 2 * a * b / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    by_runs = np.where(a * b == 0, few, np.where(var > 0, two((runs - mean) / np.sqrt(np.where(var > 0, var, 1.0))), 1.0))
+    d = v - (together(v) / n)[owner]
+    var = together(d * d) / n
+    by_lag = np.where(var > 0, two(together(d[inner] * d[inner - 1], owner[inner]) / (n - 1) / np.where(var > 0, var, 1.0) * np.sqrt(n - 1)), few)
+    t = sum(np.tan((0.5 - np.clip(q, 1e-15, 0.95)) * math.pi) for q in (uniform, by_runs, by_lag)) / 3
+    p = np.minimum(1.0, np.where(t < 1e12, np.maximum(0.5 - np.arctan(t) / math.pi, 1e-15), 1 / (np.where(t < 1e12, 1.0, t) * math.pi)))
+    out = (k * CLASSES + np.searchsorted(LENGTHS, n, "right")) * CELLS + np.minimum(GRID, (-np.log10(p) * 20).astype(np.int64))
+    for i in np.flatnonzero(held == 0):
+        out[i] = cell_of(tokens[i])
+    return out
+
+
 def background(text: str) -> list[str]:
     """Tokens of neighbouring words, joined in turn as lower and upper case with and without a number, CamelCase with and without one, snake, upper
-    snake and a path."""
-    out = []
-    for k, at in enumerate(range(0, len(text), EVERY)):
-        words, used, size = WORD.findall(text[at:at + 400]), [], 0
-        want, style, number = JOINED[(k + len(text)) % len(JOINED)], (k + len(text) // len(JOINED)) % 9, str(len(text) % 997)
-        for w in words:
-            used.append(w.lower())
-            size += len(w)
-            if size >= want:
-                break
+    snake and a path. Each word of the text is in one token; what is left at the end belongs to the last one."""
+    groups: list[list[str]] = []
+    used, size, want = [], 0, JOINED[len(text) % len(JOINED)]
+    for w in WORD.findall(text):
+        used.append(w.lower())
+        size += len(w)
         if size >= want:
-            low, camel = "".join(used), "".join(w.capitalize() for w in used)
-            out.append((low, low.upper(), camel, camel[0].lower() + camel[1:] + number, low + number, low.upper() + number, "_".join(used), "_".join(used).upper(), "/".join(used))[style])
+            groups.append(used)
+            used, size, want = [], 0, JOINED[(len(groups) + len(text)) % len(JOINED)]
+    if size >= CANDIDATE_LEAST:
+        groups.append(used)
+    elif used and groups:
+        groups[-1] += used
+    out, number = [], str(len(text) % 997)
+    for k, used in enumerate(groups, len(text) // len(JOINED)):
+        style = k % 9
+        if style in (2, 3):
+            camel = "".join([w.capitalize() for w in used])
+            out.append(camel if style == 2 else camel[0].lower() + camel[1:] + number)
+        elif style < 6:
+            low = "".join(used) + (number if style >= 4 else "")
+            out.append(low.upper() if style in (1, 5) else low)
+        else:
+            low = ("/" if style == 8 else "_").join(used)
+            out.append(low.upper() if style == 7 else low)
     return out
 
 
@@ -139,13 +191,23 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[dict]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        base, tested, ordinary = [], [], []
+        base, tested, tokens, counts = [], [], [], np.zeros(KINDS_OF * CLASSES * CELLS, np.int64)
         for text in x["text"].to_pylist():
             b = base_spans(text or "")
             base.append([{"start": s, "ord": k, "end": e, "cell": cell_of(v)} for s, k, e, v in b])
             tested.append(candidates(text or "", b))
-            ordinary.append([cell_of(t) for t in background(text or "")])
-        yield pa.RecordBatch.from_pydict({"id": x["id"], "base": pa.array(base, SPANS), "tested": pa.array(tested, SPANS), "ordinary": pa.array(ordinary, pa.list_(pa.int32()))})
+            tokens += background(text or "")
+            if len(tokens) >= AT_ONCE:
+                counts, tokens = _add(counts, tokens), []
+        counts = _add(counts, tokens)
+        ordinary = [[{"cell": c, "n": counts[c]} for c in np.flatnonzero(counts).tolist()]] + [[]] * (x.num_rows - 1)  # a batch's counts stand in its first row
+        yield pa.RecordBatch.from_pydict({"id": x["id"], "base": pa.array(base, SPANS), "tested": pa.array(tested, SPANS), "ordinary": pa.array(ordinary[:x.num_rows], COUNTS)})
+
+
+def _add(counts: np.ndarray, tokens: list[str]) -> np.ndarray:
+    for i in range(0, len(tokens), AT_ONCE):
+        counts = counts + np.bincount(cells_of(tokens[i:i + AT_ONCE]), minlength=len(counts))
+    return counts
 
 
 def _normal(z: float) -> float:
@@ -210,10 +272,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, span = rows.schema["id"].dataType.simpleString(), "array<struct<start:int,ord:int,end:int,cell:int>>"
-    found = cut(rows.mapInArrow(_scan, f"id {kind}, base {span}, tested {span}, ordinary array<int>"))
-    count = lambda c: {r["cell"]: r["count"] for r in found.select(F.explode(c).alias("cell")).groupBy("cell").count().collect()}  # noqa: E731  a fixed grid
-    p = p_values(count("ordinary"))
-    said = docs.sparkSession.sparkContext.broadcast((p, reported(count("tested.cell"), screened(p), fdr)))
+    found = cut(rows.mapInArrow(_scan, f"id {kind}, base {span}, tested {span}, ordinary array<struct<cell:int,n:long>>"))
+    count = lambda c, cell, n: {r["cell"]: r["n"] for r in found.select(F.explode(c).alias("x")).groupBy(F.col(cell).alias("cell")).agg(n.alias("n")).collect()}  # noqa: E731  a fixed grid
+    p = p_values(count("ordinary", "x.cell", F.sum("x.n")))
+    said = docs.sparkSession.sparkContext.broadcast((p, reported(count("tested.cell", "x", F.count("*")), screened(p), fdr)))
     out = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("p_value", pa.float64())]))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
