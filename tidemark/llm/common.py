@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +60,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
-def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def likely(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
     """Rows whose `id` is in a written table of ids, and where these are many, a share of the others: who needs only those joins again. So wide rows
-    are not shuffled, and what is broadcast does not grow with the ids."""
+    are not shuffled, and what is broadcast does not grow with the ids. `then` maps the batches of what is left, to rows of `schema`: in the same
+    step, as each step of a task has a Python worker of its own, which lives on with what it holds."""
     if ids.count() <= FEW_ROWS:
-        return rows.join(F.broadcast(ids), "id", "left_semi")
+        few = rows.join(F.broadcast(ids), "id", "left_semi")
+        return few.mapInArrow(then, schema) if then else few
     code = F.xxhash64("id")
     bit = F.explode(F.array(code.bitwiseAND(2**BITS - 1), F.shiftrightunsigned(code, BITS).bitwiseAND(2**BITS - 1)))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("bits")).toArrow()
@@ -80,7 +82,8 @@ def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 ok &= (said.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
             yield x.drop_columns(["_code"]).filter(pa.array(ok))
 
-    return rows.withColumn("_code", code).mapInArrow(run, rows.schema)
+    coded = rows.withColumn("_code", code)
+    return coded.mapInArrow(lambda batches: then(run(batches)), schema) if then else coded.mapInArrow(run, rows.schema)
 
 
 def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str | Column = "id", broadcast_rows: int = BROADCAST_ROWS, lanes: int = 64) -> DataFrame:
@@ -96,6 +99,17 @@ def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str |
     return rows.withColumn("_lane", F.pmod(F.xxhash64(by), F.lit(lanes)).cast("int")).join(many, [*on, "_lane"], how).drop("_lane")
 
 
+#: What a worker keeps for the tasks that follow, such as the words that a codec has learned.
+KEPT: dict = {}
+
+
+def let_go() -> None:
+    """Drop what another operator's tasks kept: the workers that a task finds may have run any operator before."""
+    if KEPT:
+        KEPT.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Hand freed memory of a Python worker back to the system: workers live on, and another job of the executor may need it."""
     pa.default_memory_pool().release_unused()

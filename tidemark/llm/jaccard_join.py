@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, forget, give_back, likely, meet, small, written
+from .common import cut, forget, give_back, let_go, likely, meet, small, written
 from .components import components
 from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
 GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD, HEAVY, FINE = 128, 2_000_000, 64, 12, 1024, 64, 4_000_000, 512
+STEP = 250_000  # so many shingles and parts, or bytes of texts and of their points, are worked on at once
 FULL = 255  # the largest coordinate; a set with more in one group has no point but FULL in all, and the bound lets it pass
 
 
@@ -66,7 +67,7 @@ def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int,
             continue
         d = differing(int(ends[c + 1]), num, den)
         m = d + 1 + ((d + 3) // 4 if d else 0)
-        for lo, hi in in_slices([int(s) + m for s in sizes[mine]], SLICE):
+        for lo, hi in in_slices([int(s) + m for s in sizes[mine]], STEP):
             some = mine[lo:hi]
             n = sizes[some]
             row = np.repeat(np.arange(len(some)), n)
@@ -93,8 +94,9 @@ def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int,
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for x in batches:
-            for i, j in batch_slices(x["text"], SLICE):
+            for i, j in batch_slices(x["text"], STEP, GROUPS + FINE):
                 h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 n = np.bincount(owner, minlength=j - i)
                 points = np.bincount(owner * GROUPS + (h >> U(56)).astype(np.int64) % GROUPS, minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
@@ -290,7 +292,7 @@ def _spare(size: int, num: int, den: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i, j in batch_slices(x["text"], SLICE):
+            for i, j in batch_slices(x["text"], STEP):
                 h, owner = shingle_sets([(t or "").encode() for t in x["text"].slice(i, j - i).to_pylist()], size)
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_pydict({"id": x["id"].slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))})
@@ -322,7 +324,7 @@ class Join:
         if pairs.isEmpty():
             return pairs
         ids, p5 = self._ids(pairs)
-        sets, p6 = written(likely(self.rows, ids).mapInArrow(_sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0))
+        sets, p6 = written(likely(self.rows, ids, _sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0))
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
         links = cut(both.filter((self.num + self.den) * shared.cast("long") >= self.num * sizes).select("a", "b").distinct())
@@ -362,7 +364,7 @@ class Join:
         pairs, many, paths = found.filter("cluster = 0").select("a", "b"), found.filter("cluster <> 0").toDF("cluster", "id", "comp"), []
         if not many.isEmpty():
             ids, path = written(many.select("id").distinct())
-            sets = likely(self.rows, ids).mapInArrow(_sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0)
+            sets = likely(self.rows, ids, _sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0)
             dense, p6 = written(many.join(sets, "id").groupBy("cluster").applyInPandas(_join_cluster(self.num, self.den), self.pair))
             pairs, paths = pairs.unionByName(dense), [path, p6]
         links = self.verified(pairs)
@@ -372,7 +374,7 @@ class Join:
     def around(self, member: DataFrame, hot: DataFrame, dealt: DataFrame, links: DataFrame) -> DataFrame:
         """Links of sets in hot places, which meet by other parts where they have them."""
         ids = cut(meet(member, hot.select("part"), ["part"], "left_semi").select("id").distinct())
-        spare = likely(self.rows, ids).mapInArrow(_spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
+        spare = likely(self.rows, ids, _spare(self.size, self.num, self.den), f"id {self.kind}, part long, own double, cls int, rank int, keep int")
         spare = meet(spare, hot.select("part", F.lit(True).alias("hot")), ["part"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         order = W.partitionBy("id", "own", "cls").orderBy("hot", "rank")  # the parts of one set
         chosen = spare.withColumn("place", F.row_number().over(order)).filter("place <= keep")

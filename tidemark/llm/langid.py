@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out
+from .common import give_back, held_out, let_go
 from .shingles import batch_slices
 
 STEPS, HIDDEN, WINDOW, UNKNOWN, SLICE = 64, 8, 2000, "und", 1_000_000
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     langs, weights = model or ([], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for whole in batches:
             for i, j in batch_slices(whole["text"], SLICE):
                 x = whole.slice(i, j - i)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import KEPT, give_back
 from .shingles import batch_slices
 
 SPACE, CHUNK, KEEP, LONG, SLICE = "▁", 150_000, 300_000, 400, 1_000_000
@@ -317,11 +317,11 @@ class Codec:
         return [raw[a:b].decode(errors="replace")[raw[a:a + 1] == b" ":] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = KEPT
 
 
 def _codec(pieces) -> Codec:
-    """The codec of this model; a worker keeps the last one, with the words it has learned, for the tasks that follow."""
+    """The codec of this model; a worker keeps the last one, with the words it has learned, for the tasks that follow until another operator needs the memory."""
     key = pieces.value.digest
     if key not in _codecs:
         _codecs.clear()

@@ -15,6 +15,8 @@ BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 STEP = U(0x9E3779B97F4A7C15)
 STEP_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 PLACES = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U(1)
+#: So many bytes of text are hashed at once, or one text: sums over bytes take some 60 times as much memory.
+AT_ONCE = 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +58,16 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
     A text of fewer words than `size`, but not none, has its whole sequence as one shingle.
     """
+    found = []
+    for i, j in in_slices([len(t) for t in texts], AT_ONCE):
+        hashes, owner = _sets_at_once(texts[i:j], size)
+        found.append((hashes, owner + i))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in found]), np.concatenate([o for _, o in found])
+
+
+def _sets_at_once(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     words, owner = word_hashes(texts)
     n = np.bincount(owner, minlength=len(texts))
     place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
@@ -74,9 +86,9 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[new], owner[new]
 
 
-def batch_slices(column: pa.Array, most: int):
-    """in_slices() of a column of texts by its bytes, without making Python strings of all of it at once."""
-    yield from in_slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+def batch_slices(column: pa.Array, most: int, row: int = 0):
+    """in_slices() of a column of texts by its bytes, and `row` more for each, without making Python strings of all of it at once."""
+    yield from in_slices(pc.add(pc.fill_null(pc.binary_length(column), 0), row).to_pylist(), most)
 
 
 def in_slices(sizes: list[int], most: int):
