@@ -11,7 +11,9 @@
 4. Places that still hold more than one component get an R-tree over the points. Two nodes are joined only if the summed minima of
    their upper corners reach what their smallest sizes ask for and they aren't one component already; then leaves are joined point
    by point, and pairs that pass by points of FINE coordinates. Where very many pass they are kept as clusters of sets, whose links are found
-   on their shingles; so a place returns no more than two rows a set.
+   on their shingles; so a place returns no more than two rows a set. Clusters with the same smallest id, which one family of texts makes in
+   each place where it meets, become one. Their sets are moved in slices of no more than half of all shingles; between slices, clusters that
+   the links so far made one component are left out.
 5. A place of over BLOCK sets that is still open holds what many documents share, such as boilerplate. Its part goes to the end of the ranking,
    and its sets meet by the parts that move up instead. Only sets of which more than t parts are such stay in it; they are compared by pairs of blocks.
 6. Components of the links.
@@ -37,6 +39,7 @@ from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
 GROUPS, SLICE, LEAF, FAN, BLOCK, CROWD, HEAVY, FINE = 128, 2_000_000, 64, 12, 1024, 64, 4_000_000, 512
 STEP = 250_000  # so many shingles and parts, or bytes of texts and of their points, are worked on at once
+SLICES, SHARE = 256, 2  # clusters are dealt to so many slices; as many are compared at once as hold one shingle in SHARE of all texts
 FULL = 255  # the largest coordinate; a set with more in one group has no point but FULL in all, and the bound lets it pass
 
 
@@ -181,7 +184,8 @@ def clusters_of(k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _join_place(num: int, den: int):
     """What the bounds let link in a place, as rows (cluster, a, b): pairs (cluster 0), or where a cluster of sets has over two pairs a set, its sets and
-    their components. So there are no more than two rows a set, however many pairs pass. A cluster of over HEAVY shingles is dealt by pairs of chunks."""
+    their components. So there are no more than two rows a set, however many pairs pass. A cluster is named by its smallest id, so those that a family of
+    texts makes in many places become one; a cluster of over HEAVY shingles is dealt by pairs of chunks, named by all their ids."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if not rows["id"].is_unique:
             rows = rows.drop_duplicates(["id", "n", "point"])
@@ -206,7 +210,7 @@ def _join_place(num: int, den: int):
             chunk = np.cumsum(n[mine]) * 2 // HEAVY
             chunks = [mine[chunk == k] for k in np.unique(chunk)]
             for some in [mine] if len(chunks) <= 2 else [np.concatenate((x, y)) for k, x in enumerate(chunks) for y in chunks[k + 1:]]:
-                name = hashlib.blake2b("\0".join(map(str, ids[some])).encode(), digest_size=8).digest()
+                name = hashlib.blake2b("\0".join(map(str, ids[some[:1]] if len(some) == len(mine) else ids[some])).encode(), digest_size=8).digest()
                 out.append(pd.DataFrame({"cluster": int.from_bytes(name, "big", signed=True) or 1, "a": ids[some], "b": comp[some]}))
         return pd.concat(out).drop_duplicates().astype({"cluster": np.int64, "a": rows["id"].dtype, "b": rows["id"].dtype})
 
@@ -225,7 +229,11 @@ def _join_cluster(num: int, den: int):
             if len(j):
                 own = code[starts[i]:starts[i] + n[i]]
                 mark[own] = 1
-                shared = np.add.reduceat(mark[code[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)[j - i - 1]
+                if 4 * len(j) < len(ids) - i:  # most are in one component already
+                    at = np.cumsum(n[j]) - n[j]
+                    shared = np.add.reduceat(mark[code[np.repeat(starts[j] - at, n[j]) + np.arange(int(n[j].sum()))]], at, dtype=np.int64)
+                else:
+                    shared = np.add.reduceat(mark[code[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)[j - i - 1]
                 mark[own] = 0
                 for k in j[(num + den) * shared >= num * (n[i] + n[j])]:
                     if label[k] != label[i]:
@@ -236,6 +244,13 @@ def _join_cluster(num: int, den: int):
     return run
 
 
+def slices_within(volume: dict[int, int], most: int) -> list[int]:
+    """The slices, from the first on, that together hold no more than `most`; one at least."""
+    slices = sorted(volume)
+    held = np.cumsum([volume[k] for k in slices])
+    return slices[:max(1, int(np.searchsorted(held, most, "right")))]
+
+
 def semi(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """Rows with these ids (a written table); the ids are broadcast only where they are few, as counted."""
     return rows.join(small(ids), col, "left_semi")
@@ -361,14 +376,44 @@ class Join:
         # the places are few bytes and much work, so they are dealt to a stated number of tasks, which adaptive execution does not merge
         member = member.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part", "p", "q")
         found, p5 = written(member.groupBy("part", "p", "q").applyInPandas(_join_place(self.num, self.den), f"cluster long, {self.pair}").distinct())
-        pairs, many, paths = found.filter("cluster = 0").select("a", "b"), found.filter("cluster <> 0").toDF("cluster", "id", "comp"), []
+        links, many = self.verified(found.filter("cluster = 0").select("a", "b")), found.filter("cluster <> 0").toDF("cluster", "id", "comp")
         if not many.isEmpty():
-            ids, path = written(many.select("id").distinct())
+            links = links.unionByName(self.clusters(many, near))
+        forget(self.spark, p1, p2, p3, p4, p5)
+        return links
+
+    def clusters(self, many: DataFrame, near: DataFrame) -> DataFrame:
+        """Links that make up the components of clusters (cluster, id, comp), found on the shingles. `near` has id and n. What moves at once is no more than
+        a share of all shingles (or one slice), in however many clusters a set is."""
+        sized, p1 = written(many.join(near.groupBy("id").agg(F.sum("n").alias("n")), "id"))
+        heavy, p2 = written(sized.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > HEAVY))
+        left = meet(sized, heavy, ["cluster"], "left").withColumn("chunks", F.coalesce(F.ceil(2 * F.col("total") / HEAVY), F.lit(1)).cast("int"))
+        left = left.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (x != F.col("chunk")) | (F.col("chunks") == 1))
+        left = left.withColumn("other", F.explode(others)).withColumns({"p": F.least("chunk", "other"), "q": F.greatest("chunk", "other")})
+        left = left.withColumn("slice", F.pmod(F.xxhash64("cluster", "p", "q"), F.lit(SLICES)).cast("int"))
+        left, path = written(left.select("cluster", "p", "q", "slice", "id", "comp", "n"))
+        most = max((self.points.agg(F.sum("n")).first()[0] or 0) // SHARE, 4 * HEAVY)
+        links, paths = None, [p1, p2]
+        while True:
+            volume = dict(left.groupBy("slice").agg(F.sum("n")).collect())
+            now = slices_within(volume, most)
+            some = left.filter(F.col("slice").isin(now))
+            ids, p3 = written(some.select("id").distinct())
             sets = likely(self.rows, ids, _sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0)
-            dense, p6 = written(many.join(sets, "id").groupBy("cluster").applyInPandas(_join_cluster(self.num, self.den), self.pair))
-            pairs, paths = pairs.unionByName(dense), [path, p6]
-        links = self.verified(pairs)
-        forget(self.spark, p1, p2, p3, p4, p5, *paths)
+            found = cut(some.select("cluster", "p", "q", "id", "comp").join(sets, "id").groupBy("cluster", "p", "q").applyInPandas(_join_cluster(self.num, self.den), self.pair))
+            links = found if links is None else links.unionByName(found)
+            paths += [path, p3]
+            if len(now) == len(volume):
+                break
+            known = components(links.unionByName(left.select(F.col("id").alias("a"), F.col("comp").alias("b")).distinct()))
+            rest = left.filter(~F.col("slice").isin(now)).join(known, "id", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+            open_ = rest.groupBy("cluster", "p", "q").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cluster", "p", "q")
+            left, path = written(rest.join(open_, ["cluster", "p", "q"], "left_semi"))
+            if left.isEmpty():
+                paths.append(path)
+                break
+        forget(self.spark, *paths)
         return links
 
     def around(self, member: DataFrame, hot: DataFrame, dealt: DataFrame, links: DataFrame) -> DataFrame:
