@@ -72,9 +72,16 @@ FEW_ROWS = 25_000
 BITS = 24
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The table as it is where the rows of a join, as counted, are few; else marked so that the join broadcasts neither side. Spark goes by the bytes
+    of files: 10 MB of Parquet hold millions of rows of ids, and lanes repeat each of them, while the driver needs some 70 bytes for each row."""
+    return df if rows <= FEW_ROWS else df.hint("shuffle_merge")
+
+
 def small(df: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if its rows are few, as counted just now. `df` should be a written table."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+    """The table, marked for broadcast if its rows are few, as counted just now, and else against it. `df` should be a written table."""
+    n = df.count()
+    return F.broadcast(df) if n <= FEW_ROWS else spread(df, n)
 
 
 def likely(rows: DataFrame, ids: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
@@ -110,9 +117,10 @@ def meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str, by: str |
     of `by`, so that no task gets all rows of a key. `by` should differ between rows; if it may be null or repeated for very many of them, and the rows
     come straight from files, it can be their place (F.monotonically_increasing_id()), which a task that is run again finds the same.
     """
-    if listed.count() <= broadcast_rows:
+    n = listed.count()
+    if n <= broadcast_rows:
         return rows.join(F.broadcast(listed), on, how)
-    many = listed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    many = spread(listed.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), n * lanes)
     return rows.withColumn("_lane", F.pmod(F.xxhash64(by), F.lit(lanes)).cast("int")).join(many, [*on, "_lane"], how).drop("_lane")
 
 

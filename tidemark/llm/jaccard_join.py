@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, forget, give_back, let_go, likely, meet, small, written
+from .common import cut, forget, give_back, let_go, likely, meet, small, spread, written
 from .components import components
 from .shingles import U, batch_slices, in_slices, mix, shingle_sets
 
@@ -252,7 +252,7 @@ def slices_within(volume: dict[int, int], most: int) -> list[int]:
 
 
 def semi(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """Rows with these ids (a written table); the ids are broadcast only where they are few, as counted."""
+    """Rows with these ids (a written table); the ids are broadcast where they are few, as counted, and never else."""
     return rows.join(small(ids), col, "left_semi")
 
 
@@ -330,16 +330,18 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose points may link and whose sets of shingles do."""
         pairs, p1 = written(pairs.distinct())
-        if pairs.isEmpty():
+        if not (k := pairs.count()):
             return pairs
         ids, p2 = self._ids(pairs)
         near, p3 = written(semi(self.points.select("id", "n", "point"), ids, "id"))
+        near = spread(near, k)
         both = pairs.join(near.toDF("a", "na", "pa"), "a").join(near.toDF("b", "nb", "pb"), "b")
         pairs, p4 = written(both.mapInArrow(_may_link(self.num, self.den), self.pair))
-        if pairs.isEmpty():
+        if not (k := pairs.count()):
             return pairs
         ids, p5 = self._ids(pairs)
         sets, p6 = written(likely(self.rows, ids, _sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0))
+        sets = spread(sets, k)
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa").cast("long") + F.size("sb")
         links = cut(both.filter((self.num + self.den) * shared.cast("long") >= self.num * sizes).select("a", "b").distinct())
@@ -368,7 +370,7 @@ class Join:
         member, p2 = written(meet(member, keep, ["part"], "inner"))
         ids, p3 = written(member.select("id").distinct())
         near, p4 = written(semi(self.points, ids, "id"))
-        member = member.join(near, "id")
+        member = member.join(spread(near, member.count()), "id")
         blocks = F.ceil(F.col("k") / BLOCK).cast("int")
         member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -385,7 +387,7 @@ class Join:
     def clusters(self, many: DataFrame, near: DataFrame) -> DataFrame:
         """Links that make up the components of clusters (cluster, id, comp), found on the shingles. `near` has id and n. What moves at once is no more than
         a share of all shingles (or one slice), in however many clusters a set is."""
-        sized, p1 = written(many.join(near.groupBy("id").agg(F.sum("n").alias("n")), "id"))
+        sized, p1 = written(many.join(spread(near.groupBy("id").agg(F.sum("n").alias("n")), many.count()), "id"))
         heavy, p2 = written(sized.groupBy("cluster").agg(F.sum("n").alias("total")).filter(F.col("total") > HEAVY))
         left = meet(sized, heavy, ["cluster"], "left").withColumn("chunks", F.coalesce(F.ceil(2 * F.col("total") / HEAVY), F.lit(1)).cast("int"))
         left = left.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -396,11 +398,13 @@ class Join:
         most = max((self.points.agg(F.sum("n")).first()[0] or 0) // SHARE, 4 * HEAVY)
         links, paths = None, [p1, p2]
         while True:
-            volume = dict(left.groupBy("slice").agg(F.sum("n")).collect())
+            told = left.groupBy("slice").agg(F.sum("n"), F.count("*")).collect()
+            volume = {k: n for k, n, _ in told}
             now = slices_within(volume, most)
             some = left.filter(F.col("slice").isin(now))
             ids, p3 = written(some.select("id").distinct())
             sets = likely(self.rows, ids, _sets(self.size), f"id {self.kind}, shingles array<long>").filter(F.size("shingles") > 0)
+            sets = spread(sets, sum(rows for k, _, rows in told if k in now))
             found = cut(some.select("cluster", "p", "q", "id", "comp").join(sets, "id").groupBy("cluster", "p", "q").applyInPandas(_join_cluster(self.num, self.den), self.pair))
             links = found if links is None else links.unionByName(found)
             paths += [path, p3]
