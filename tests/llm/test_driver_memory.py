@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import random
 
+import pytest
+
 import tidemark.llm.common as common
 import tidemark.llm.jaccard_join as J
 from tidemark.llm.components import components
@@ -48,7 +50,9 @@ def test_nodes_of_many_edges_are_not_broadcast(spark, monkeypatch):
     assert {r.id: r.c for r in got} == {i: i - i % 10 for i in range(300)}
 
 
-def test_no_step_of_the_join_broadcasts_a_table_of_many_rows(spark, monkeypatch):
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
+def test_no_step_of_the_join_broadcasts_a_table_of_many_rows(spark, monkeypatch, size, num):
+    """With the settings of op10 and of the pipeline's near."""
     few = 10
     monkeypatch.setattr(common, "FEW_ROWS", few)
     monkeypatch.setattr(J, "meet", functools.partial(common.meet, broadcast_rows=few, lanes=4))
@@ -58,12 +62,12 @@ def test_no_step_of_the_join_broadcasts_a_table_of_many_rows(spark, monkeypatch)
         base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
         texts += [" ".join(base[: 60 - k % 2] + [f"x{i}y{k}"] * (k % 3)) for k in range(5)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [{tuple(w[k:k + 3]) for k in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    sets = [{tuple(w[k:k + size]) for k in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
     want = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a // 5 * 5, a):
-            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 want = [min(want[a], want[b]) if x in (want[a], want[b]) else x for x in want]
     got = []
-    assert most_broadcast(spark, lambda: got.extend(jaccard_components(df).collect())) <= 2 * few  # of few pairs both sides
+    assert most_broadcast(spark, lambda: got.extend(jaccard_components(df, size=size, num=num).collect())) <= 2 * few  # of few pairs both sides
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and len(set(want)) < len(want)
